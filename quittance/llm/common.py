@@ -17,12 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, unless the session has a bound of its own."""
+    """Bounds Arrow batches by bytes, unless the application was started with a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        if int(spark.conf.get(key, "-1")) in (-1, 2**31 - 1, 2**63 - 1, 64 << 20):
-            spark.conf.set(key, str(ARROW_BATCH_BYTES))
-    except (ValueError, TypeError):
+    if spark.sparkContext.getConf().get(key) is None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 

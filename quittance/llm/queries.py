@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quittance.llm import license_scan, line_dedup, url_filter
+from quittance.llm import bpe, license_scan, line_dedup, token_output, url_filter
 
 _MODULES = {
     "op2_license_scan": license_scan,
     "op3_url_filter": url_filter,
+    "op5_bpe_codec": bpe,
     "op8_line_dedup": line_dedup,
+    "op9_token_output": token_output,
 }
 
 
