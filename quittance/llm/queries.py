@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quittance.llm import bpe, decontaminate, license_scan, line_dedup, simhash, token_output, url_filter
+from quittance.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, pii, simhash, token_output, url_filter
 
 _MODULES = {
     "op1_simhash_dedup": simhash,
     "op2_license_scan": license_scan,
     "op3_url_filter": url_filter,
+    "op4_language_id": language_id,
     "op5_bpe_codec": bpe,
+    "op6_embedding_dedup": embedding_dedup,
+    "op7_pii": pii,
     "op8_line_dedup": line_dedup,
     "op9_token_output": token_output,
     "op10_decontaminate": decontaminate,
