@@ -25,8 +25,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are exploded, normalised and hashed to 128 bits; distinct documents
     are counted per hash in two aggregations that both combine before their
     shuffle, so that a line held by a third of all documents loads no task. The
-    hashes over the threshold meet the lines in an equi-join that adaptive
-    execution may split where a key is hot. Texts move once, to meet the
+    hashes over the threshold meet the lines in an equi-join on the pair as one
+    key: so both sides are shuffled for the join itself, and adaptive execution
+    splits a hot key over many tasks. Texts move once, to meet the
     positions of their dropped lines.
 
     Returns all columns of ``docs`` with the text replaced by the kept lines,
@@ -46,18 +47,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         doc.select("doc", "th", F.posexplode("lines").alias("pos", "line"))
         .select("doc", "th", "pos", _key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("doc", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
+        .select("doc", "th", "pos", F.struct(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")).alias("h"))
     )
     common = (
-        hashed.select("h1", "h2", "doc")
+        hashed.select("h.h1", "h.h2", "doc")
         .distinct()
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "first")
+        .select(F.struct("h1", "h2").alias("h"), "first")
     )
     dropped = (
-        hashed.join(common, ["h1", "h2"])
+        hashed.join(common, "h")
         .where(~F.col("doc").eqNullSafe(F.col("first")))
         .groupBy("doc", "th")
         .agg(F.sort_array(F.collect_set("pos")).alias("drop"))
