@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quittance.plans import receipts
+
+_MODULES = (receipts,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
