@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quittance.plans import receipts
+from quittance.plans import measures, receipts
 
-_MODULES = (receipts,)
+_MODULES = (receipts, measures)
 
 
 def queries() -> dict:

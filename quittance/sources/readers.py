@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quittance.functions.geometry import percent_to_pixels
 from quittance.functions.parse import basename
@@ -116,7 +115,7 @@ def polygon_pixels(labels: DataFrame) -> DataFrame:
     return labels.withColumn("polygon", percent_to_pixels(F.col("points"), F.col("width"), F.col("height")))
 
 
-LABEL_STUDIO = T.StructType.fromDDL(
+LABEL_STUDIO = (
     "file_upload string, annotations array<struct<result:array<struct<type:string,value:struct<x:double,y:double,width:double,height:double,text:array<string>,labels:array<string>>>>>>"
 )
 
