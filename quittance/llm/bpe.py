@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from quittance.llm.common import bounded_batches, table
 
 #: Pieces that a worker keeps, and the longest piece that it keeps (code points).
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 LONGEST_KEPT = 48
 #: Words that the library encodes at once.
 JOINED = 512
@@ -69,7 +69,7 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]):
 class Codec:
     """Encodes texts to packed little-endian unsigned 32-bit ids, and ids to bytes."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, kept: int = KEPT_PIECES):
         from tokenizers import Tokenizer
 
         if path.endswith(".json"):
@@ -83,33 +83,45 @@ class Codec:
         self.token_bytes = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.token_bytes[i] = added[i].encode() if i in added else bytes(back[c] for c in token)
+        self.first_byte = np.array([b[0] if b else 0 for b in self.token_bytes])
         self.split = regex.compile(pattern).findall
+        self.kept = kept
         self.pieces: dict[str, bytes | bool] = {}
-        self.heads: dict[str, bytes] = {}
+        self.heads: dict[str, bytes | bool] = {}
         self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of words as the pattern splits them."""
+        """Ids of words as the pattern splits them.
+
+        Words that begin with a space go to the library in a row, and so do
+        plain ones with line breaks between them: the pattern splits such a row
+        into the same words, and the first byte of a token tells where.
+        """
         out: dict[str, bytes] = {}
-        spaced = []
+        spaced, plain = [], []
         for w in words:
-            if len(w) > 1 and w[0] == " " and not w[1].isspace() and len(w) <= LONGEST_KEPT:
+            if len(w) > LONGEST_KEPT:
+                out[w] = self._whole(w)
+            elif len(w) > 1 and w[0] == " " and not w[1].isspace():
                 spaced.append(w)
+            elif w.isalpha():
+                plain.append(w)
             else:
                 out[w] = self._whole(w)
-        for i in range(0, len(spaced), JOINED):
-            some = spaced[i : i + JOINED]
-            e = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
-            ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            if at[-1] == len(some) - 1:
-                cuts = np.searchsorted(at, np.arange(len(some) + 1))
-                raw = ids.tobytes()
-                out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            else:
-                out.update((w, self._whole(w)) for w in some)
+        for some, sep, skip in ((spaced, "", 0), (plain, "\n", 1)):
+            first = self.first_byte == (10 if sep else 32)
+            for i in range(0, len(some), JOINED):
+                part = some[i : i + JOINED]
+                raw = self._whole(sep + sep.join(part))
+                cuts = np.flatnonzero(first[np.frombuffer(raw, "<u4")])
+                if len(cuts) == len(part):
+                    ends = [*cuts[1:].tolist(), len(raw) // 4]
+                    out.update((w, raw[4 * (a + skip) : 4 * b]) for w, a, b in zip(part, cuts.tolist(), ends, strict=True))
+                else:
+                    out.update((w, self._whole(w)) for w in part)
         return out
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
@@ -118,59 +130,59 @@ class Codec:
         known = self.words
         new = {w for ws in split for w in ws if w not in known}
         found = self._encode_words(sorted(new))
-        if len(known) < KEPT_PIECES:
+        if len(known) < self.kept:
             known.update((w, b) for w, b in found.items() if len(w) <= LONGEST_KEPT)
         get = lambda w: found[w] if w in found else known[w]
         return [b"".join(map(get, ws)) for ws in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str], list]] = []
+        out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, list[str], list, list[int]]] = []
         slow: list[int] = []
-        missing: dict[str, None] = {}
-        heads: dict[str, None] = {}
-        known = self.pieces
+        missing: set[str] = set()
+        missing_heads: set[str] = set()
+        known, heads = self.pieces, self.heads
         for i, text in enumerate(texts):
             if any(a in text for a in self.added) or any(c in text for c in ODD_SPACE):
                 out[i] = self._whole(text)
                 continue
             parts = text.split(" ")
-            head = parts[0]
-            if head and head[-1].isspace():
-                slow.append(i)
-                continue
-            parts[0] = "\x00"
             got = list(map(known.get, parts))
-            if False in got:
-                slow.append(i)
+            got[0] = heads.get(parts[0])
+            try:
+                out[i] = b"".join(got)  # refuses pieces that are not known (None) or not to be cut (False)
                 continue
-            heads[head] = None
-            for p, g in zip(parts, got, strict=True):
-                if g is None:
-                    missing[p] = None
-            parts[0] = head
-            cut.append((i, parts, got))
-        missing.pop("\x00", None)
-        bad = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
-        good = [p for p in missing if p not in bad]
-        new: dict[str, bytes | bool] = dict(zip(good, self._encode_chunks([" " + p for p in good]), strict=True))
-        new.update((p, False) for p in bad)
-        if len(known) < KEPT_PIECES:
-            known.update((p, b) for p, b in new.items() if len(p) <= LONGEST_KEPT)
-        first = [h for h in heads if h not in self.heads]
-        got_heads = dict(zip(first, self._encode_chunks(first), strict=True))
-        for i, parts, got in cut:
-            for k, g in enumerate(got):
-                if g is None and k:
-                    got[k] = new[parts[k]]
-            if False in got:
-                slow.append(i)
+            except TypeError:
+                pass
+            gaps = [k for k, g in enumerate(got) if g is None]
+            if gaps and gaps[0] == 0:
+                missing_heads.add(parts[0])
+                missing.update([parts[k] for k in gaps[1:]])
             else:
-                got[0] = got_heads.get(parts[0], b"")
+                missing.update([parts[k] for k in gaps])
+            cut.append((i, parts, got, gaps))
+        new = self._encode_pieces(missing, " ", known)
+        new_heads = self._encode_pieces(missing_heads, "", heads)
+        for i, parts, got, gaps in cut:
+            for k in gaps:
+                got[k] = new[parts[k]] if k else new_heads[parts[0]]
+            try:
                 out[i] = b"".join(got)
+            except TypeError:
+                slow.append(i)
         for i, b in zip(slow, self._encode_chunks([texts[i] for i in slow]), strict=True):
             out[i] = b
-        return out  # type: ignore[return-value]
+        return out
+
+    def _encode_pieces(self, pieces: set[str], before: str, kept: dict[str, bytes | bool]) -> dict[str, bytes | bool]:
+        """Ids of pieces that stand after ``before``; False where white space at an end of one forbids the cut."""
+        bad = {p for p in pieces if (p[-1].isspace() or (before and p[0].isspace()) if p else before)}
+        good = sorted(pieces - bad)
+        new: dict[str, bytes | bool] = dict(zip(good, self._encode_chunks([before + p for p in good]), strict=True))
+        new.update((p, False) for p in bad)
+        if len(kept) < self.kept:
+            kept.update((p, b) for p, b in new.items() if len(p) <= LONGEST_KEPT)
+        return new
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes are joined before anything reads characters, so characters split over tokens come back whole."""
@@ -186,9 +198,9 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, kept: int = KEPT_PIECES) -> Codec:
     """One for each Python worker and vocabulary."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, kept)
 
 
 def _texts(column: pa.Array) -> list[str]:

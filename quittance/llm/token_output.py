@@ -38,16 +38,26 @@ SHARD_IDS = 1 << 20
 LEAST_COUNT = 12
 LEAST_GAIN = 0.02
 _BINS = 1 << 18
+#: Pieces that a writing worker keeps encoded; it runs alone in its task.
+WRITER_PIECES = 450_000
 
 
-def _frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, pair index of each position, and the keys of pairs in hash bins of at least ``least``."""
-    a, b = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)
-    key = a << 32 | b
-    bins = (a * 40503 + b * 9973 + (a >> 5)) & (_BINS - 1)
-    at = np.flatnonzero((np.bincount(bins, minlength=_BINS) >= least)[bins] & (a != b))
-    keys, index = np.unique(key[at], return_inverse=True)
-    return at, index, keys
+def _frequent_pairs(seq: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of pairs, the hash bin of each, and by bin the pair's key and count.
+
+    One pair stands for each bin; those that share a bin with it have another
+    chance in the next round, whose ``salt`` deals the bins anew.
+    """
+    a, b = seq[:-1], seq[1:]
+    bins = (a * np.int32(40503 + 2 * salt) + b * np.int32(9973 + 6 * salt) + (a >> np.int32(5))) & np.int32(_BINS - 1)
+    heavy = np.bincount(bins, minlength=_BINS) >= LEAST_COUNT
+    at = np.flatnonzero(heavy[bins] & (a != b))
+    bins, key = bins[at], a[at].astype(np.int64) << 32 | b[at]
+    keys = np.zeros(_BINS, np.int64)
+    keys[bins] = key
+    same = keys[bins] == key
+    at, bins = at[same], bins[same]
+    return at, bins, keys, np.bincount(bins, minlength=_BINS)
 
 
 def repair(ids: np.ndarray, n_base: int, max_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,12 +73,12 @@ def repair(ids: np.ndarray, n_base: int, max_rules: int | None = None) -> tuple[
     room = max(0, (1 << 16) - n_base) if max_rules is None else max_rules
     rules: list[np.ndarray] = []
     n_rules = 0
+    salt = 0
     while len(seq) > 1 and n_rules < room:
-        # bins collide: a few times the least count keeps rare pairs from being sorted
-        at, index, keys = _frequent_pairs(seq, max(LEAST_COUNT, len(seq) // _BINS * 3 + LEAST_COUNT))
-        counts = np.bincount(index, minlength=len(keys))
-        order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] >= LEAST_COUNT]
+        at, index, keys, counts = _frequent_pairs(seq, salt)
+        salt += 1
+        order = np.flatnonzero(counts >= LEAST_COUNT)
+        order = order[np.argsort(-counts[order], kind="stable")]
         role: dict[int, int] = {}
         chosen = []
         lefts, rights = (keys[order] >> 32).tolist(), (keys[order] & 0xFFFFFFFF).tolist()
@@ -199,7 +209,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary, pattern)
+        c = codec(vocabulary, pattern, WRITER_PIECES)
         n_base = len(c.token_bytes)
         part = TaskContext.get().partitionId()
         open_docs: list = []
