@@ -24,30 +24,30 @@ TABLE_BITS = 8
 BLOCK = 768
 
 
-def fit_itq(x: np.ndarray, bits: int, rounds: int = FIT_ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): bits are the signs of (x - mean) @ projection.
-
-    The projection is PCA to ``bits`` directions (repeated under other rotations
-    where there are fewer dimensions) times the rotation that brings the
-    projections closest to their signs, which balances the bits.
+def fit_itq(x: np.ndarray, bits: int, rounds: int = FIT_ROUNDS, seed: int = 7) -> np.ndarray:
+    """The projection whose signs are the bits.
+
+    It is PCA to ``bits`` directions (repeated under other rotations where there
+    are fewer dimensions) times the rotation that brings the projections closest
+    to their signs, which balances the bits. The PCA is about the origin, not
+    the mean: cosines are angles at the origin, and where most vectors are close
+    to each other, directions from their mean would be noise and part them.
     """
     rng = np.random.default_rng(seed)
-    mean = x.mean(0)
     d = x.shape[1]
-    cov = np.cov(x - mean, rowvar=False).reshape(d, d) if len(x) > 1 else np.eye(d)
-    _, vec = np.linalg.eigh(cov + 1e-9 * np.eye(d))
+    _, vec = np.linalg.eigh(x.T @ x / len(x) + 1e-9 * np.eye(d))
     out = []
     while sum(p.shape[1] for p in out) < bits:
         k = min(d, bits - sum(p.shape[1] for p in out))
         pca = vec[:, ::-1][:, :k]
-        v = (x - mean) @ pca
+        v = x @ pca
         r, _ = np.linalg.qr(rng.standard_normal((k, k)))
         for _ in range(rounds):
             b = np.where(v @ r >= 0, 1.0, -1.0)
             u, _, wt = np.linalg.svd(b.T @ v)
             r = (u @ wt).T
         out.append(pca @ r)
-    return mean, np.concatenate(out, 1)
+    return np.concatenate(out, 1)
 
 
 def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
@@ -122,7 +122,7 @@ def near_vectors(
     dims = [len(r.e) for r in sample]
     d = max(set(dims), key=lambda k: (dims.count(k), k))
     fit = np.array([r.e for r in sample if len(r.e) == d])
-    mean, projection = fit_itq(fit / np.linalg.norm(fit, axis=1, keepdims=True), TABLES * TABLE_BITS)
+    projection = fit_itq(fit / np.linalg.norm(fit, axis=1, keepdims=True), TABLES * TABLE_BITS)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,7 @@ def near_vectors(
             for i, v in enumerate(lists):
                 x[i, : min(d, len(v))] = v[:d]
             n = np.linalg.norm(x, axis=1, keepdims=True)
-            signs = (x / np.where(n > 0, n, 1) - mean) @ projection >= 0
+            signs = x / np.where(n > 0, n, 1) @ projection >= 0
             packed = np.packbits(signs, axis=1, bitorder="little").reshape(len(lists), -1).copy().view("<i8").ravel()
             raw = [np.array(v, "<f8").tobytes() for v in lists]
             yield pa.RecordBatch.from_arrays(
