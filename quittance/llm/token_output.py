@@ -51,7 +51,7 @@ def _frequent_pairs(seq: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray,
     a, b = seq[:-1], seq[1:]
     bins = (a * np.int32(40503 + 2 * salt) + b * np.int32(9973 + 6 * salt) + (a >> np.int32(5))) & np.int32(_BINS - 1)
     heavy = np.bincount(bins, minlength=_BINS) >= LEAST_COUNT
-    at = np.flatnonzero(heavy[bins] & (a != b))
+    at = np.flatnonzero(heavy[bins])
     bins, key = bins[at], a[at].astype(np.int64) << 32 | b[at]
     keys = np.zeros(_BINS, np.int64)
     keys[bins] = key
@@ -66,8 +66,9 @@ def repair(ids: np.ndarray, n_base: int, max_rules: int | None = None) -> tuple[
     A round counts all pairs, then gives rules to the frequent ones, the most
     frequent first, as long as no symbol is the left of one pair and the right
     of another; so no two occurrences overlap and a round replaces all of them
-    at once. Rounds go on while they shorten the sequence. Pairs of one symbol
-    with itself get no rule.
+    at once. A symbol paired with itself has no other pair in that round, and
+    every other pair of a run is replaced. Rounds go on while they shorten the
+    sequence.
     """
     seq = ids.astype(np.int32)
     room = max(0, (1 << 16) - n_base) if max_rules is None else max_rules
@@ -83,19 +84,34 @@ def repair(ids: np.ndarray, n_base: int, max_rules: int | None = None) -> tuple[
         chosen = []
         lefts, rights = (keys[order] >> 32).tolist(), (keys[order] & 0xFFFFFFFF).tolist()
         for k, left, right in zip(order.tolist(), lefts, rights, strict=True):
-            if role.get(left, 1) == 1 and role.get(right, 2) == 2:
+            if left == right:
+                if left in role:
+                    continue
+                role[left] = 3
+            elif role.get(left, 1) == 1 and role.get(right, 2) == 2:
                 role[left], role[right] = 1, 2
-                chosen.append(k)
-                if n_rules + len(chosen) >= room:
-                    break
+            else:
+                continue
+            chosen.append(k)
+            if n_rules + len(chosen) >= room:
+                break
         if not chosen:
             break
         symbol = np.full(len(keys), -1, np.int32)
         symbol[chosen] = n_base + n_rules + np.arange(len(chosen), dtype=np.int32)
         put = symbol[index]
         hit = put >= 0
-        where = at[hit]
-        seq[where] = put[hit]
+        where, put = at[hit], put[hit]
+        twin = np.flatnonzero(seq[where] == seq[where + 1])
+        if len(twin):
+            # in a run of one symbol every other pair is replaced
+            at_twin = where[twin]
+            begins = np.flatnonzero(np.diff(at_twin, prepend=-2) > 1)
+            within = np.arange(len(twin)) - np.repeat(begins, np.diff(np.append(begins, len(twin))))
+            free = np.ones(len(where), bool)
+            free[twin[within % 2 == 1]] = False
+            where, put = where[free], put[free]
+        seq[where] = put
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         before, seq = len(seq), seq[keep]

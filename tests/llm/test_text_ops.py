@@ -97,7 +97,7 @@ def test_license_table(spark):
 
 def test_notice_with_words_put_in(spark):
     text = "This work is licensed under the (new) GNU General Public License, version 3."
-    r = license_scan.scan_licenses(frame(spark, [(1, text)]), min_cover=0.5).first()
+    r = license_scan.scan_licenses(frame(spark, [(1, text)]), min_cover=0.7).first()
     assert r.labels == "gpl-3" and r.spans[0].first == 3
 
 
@@ -207,7 +207,7 @@ def test_pii_base_spans_against_regex():
 
 def test_pii_operator(spark):
     rows = [*ODD, (10, "Call +1 (555) 555-1234, or phone (555) 555-9876 today"), (11, "mail jane(at)mail.com now, write me"), (12, "9" * 100_000)]
-    got = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, rows, True)).collect()}
+    got = {r.doc: r.spans for r in pii.find_pii(frame(spark, rows, True)).collect()}
     assert [(s.kind, s.base) for s in got[10]][0] == ("phone", True) and got[2] == [] and got[1] == []
     for spans in got.values():
         assert all(0 <= s.score <= 1 for s in spans)
