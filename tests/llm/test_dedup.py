@@ -138,3 +138,31 @@ def test_rotation_balances_bits():
     p = embedding_dedup.fit_itq(x, 64)
     share = (x @ p >= 0).mean(0)
     assert p.shape == (64, 64) and np.abs(share - 0.5).max() < 0.1 and np.allclose(p.T @ p, np.eye(64), atol=1e-6)
+
+
+def edited(rng, words, share):
+    out = list(words)
+    for i in rng.sample(range(len(out)), int(share * len(out))):
+        out[i] = f"new{rng.randint(0, 10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("deal_rows", [256, 4])
+def test_similar_documents_against_plain(spark, deal_rows):
+    from quittance.llm import near_text
+
+    rng = random.Random(8)
+    texts = []
+    passage = [f"p{i}" for i in range(60)]
+    for g in range(25):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(3, 150))] + (passage if g % 2 else [])
+        texts += [" ".join(base)] + [" ".join(edited(rng, base, rng.choice([0, 0.01, 0.02, 0.05]))) for _ in range(rng.randint(0, 5))]
+    texts += [None, "", " \n", "Same Words here", "same words HERE", "same words"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0]), (None, "nobody else says this")]
+    sets = {i: set(near_text.shingle_hashes(near_text._words(t), 5).tolist()) for i, t in enumerate(texts)}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = groups(list(sets), [(i, j) for i in sets for j in range(i) if alike(sets[i], sets[j])])
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as rep", "2 as keys")
+    got = sorted(((r.doc, r.component_id) for r in near_text.similar_documents(df, deal_rows=deal_rows).collect()), key=repr)
+    assert got == sorted([*want.items(), (0, want[0]), (None, want[0]), (None, None)], key=repr)
+    assert near_text.similar_documents(df.limit(0)).count() == 0
