@@ -313,7 +313,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY lower(name), name
     "q_eval": f"WITH {_EVAL} SELECT receipt_id, date_ok, articles_ok, total_ok, n_ok FROM eo",
     "q_eval_accuracy": f"WITH {_EVAL} SELECT count(*) AS n_receipts, sum(n_ok)::BIGINT AS n_matches, round(sum(n_ok) / (3 * count(*)), 6) AS accuracy FROM eo",
     "q_entity_f1": _ENTITY,
-    "q_ocr_csv": f"WITH {_QUAD} SELECT 'r' || receipt_id::VARCHAR AS image, text AS word, ocr_milli::BIGINT AS ocr_milli, ax AS ulx, cy AS dry, c1 AS tag FROM qd",
+    "q_ocr_csv": f"WITH {_QUAD} SELECT 'r' || receipt_id::VARCHAR AS image, text AS word, ocr_milli::BIGINT AS ocr_milli, ax AS ulx, cy AS dry, c1::INTEGER AS tag FROM qd",
     "q_color_gate": "SELECT o_orderkey AS receipt_id, least(o_orderkey % 200 + 1, 256)::BIGINT AS n_colours, o_orderkey % 5 <> 0 AND o_orderkey % 200 + 1 >= 100 AS gate FROM orders WHERE o_orderkey < 400",
     "q_label_dim": f"WITH {LAB} SELECT label_id, label, grp, grp_ord, format, colour FROM lab",
     "q_same_group": f"WITH {TOK}, {LAB} SELECT receipt_id, page_no, seq, a.grp = b.grp AND b.grp = c.grp AS same FROM tok JOIN lab a ON c1 = a.label_id JOIN lab b ON c2 = b.label_id JOIN lab c ON c3 = c.label_id",
