@@ -51,7 +51,8 @@ def fit_itq(x: np.ndarray, bits: int, rounds: int = FIT_ROUNDS, seed: int = 7) -
 
 
 def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), dim)
+    """Rows in double precision, from the precision in which they came."""
+    return np.frombuffer(b"".join(raw), f"<f{len(raw[0]) // dim}").reshape(len(raw), dim).astype(np.float64)
 
 
 def _usable(vector: str, label: str) -> object:
@@ -114,7 +115,10 @@ def near_vectors(
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("e"))
+    kind = "<f4" if dict(rows.dtypes)["e"] == "array<float>" else "<f8"
+    if kind == "<f8":
+        rows = rows.withColumn("e", F.col("e").cast("array<double>"))
     usable = rows.where(F.col("vec").isNotNull() & _usable("e", "label")).distinct()
     sample = usable.orderBy(F.xxhash64("vec"), "vec").limit(fit_vectors).select("e").collect()
     if not sample:
@@ -133,7 +137,7 @@ def near_vectors(
             n = np.linalg.norm(x, axis=1, keepdims=True)
             signs = x / np.where(n > 0, n, 1) @ projection >= 0
             packed = np.packbits(signs, axis=1, bitorder="little").reshape(len(lists), -1).copy().view("<i8").ravel()
-            raw = [np.array(v, "<f8").tobytes() for v in lists]
+            raw = [np.array(v, kind).tobytes() for v in lists]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(v) for v in lists], pa.int32()), pa.array(packed, pa.int64()), pa.array(raw, pa.binary())],
                 names=["vec", "label", "dim", "code", "e"],
