@@ -11,6 +11,7 @@ one that names an added token goes to the library as it is.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from quittance.llm.common import bounded_batches, table
 
 #: Pieces that a worker keeps, and the longest piece that it keeps (code points).
-KEPT_PIECES = 200_000
+KEPT_PIECES = 120_000
 LONGEST_KEPT = 48
 #: Words that the library encodes at once.
 JOINED = 512
@@ -51,6 +52,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(maxsize=4)
+def token_table(path: str) -> tuple[bytes, ...]:
+    """The bytes of each id: the byte table reversed. Needs no tokenizer, so decoding holds little memory."""
+    if not path.endswith(".json"):
+        ids = {i: t for t, i in read_ranks(path).items()}
+    else:
+        back = {c: b for b, c in enumerate(byte_chars())}
+        with open(path, encoding="utf-8") as f:
+            d = json.load(f)
+        ids = {i: bytes(back[c] for c in t) for t, i in d["model"]["vocab"].items() if all(c in back for c in t)}
+        ids.update((t["id"], t["content"].encode()) for t in d["added_tokens"])
+    return tuple(ids.get(i, b"") for i in range(max(ids) + 1))
+
+
+def decode_ids(table: tuple[bytes, ...], ids: bytes) -> bytes:
+    """Bytes are joined before anything reads characters, so characters split over tokens come back whole."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def tokenizer_of_ranks(ranks: dict[bytes, int]):
     """A tokenizers.Tokenizer that merges by rank: every way to put a token
     together from two tokens becomes a merge, in the order of the ranks."""
@@ -76,13 +96,8 @@ class Codec:
             self.tokenizer = Tokenizer.from_file(path)
         else:
             self.tokenizer = tokenizer_of_ranks(read_ranks(path))
-        back = {c: b for b, c in enumerate(byte_chars())}
-        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.added = tuple(added.values())
-        #: The bytes of each id: the byte table reversed.
-        self.token_bytes = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.token_bytes[i] = added[i].encode() if i in added else bytes(back[c] for c in token)
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.token_bytes = token_table(path)
         self.first_byte = np.array([b[0] if b else 0 for b in self.token_bytes])
         self.split = regex.compile(pattern).findall
         self.kept = kept
@@ -185,8 +200,7 @@ class Codec:
         return new
 
     def decode(self, ids: bytes) -> bytes:
-        """Bytes are joined before anything reads characters, so characters split over tokens come back whole."""
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return decode_ids(self.token_bytes, ids)
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First and last + 1 character of each token in the text; tokens that share a split character overlap."""
@@ -207,35 +221,43 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", offsets: bool = False, decoded: bool = False, keep_text: bool = True) -> DataFrame:
     """Encodes whole texts without special tokens.
 
-    Returns all columns of ``docs`` plus ``n_tokens`` and ``ids`` (binary, little-endian unsigned 32-bit); with ``offsets``
-    also ``starts`` and ``ends``, the characters that each token covers. Input columns of these names are replaced.
+    Returns all columns of ``docs`` (the text only with ``keep_text``) plus ``n_tokens`` and ``ids`` (binary, little-endian
+    unsigned 32-bit); with ``offsets`` also ``starts`` and ``ends``, the characters that each token covers; with ``decoded``
+    also the bytes that the ids decode to, in the same pass. Input columns of these names are replaced.
 
     Edge cases: a null or empty text has no ids; very long texts are encoded whole; nulls in other columns, repeated rows
     and empty tables pass through as they are.
     """
     bounded_batches(docs.sparkSession)
-    new = {"n_tokens": pa.int64(), "ids": pa.binary()} | ({"starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())} if offsets else {})
+    new = {"n_tokens": (pa.int64(), T.LongType()), "ids": (pa.binary(), T.BinaryType())}
+    if offsets:
+        new |= {k: (pa.list_(pa.int32()), T.ArrayType(T.IntegerType())) for k in ("starts", "ends")}
+    if decoded:
+        new["decoded"] = (pa.binary(), T.BinaryType())
     rest = docs.drop(*new)
+    kept = [c for c in rest.columns if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for batch in batches:
             texts = _texts(batch.column(text_col))
             ids = c.encode(texts)
-            made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            made = {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
             if offsets:
                 spans = [c.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
-                made += [pa.array([s[k].tolist() for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *new])
+                made |= {"starts": [s[0].tolist() for s in spans], "ends": [s[1].tolist() for s in spans]}
+            if decoded:
+                made["decoded"] = [c.decode(x) for x in ids]
+            columns = [batch.column(k) for k in kept] + [pa.array(made[k], kind) for k, (kind, _) in new.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-    types = {"n_tokens": T.LongType(), "ids": T.BinaryType(), "starts": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType())}
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *[T.StructField(name, types[name]) for name in new]]))
+    return rest.mapInArrow(run, T.StructType([*[rest.schema[k] for k in kept], *[T.StructField(k, kind) for k, (_, kind) in new.items()]]))
 
 
-def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Decodes packed ids to bytes by the reversed byte table.
 
     Returns all columns plus ``out_col`` (binary; a column of this name is replaced). Null ids decode to nothing; an id
@@ -245,9 +267,9 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "id
     rest = encoded.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary, pattern)
+        own = token_table(vocabulary)
         for batch in batches:
-            out = [c.decode(x or b"") for x in batch.column(ids_col).to_pylist()]
+            out = [decode_ids(own, x or b"") for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
 
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.BinaryType())]))
@@ -255,7 +277,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "id
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes."""
-    both = decode(encode(docs, vocabulary, pattern).drop("text"), vocabulary, pattern)
+    both = encode(docs, vocabulary, pattern, decoded=True, keep_text=False)
     return both.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("ids", "decoded")
 
 

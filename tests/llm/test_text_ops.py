@@ -135,7 +135,7 @@ def test_bpe_equals_tiktoken_and_round_trips():
 
 def test_bpe_operator_odd_rows(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(frame(spark, ODD, True), path, P.PATTERN, offsets=True), path, P.PATTERN).collect()
+    out = bpe.decode(bpe.encode(frame(spark, ODD, True), path, P.PATTERN, offsets=True), path).collect()
     assert len(out) == len(ODD) and all(bytes(r.decoded).decode() == (r.text or "") and len(r.starts) == r.n_tokens for r in out)
     assert bpe.encode(frame(spark, []), path, P.PATTERN).count() == 0
 
