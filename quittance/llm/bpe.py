@@ -29,6 +29,8 @@ KEPT_PIECES = 120_000
 LONGEST_KEPT = 48
 #: Words that the library encodes at once.
 JOINED = 512
+#: Marks that the pattern cuts off a word before them.
+MARKS = tuple(".,!?;:")
 #: Characters that Python takes for white space and the pattern does not.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -139,9 +141,18 @@ class Codec:
                     out.update((w, self._whole(w)) for w in part)
         return out
 
+    def _split(self, chunk: str) -> list[str]:
+        """The chunk as the pattern splits it; plain words, alone or before one mark, need no pattern."""
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            return [chunk]
+        if chunk[-1:] in MARKS and body[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.split(chunk)
+
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of texts that are split by the pattern."""
-        split = [self.split(c) for c in chunks]
+        split = [self._split(c) for c in chunks]
         known = self.words
         new = {w for ws in split for w in ws if w not in known}
         found = self._encode_words(sorted(new))
