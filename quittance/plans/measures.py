@@ -206,7 +206,7 @@ def q_stream_receipts(spark: SparkSession, d: str) -> DataFrame:
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     ev = D.table(spark, d, "events")
     good = F.to_json(F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), (F.col("user_id") % 2000).cast("string").alias("image"), F.col("event_type").alias("filename")))
-    ev.where("event_id < 3000").select(F.when(F.col("event_id") % 50 == 0, F.lit("{broken")).otherwise(good).alias("value")).write.text(f"{base}/in")
+    ev.select(F.when(F.col("event_id") % 50 == 0, F.lit("{broken")).otherwise(good).alias("value")).write.text(f"{base}/in")
 
     def process(requests: DataFrame) -> DataFrame:
         rows = receipt_rows(prepare(D.entries(spark, d).join(requests.select(F.col("image").cast("long").alias("receipt_id")).distinct(), "receipt_id", "left_semi")))

@@ -31,6 +31,16 @@ def test_stream_answers_each_request_once(spark):
     assert sum(r.result == "not a request" for r in rows) == 20
 
 
+def test_stream_takes_every_event(spark):
+    d = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{d}/events.parquet")
+    n, broken = events.count(), events.where("event_id % 50 = 0").count()
+    rows = registry.queries()["q_stream_receipts"](spark, d).collect()
+    ids = [r.id for r in rows if r.id != "?"]
+    assert n > 3000 and len(rows) == n and len(ids) == len(set(ids)) == n - broken
+    assert sum(r.result == "not a request" for r in rows) == broken
+
+
 def test_documents_are_json(spark):
     import json
 
