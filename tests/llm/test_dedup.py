@@ -166,3 +166,16 @@ def test_similar_documents_against_plain(spark, deal_rows):
     got = sorted(((r.doc, r.component_id) for r in near_text.similar_documents(df, deal_rows=deal_rows).collect()), key=repr)
     assert got == sorted([*want.items(), (0, want[0]), (None, want[0]), (None, None)], key=repr)
     assert near_text.similar_documents(df.limit(0)).count() == 0
+
+
+def test_full_deals_lose_no_pair(spark):
+    from quittance.llm import near_text
+
+    # all share one least shingle and no other
+    rows = [(i, i, i, [7, *range(100 * i + 1000, 100 * i + 1005)]) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "rep long, th long, fp long, keys array<long>")
+    blocks = {}
+    for r in near_text._dealt(nodes, 8).collect():
+        blocks.setdefault((r.mask, r.value, r.b1, r.b2), []).append((r.rep, r.own))
+    met = {(a, b) for (_, _, b1, b2), at in blocks.items() for a, x in at for b, y in at if a < b and (b1 == b2 or x != y)}
+    assert met == {(a, b) for b in range(40) for a in range(b)}
