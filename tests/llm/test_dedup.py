@@ -176,6 +176,21 @@ def test_full_deals_lose_no_pair(spark):
     nodes = spark.createDataFrame(rows, "rep long, th long, fp long, keys array<long>")
     blocks = {}
     for r in near_text._dealt(nodes, 8).collect():
-        blocks.setdefault((r.mask, r.value, r.b1, r.b2), []).append((r.rep, r.own))
+        blocks.setdefault((r.at, r.value, r.b1, r.b2), []).append((r.rep, r.own))
     met = {(a, b) for (_, _, b1, b2), at in blocks.items() for a, x in at for b, y in at if a < b and (b1 == b2 or x != y)}
     assert met == {(a, b) for b in range(40) for a in range(b)}
+
+
+def test_repeats_do_not_part_equal_shingles(spark):
+    from quittance.llm import near_text
+
+    rows = []
+    for g in range(12):
+        rng = random.Random(g)
+        text = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200))
+        phrase = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(6)) + " "
+        rows += [(2 * g, f"{text} {phrase}"), (2 * g + 1, f"{text} {phrase * 33}")]
+    sets = [set(near_text.shingle_hashes(near_text._words(t), 5).tolist()) for _, t in rows]
+    assert all(len(a & b) >= 0.9 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = {r.doc: r.component_id for r in near_text.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
