@@ -205,6 +205,15 @@ def test_pii_base_spans_against_regex():
         assert pii.base_spans(t) == want, t
 
 
+def test_pii_looser_forms_need_no_digit():
+    rng = random.Random(5)
+    bits = ["john", "{at}", "(AT)", "[at]", "example.com", "x(dot)org", " ", ":", "a:b:c:d:e:f:a:b", "fe", "7", "(555) 555-9876", "378282246310005"]
+    texts = ["write to john{at}example.com", "host a:b:c:d:e:f:a:b now"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 10))) for _ in range(4000)]
+    assert pii.more_spans(texts[0]) and pii.more_spans(texts[1])
+    for t in texts:
+        assert pii.more_spans(t) == [(pii.KINDS.index(kind), *m.span()) for kind, p in pii._MORE for m in p.finditer(t)], t
+
+
 def test_pii_operator(spark):
     rows = [*ODD, (10, "Call +1 (555) 555-1234, or phone (555) 555-9876 today"), (11, "mail jane(at)mail.com now, write me"), (12, "9" * 100_000)]
     got = {r.doc: r.spans for r in pii.find_pii(frame(spark, rows, True)).collect()}
