@@ -103,6 +103,7 @@ class Codec:
         self.first_byte = np.array([b[0] if b else 0 for b in self.token_bytes])
         self.split = regex.compile(pattern).findall
         self.kept = kept
+        self.mark_ids = {m: self._whole(m) for m in MARKS}
         self.pieces: dict[str, bytes | bool] = {}
         self.heads: dict[str, bytes | bool] = {}
         self.words: dict[str, bytes] = {}
@@ -155,7 +156,7 @@ class Codec:
         split = [self._split(c) for c in chunks]
         known = self.words
         new = {w for ws in split for w in ws if w not in known}
-        found = self._encode_words(sorted(new))
+        found = self._encode_words(new)
         if len(known) < self.kept:
             known.update((w, b) for w, b in found.items() if len(w) <= LONGEST_KEPT)
         get = lambda w: found[w] if w in found else known[w]
@@ -201,11 +202,30 @@ class Codec:
         return out
 
     def _encode_pieces(self, pieces: set[str], before: str, kept: dict[str, bytes | bool]) -> dict[str, bytes | bool]:
-        """Ids of pieces that stand after ``before``; False where white space at an end of one forbids the cut."""
-        bad = {p for p in pieces if (p[-1].isspace() or (before and p[0].isspace()) if p else before)}
-        good = sorted(pieces - bad)
-        new: dict[str, bytes | bool] = dict(zip(good, self._encode_chunks([before + p for p in good]), strict=True))
-        new.update((p, False) for p in bad)
+        """Ids of pieces that stand after ``before``; False where white space at an end of one forbids the cut.
+
+        Most are plain words, alone or before one mark, which need no pattern:
+        the word's ids, then the mark's.
+        """
+        new: dict[str, bytes | bool] = {}
+        plain, marked, rest = [], [], []
+        for p in pieces:
+            if p.isalpha():
+                plain.append(p)
+            elif p[-1:] in self.mark_ids and p[:-1].isalpha():
+                marked.append(p)
+            elif not p or p[-1].isspace() or (before and p[0].isspace()):
+                new[p] = False if p or before else b""
+            else:
+                rest.append(p)
+        bodies = {p[:-1] for p in marked}.difference(kept, plain)
+        found = self._encode_words([before + p for p in plain] + [before + b for b in bodies])
+        new.update((p, found[before + p]) for p in plain)
+        mark_ids = self.mark_ids
+        for p in marked:
+            body = p[:-1]
+            new[p] = (kept.get(body) or found[before + body]) + mark_ids[p[-1]]
+        new.update(zip(rest, self._encode_chunks([before + p for p in rest]), strict=True))
         if len(kept) < self.kept:
             kept.update((p, b) for p, b in new.items() if len(p) <= LONGEST_KEPT)
         return new

@@ -17,21 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, unless the application was started with a bound of its own."""
+    """Bounds Arrow batches by bytes, unless the application or the session has a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.sparkContext.getConf().get(key) is None:
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where none is set, a temporary folder serves a local master, as in tests;
+    a cluster without one is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quittance-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate folder that nothing reads any more, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession

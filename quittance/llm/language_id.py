@@ -17,17 +17,24 @@ DIMENSIONS = 1 << 15
 LENGTHS = (1, 2, 3)
 #: Labelled documents of the training sample, over all languages.
 SAMPLE_DOCS = 2000
+#: Most languages, whose counts and weights (262 KB each) are held by the driver and every worker; more are an error.
+MAX_LANGUAGES = 500
 #: Learner: FTRL step sizes, elastic net, passes.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.5, 3
+#: Parts of one in which a language's share of the sample is told: 500 documents of 10^15 are some.
+_SHARES = 1 << 62
 #: Characters counted at once.
 _STEP = 1 << 20
+#: Texts of no more characters are counted by sorting, others in a table of all dimensions.
+_FEW = 1000
 
 
-def counts(text: str) -> np.ndarray:
-    """How often each hashed n-gram occurs in the lower-cased whole text."""
-    out = np.zeros(DIMENSIONS, np.int64)
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of the lower-cased whole text, in order, and how often each occurs."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     reach = max(LENGTHS) - 1
+    dense = None
+    few: list[np.ndarray] = []
     for i in range(0, len(points), _STEP):
         part = points[i : i + _STEP + reach]
         own = min(_STEP, len(points) - i)
@@ -37,14 +44,20 @@ def counts(text: str) -> np.ndarray:
                 break
             h = h[: len(part) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + (part[n - 1 :] + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F)
             if n in LENGTHS:
-                out += np.bincount(((h[:own] ^ h[:own] >> np.uint64(29)) >> np.uint64(7) & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
-    return out
-
-
-def features(c: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                few.append(((h[:own] ^ h[:own] >> np.uint64(29)) >> np.uint64(7) & np.uint64(DIMENSIONS - 1)).astype(np.int64))
+        if len(points) > _FEW:
+            made = np.bincount(np.concatenate(few), minlength=DIMENSIONS)
+            dense = made if dense is None else dense + made
+            few = []
+    if dense is not None:
+        at = np.flatnonzero(dense)
+        return at, dense[at]
+    return np.unique(np.concatenate(few), return_counts=True) if few else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def features(at: np.ndarray, c: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the unit-length TF-IDF vector."""
-    at = np.flatnonzero(c)
-    x = np.log1p(c[at]) * idf[at]
+    x = np.log1p(c) * idf[at]
     norm = np.sqrt((x * x).sum())
     return at, x / norm if norm > 0 else x
 
@@ -114,7 +127,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not text or not has_letter(text):
             return "und", 0.0
-        at, x = features(counts(text), self.idf)
+        at, x = features(*counts(text), self.idf)
         p = softmax(self.weights[:, at] @ x + self.weights[:, -1])
         k = int(p.argmax())
         return self.langs[k], float(p[k])
@@ -126,8 +139,15 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Document frequencies count every labelled document. The regression sees a
     sample of about ``sample_docs`` documents, the same number of each language
     as far as there are, chosen by a hash of the id; one in five of it is held
-    back for the temperature. Only the frequencies (one for each dimension), the
-    languages and the sample's counts come to the driver.
+    back for the temperature, but never a language's first. Only the frequencies
+    (one for each dimension), the languages (MAX_LANGUAGES at most, else an
+    error) and the sample's counts come to the driver.
+
+    Edge cases: rows with a null text or language teach nothing; an empty text
+    counts as a document without n-grams; repeated rows count again; rows with a
+    null id are sampled like one id; a language of one document is learned from
+    it; an empty table gives a model that finds every text ``und``; other
+    columns are not looked at.
     """
     spark = labelled.sparkSession
     bounded_batches(spark)
@@ -137,7 +157,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         df = np.zeros(DIMENSIONS + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                df[:-1] += counts(text) > 0
+                df[counts(text)[0]] += 1
                 df[-1] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["i", "n"])
@@ -147,21 +167,22 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         df[r.i] = r.n
     n_docs = df[-1]
     idf = np.log((1 + n_docs) / (1 + df[:-1])) + 1
-    per_lang = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    per_lang = {r.lang: r["count"] for r in docs.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(per_lang) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
     langs = sorted(per_lang)
     if not langs:
         return Model([], idf, np.zeros((0, DIMENSIONS + 1)))
     each = max(20, sample_docs // len(langs))
-    shares = spark.createDataFrame([(k, int(min(1.0, each / v) * (1 << 20))) for k, v in per_lang.items()], "lang string, share int")
-    picked = docs.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(1 << 20)) < F.col("share"))
+    shares = spark.createDataFrame([(k, min(_SHARES, each * _SHARES // v)) for k, v in per_lang.items()], "lang string, share long")
+    picked = docs.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(_SHARES)) < F.col("share"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(2).to_pylist():
-                c = counts(text)
-                at = np.flatnonzero(c)
-                rows.append((at.astype("<u2").tobytes(), np.minimum(c[at], 65535).astype("<u2").tobytes()))
+                at, c = counts(text)
+                rows.append((at.astype("<u2").tobytes(), np.minimum(c, 65535).astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["h", "lang", "at", "c"]
             )
@@ -171,10 +192,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     model = Ftrl(len(langs), DIMENSIONS)
     index = {k: i for i, k in enumerate(langs)}
     examples = []
+    learned = set()
     for r in sample:
-        dense = np.zeros(DIMENSIONS, np.int64)
-        dense[np.frombuffer(r.at, "<u2")] = np.frombuffer(r.c, "<u2")
-        examples.append((r.h % 5 == 0, *features(dense, idf), index[r.lang]))
+        at, c = (np.frombuffer(x, "<u2").astype(np.int64) for x in (r.at, r.c))
+        examples.append((r.h % 5 == 0 and r.lang in learned, *features(at, c, idf), index[r.lang]))
+        learned.add(r.lang)
     for _ in range(PASSES):
         for back, at, x, y in examples:
             if not back:

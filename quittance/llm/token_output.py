@@ -5,13 +5,15 @@ A shard holds whole documents in ascending order and is one binary record:
 ====================  =========================================================
 magic                 ``QRP1``
 counts                unsigned 32-bit: base symbols, rules, symbols, documents
-rules                 pairs of unsigned 32-bit symbols; a rule names earlier ones
+rules                 pairs of symbols, packed; a rule names earlier ones
 expansion lengths     unsigned 32-bit per rule: the ids that it stands for
-sequence              unsigned 16-bit symbols where all fit, else 32-bit
+sequence              symbols, packed
 documents             signed 64-bit ids, a null-id byte each, unsigned 32-bit lengths
 ====================  =========================================================
 
-All is little-endian. The lengths let a reader find and expand just the symbols
+All is little-endian. Packed symbols take as many bits as the largest symbol
+needs, so neither the vocabulary nor the number of rules has a bound (symbols
+stay under 2^31). The lengths let a reader find and expand just the symbols
 that cover one document. Shards are rows of a Parquet table, since only Spark's
 own writers reach every store.
 """
@@ -34,10 +36,13 @@ from quittance.llm.common import bounded_batches, shared_dir, table
 MAGIC = b"QRP1"
 #: Ids of a shard before it is closed; its last document may go beyond.
 SHARD_IDS = 1 << 20
-#: Least count of a pair that gets a rule, and least share by which a round must shorten a shard for another round.
-LEAST_COUNT = 12
-LEAST_GAIN = 0.02
+#: Least count of a pair that gets a rule: a rule takes 4 bytes and two symbols, each replaced pair gives one symbol back.
+LEAST_COUNT = 8
+#: Least share by which a round must shorten a shard for another round. Rounds to the very end give shards that are about 1 % smaller.
+LEAST_GAIN = 0.01
 _BINS = 1 << 18
+#: Bytes of text that a writing task sorts and encodes, about.
+TASK_BYTES = 128 << 20
 #: Pieces that a writing worker keeps encoded; it runs alone in its task.
 WRITER_PIECES = 450_000
 
@@ -67,11 +72,12 @@ def repair(ids: np.ndarray, n_base: int, max_rules: int | None = None) -> tuple[
     frequent first, as long as no symbol is the left of one pair and the right
     of another; so no two occurrences overlap and a round replaces all of them
     at once. A symbol paired with itself has no other pair in that round, and
-    every other pair of a run is replaced. Rounds go on while they shorten the
-    sequence.
+    every other pair of a run is replaced. Rounds go on while pairs repeat
+    LEAST_COUNT times and a round shortens the sequence by LEAST_GAIN;
+    ``max_rules`` bounds the rules only where a caller asks for it.
     """
     seq = ids.astype(np.int32)
-    room = max(0, (1 << 16) - n_base) if max_rules is None else max_rules
+    room = (1 << 31) - 1 - n_base if max_rules is None else max_rules
     rules: list[np.ndarray] = []
     n_rules = 0
     salt = 0
@@ -127,17 +133,32 @@ def repair(ids: np.ndarray, n_base: int, max_rules: int | None = None) -> tuple[
     return table_, lengths[n_base:], seq
 
 
+def _width(n_symbols: int) -> int:
+    return max(1, (n_symbols - 1).bit_length())
+
+
+def _packed(symbols: np.ndarray, width: int) -> bytes:
+    bits = np.unpackbits(symbols.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+
+
+def _unpacked(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(raw, count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
+
+
 def pack(doc_ids: list[int | None], ids: list[bytes], n_base: int) -> bytes:
     """The record of one shard."""
     rules, lengths, seq = repair(np.frombuffer(b"".join(ids), "<u4"), n_base)
-    wide = n_base + len(rules) > 1 << 16
+    width = _width(n_base + len(rules))
     return b"".join(
         [
             MAGIC,
             struct.pack("<4I", n_base, len(rules), len(seq), len(ids)),
-            rules.astype("<u4").tobytes(),
+            _packed(rules.ravel(), width),
             lengths.astype("<u4").tobytes(),
-            seq.astype("<u4" if wide else "<u2").tobytes(),
+            _packed(seq, width),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             bytes(d is None for d in doc_ids),
             np.array([len(x) // 4 for x in ids], "<u4").tobytes(),
@@ -160,9 +181,13 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules = take("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
+        def symbols(n: int) -> np.ndarray:
+            width = _width(self.n_base + n_rules)
+            return _unpacked(take("u1", -(-n * width // 8)), n, width)
+
+        self.rules = symbols(2 * n_rules).reshape(-1, 2)
         self.lengths = np.concatenate([np.ones(self.n_base, np.int64), take("<u4", n_rules).astype(np.int64)])
-        self.seq = take("<u4" if self.n_base + n_rules > 1 << 16 else "<u2", n_seq).astype(np.int64)
+        self.seq = symbols(n_seq)
         ids, null = take("<i8", n_docs), take("<u1", n_docs)
         self.doc_ids = [None if z else d for d, z in zip(ids.tolist(), null.tolist(), strict=True)]
         self.n_ids = take("<u4", n_docs).astype(np.int64)
@@ -213,7 +238,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_
     """Encodes texts, appends ``end_id`` to each document and writes Re-Pair shards in ascending order of ``id_col``.
 
     Documents are dealt out by ranges of ids, so that every task writes a run of
-    the global order; a task holds one open shard at a time.
+    the global order; a task holds one open shard at a time. There are as many
+    tasks as TASK_BYTES of text need, and spark.sql.shuffle.partitions at least.
 
     Edge cases: a null or empty text is its end id alone; null ids come first;
     rows that share an id follow each other in the order of their texts; a
@@ -251,7 +277,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_
         if open_docs:
             yield close()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).repartitionByRange(n, "doc").sortWithinPartitions("doc", "text")
     dealt.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 

@@ -19,8 +19,9 @@ RULES = (
 )
 #: Hex digits of a digest that are joined on; the whole digest is compared after.
 PREFIX = 8
-#: Most rules that are broadcast; more are joined by a shuffle.
+#: Most rules, and bytes of them, that are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -32,6 +33,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
+def _labels(host: Column) -> Column:
+    """How many labels a host has."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
 def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
@@ -39,12 +45,15 @@ def _digest(host: Column, path: Column) -> Column:
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """Judges urls by the longest rule that fits; ``rules`` has verdict, host and path.
 
-    A url becomes the expressions (host suffix at a label, path prefix): all
-    suffixes of its host, and the prefixes of its path at the lengths that rule
-    paths have. Expressions meet the rules in an equi-join on the first digits
-    of a digest; the full digest confirms; the longest rule wins (host and path
-    together, then the host, then block before allow). Distinct urls are judged
-    once, and verdicts go back to the rows by url.
+    A url becomes the expressions (host suffix at a label, path prefix): the
+    suffixes of its host that have as many labels as some rule's host, and the
+    prefixes of its path that are as long as some rule's path. Expressions meet
+    the rules in an equi-join on the first digits of a digest; the full digest
+    confirms; the longest rule wins (host and path together, then the host, then
+    block before allow). Only distinct pairs of host and path prefix are judged,
+    and verdicts go back to the rows by that pair, as one key: so the join
+    shuffles both sides for itself and adaptive execution splits a hot url.
+    Rows without a host do not take part.
 
     Returns ``pages`` plus ``host``, ``path``, ``rule`` and ``verdict``; input
     columns of these names are replaced. Urls that no rule fits get ``default``.
@@ -52,7 +61,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     Edge cases: a null url, or one without ``://``, has an empty host and path
     and gets the default; an empty path fits no rule; repeated rows stay and get
     the same verdict; an empty table gives an empty table; a rule with a null
-    field fits nothing; no rules at all: the default for all.
+    field fits nothing; no rules at all: the default for all. A host of many
+    thousand labels costs no more than its length.
     """
     rules = (
         rules.select("verdict", ascii_lower(F.col("host")).alias("rhost"), F.col("path").alias("rpath"))
@@ -60,23 +70,27 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         .withColumn("rdigest", _digest(F.col("rhost"), F.col("rpath")))
         .withColumn("rprefix", F.substring("rdigest", 1, PREFIX))
     )
-    n_rules, lengths = rules.agg(F.count(F.lit(1)), F.collect_set(F.length("rpath"))).first()
-    if n_rules <= BROADCAST_RULES:
+    n_rules, n_bytes, lengths, depths = rules.agg(
+        F.count(F.lit(1)), F.sum(F.octet_length("rhost") + F.octet_length("rpath") + 100), F.collect_set(F.length("rpath")), F.collect_set(_labels(F.col("rhost")))
+    ).first()
+    if n_rules <= BROADCAST_RULES and (n_bytes or 0) <= BROADCAST_BYTES:
         rules = F.broadcast(rules)
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    longest = max(lengths, default=0)
+    rest = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
+    # what decides: the host, and the path up to the longest rule's
+    rest = rest.withColumn("__uf_k", F.when((F.col("host") != "") & (F.col("path") != ""), F.struct("host", F.substring("path", 1, longest).alias("path"))))
+    hosts = F.array_compact(F.array(*[F.when(_labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in sorted(depths)]))
     paths = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)]))
     judged = (
-        pages.select(F.col(url_col).alias("url"))
-        .where(F.col("url").isNotNull())
-        .select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-        .where(F.col("host") != "")
-        .select("url", F.explode(hosts).alias("xhost"), paths.alias("paths"))
-        .select("url", "xhost", F.explode("paths").alias("xpath"))
+        rest.where(F.col("__uf_k").isNotNull())
+        .select("__uf_k.host", "__uf_k.path")
+        .distinct()
+        .select("host", "path", F.explode(hosts).alias("xhost"), paths.alias("paths"))
+        .select("host", "path", "xhost", F.explode("paths").alias("xpath"))
         .withColumn("digest", _digest(F.col("xhost"), F.col("xpath")))
         .withColumn("prefix", F.substring("digest", 1, PREFIX))
         .join(rules, (F.col("prefix") == F.col("rprefix")) & (F.col("digest") == F.col("rdigest")))
-        .groupBy(F.col("url").alias("__uf_url"))
+        .groupBy("host", "path")
         .agg(
             F.max(
                 F.struct(
@@ -88,19 +102,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
                 )
             ).alias("__uf_won")
         )
+        .select(F.struct("host", "path").alias("__uf_k2"), "__uf_won")
     )
-    rest = pages.drop("host", "path", "rule", "verdict")
     return (
-        rest.join(judged, F.col(url_col) == F.col("__uf_url"), "left")
-        .withColumns(
-            {
-                "host": host_of(F.col(url_col)),
-                "path": path_of(F.col(url_col)),
-                "rule": F.col("__uf_won.rule"),
-                "verdict": F.coalesce(F.col("__uf_won.verdict"), F.lit(default)),
-            }
-        )
-        .drop("__uf_url", "__uf_won")
+        rest.join(judged, F.col("__uf_k") == F.col("__uf_k2"), "left")
+        .withColumns({"rule": F.col("__uf_won.rule"), "verdict": F.coalesce(F.col("__uf_won.verdict"), F.lit(default))})
+        .drop("__uf_k", "__uf_k2", "__uf_won")
     )
 
 

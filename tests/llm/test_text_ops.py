@@ -238,3 +238,88 @@ def test_language_odd_rows(spark):
     none = language_id.train(labelled.where("lang is null"))
     assert language_id.identify(frame(spark, [(1, "abc")]), none).first().lang_pred == "und"
     assert language_id.identify(frame(spark, []), model).count() == 0
+
+
+def urls_plain(url, rules):
+    m = re.match(r"(?s)^.*?://([^/?#]*)(/[^?#]*)?", url or "")
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]) if m else ""
+    path = (m[2] or "") if m else ""
+    fit = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[3:] if fit else (None, "allow")))
+
+
+def test_urls_against_plain(spark, monkeypatch):
+    rng = random.Random(6)
+    rules = [*url_filter.RULES, ("block", "a.b.c.example.com", "/"), ("block", "b..c", "/x"), ("allow", "com", "/long/path/of/a/rule/")]
+    rows = [(i, rng.choice(["http://", "HTTPS://", "://", ""]) + ".".join(rng.choice(["a", "b", "c", "", "www", "example", "com", "net", "É"]) for _ in range(rng.randint(0, 6))) + rng.choice(["", "/", "/en/", "/en", "/es/x", "/fr/?q", "/x", "/long/path/of/a/rule/z", "?/en/", "#"])) for i in range(600)]
+    rows += [(1000, "http://" + "a." * 100_000 + "com/en/"), (1001, "http://x.net/es/" + "p" * 100_000), (1002, rows[0][1]), (1003, None)]
+    for n in (url_filter.BROADCAST_RULES, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", n)
+        got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_table(spark, rules)).collect()
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: urls_plain(u, rules) for i, u in rows} and len(got) == len(rows)
+
+
+def test_urls_empty_and_null_tables(spark):
+    rules = url_filter.rule_table(spark)
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+    got = url_filter.filter_urls(spark.createDataFrame([(i, None) for i in range(50)], "page_id long, url string"), rules).collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [("", "", None, "allow")] * 50
+
+
+def test_repair_has_no_bound_on_the_vocabulary():
+    ids = np.tile(np.arange(40, dtype="<u4"), 500)
+    sizes = []
+    for n_base in (50_000, 65_536, 100_000, 1 << 20):
+        raw = token_output.pack([1, 2], [ids.tobytes(), ids[:7].tobytes()], n_base)
+        s = token_output.Shard(raw)
+        assert (s.all_ids() == np.concatenate([ids, ids[:7]])).all() and (s.document(1) == ids[:7]).all()
+        sizes.append(len(s.rules))
+    assert len(set(sizes)) == 1 and sizes[0] > 0
+
+
+def test_language_sample_of_any_size():
+    # a language of 10^15 documents keeps a share above zero
+    assert min(language_id._SHARES, 500 * language_id._SHARES // 10**15) > 10**6
+
+
+def test_language_counts_alike_in_all_ways(monkeypatch):
+    from collections import Counter
+
+    text = "Some Text of ä few wörds, 漢字 and more " * 50
+    at, c = language_id.counts(text)
+    monkeypatch.setattr(language_id, "_FEW", 10**9)
+    monkeypatch.setattr(language_id, "_STEP", 37)
+    by_sorting = language_id.counts(text)
+    monkeypatch.setattr(language_id, "_FEW", 10)
+    in_steps = language_id.counts(text)
+    for other in (by_sorting, in_steps):
+        assert (at == other[0]).all() and (c == other[1]).all()
+    low = text.lower()
+    assert c.sum() == sum(sum(Counter(low[i : i + n] for i in range(len(low) - n + 1)).values()) for n in language_id.LENGTHS)
+
+
+def test_language_long_text_and_rare_language(spark):
+    labelled = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("der die das und", "de"), ("the and of to", "en")] * 20)] + [(99, "el la los y", "es")], "doc_id long, text string, lang string")
+    model = language_id.train(labelled)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(frame(spark, [(1, "der und die " * 200_000)]), model).collect()}
+    assert model.langs == ["de", "en", "es"] and got == {1: "de"}
+    assert (np.abs(model.weights).sum(1) > 0).all()  # even the language of one document is learned, not held back
+
+
+@pytest.mark.parametrize("name", ["bpe", "token_output"])
+def test_codec_queries_to_the_digest(spark, name):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    if name == "bpe":
+        ref = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+        got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.query(spark, DIR).collect()}
+        ids = {d: np.array(ref.encode_ordinary(t), "<u4").tobytes() for d, t in docs.items()}
+        assert got == {d: (len(ids[d]) // 4, hashlib.sha256(ids[d]).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in docs.items()}
+    else:
+        ref = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_output.query(spark, DIR).collect()}
+        start, want = 0, {}
+        for d in sorted(docs):
+            ids = np.array([*ref.encode(docs[d], add_special_tokens=False).ids, 0], "<u4").tobytes()
+            want[d] = (start, len(ids) // 4, zlib.crc32(ids))
+            start += len(ids) // 4
+        assert got == want
