@@ -46,8 +46,10 @@ NOTICES = (
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
-#: Words of a rolling gram.
+#: Words of a rolling gram, words between diagonals that are merged, and the share of a notice's grams that a span must hold.
 K = 3
+MAX_GAP = 3
+MIN_COVER = 0.8
 #: Most template grams that are broadcast; more are joined by a shuffle.
 BROADCAST_GRAMS = 200_000
 
@@ -80,15 +82,31 @@ def _grams(df: DataFrame, words: str, keep: Sequence[str], k: int) -> DataFrame:
     return out.select(*keep, "pos", *[g.alias(f"w{i}") for i, g in enumerate(grams)])
 
 
-def template_grams(spark: SparkSession, templates: Sequence[Template], k: int) -> DataFrame:
-    """Positions of the templates' rolling grams: tid, label, base, n_tokens, tpos, h and the words."""
-    rows = []
-    for tid, t in enumerate(templates):
+def gram_rows(templates: Sequence[Template], k: int = K, min_cover: float = MIN_COVER) -> list[tuple]:
+    """(tid, label, base, tlen, tpos, tells, words of the gram) of each position of the templates.
+
+    Two notices of different labels of which one's grams cover the other well
+    enough to pass for it (version 2 and version 3) are told apart by the grams
+    that only one has: ``tells`` is set on those. Where nothing can pass for a
+    template, all its grams tell.
+    """
+    cut = []
+    for t in templates:
         words = "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in t.text.lower()).split()
         if len(words) < k:
             raise ValueError(f"a template needs at least {k} words: {t.text!r}")
-        rows += [(tid, t.label, t.base, len(words), p, *words[p : p + k]) for p in range(len(words) - k + 1)]
-    schema = "tid int, label string, base boolean, tlen int, tpos int, " + ", ".join(f"t{i} string" for i in range(k))
+        cut.append((t, len(words), [tuple(words[p : p + k]) for p in range(len(words) - k + 1)]))
+    rows = []
+    for tid, (t, n, grams) in enumerate(cut):
+        like = [set(g) for o, _, g in cut if o.label != t.label and not o.base and len(set(g) & set(grams)) >= min_cover * len(set(grams))]
+        rows += [(tid, t.label, t.base, n, p, not any(g in x for x in like), *g) for p, g in enumerate(grams)]
+    return rows
+
+
+def template_grams(spark: SparkSession, templates: Sequence[Template], k: int, min_cover: float) -> DataFrame:
+    """gram_rows as a table with the hash ``th`` of each gram."""
+    rows = gram_rows(templates, k, min_cover)
+    schema = "tid int, label string, base boolean, tlen int, tpos int, tells boolean, " + ", ".join(f"t{i} string" for i in range(k))
     grams = spark.createDataFrame(rows, schema).withColumn("th", F.xxhash64(*[f"t{i}" for i in range(k)]))
     return F.broadcast(grams) if len(rows) <= BROADCAST_GRAMS else grams
 
@@ -99,8 +117,8 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
     k: int = K,
-    max_gap: int = 3,
-    min_cover: float = 0.8,
+    max_gap: int = MAX_GAP,
+    min_cover: float = MIN_COVER,
 ) -> DataFrame:
     """Finds license templates in texts by voting on diagonals.
 
@@ -109,20 +127,23 @@ def scan_licenses(
     summed by (document, template, position - template position); neighbouring
     diagonals (starts at most a template apart, offsets at most ``max_gap``
     words apart) are merged, which bridges words put in or left out; a merged
-    span is verified by the share of the template's grams that it holds. Base
+    span is verified by the share of the template's grams that it holds, and,
+    where another notice could pass for it, by a gram that only it has. Base
     templates count wherever one diagonal holds all their grams. A row for
     every document rides along in the same pass, so texts are neither joined
     nor shuffled.
 
-    Returns a row for each distinct (id, text): ``id_col``, ``n_words``,
+    Returns a row for each row of ``docs``: ``id_col``, ``n_words``,
     ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``,
     ``score`` (the largest share of a template found) and ``spans``, an array of
     (label, first word, last word, cover).
 
     Edge cases: a null or empty text has no words and no labels (empty strings,
-    null places, score 0); rows that repeat id and text give one row; a null id
-    is a value like any other; an empty table gives an empty table; other
-    columns of ``docs`` are not looked at.
+    null places, score 0); rows that repeat id and text are judged once and all
+    returned; a null id is a value like any other; very long texts are read
+    whole; a span that two templates of one label hold counts for each; notices
+    that only differ in words a text does not have give no label; an empty table
+    gives an empty table; other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
     base = (
@@ -130,16 +151,17 @@ def scan_licenses(
         .withColumn("n_words", F.size("words").cast("long"))
     )
     grams = _grams(base, "words", ["doc", "th0", "n_words"], k)
-    hit = grams.withColumn("h", F.when(F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*[f"w{i}" for i in range(k)])))
-    tpl = template_grams(spark, templates, k)
+    # copies of a row are counted where its first gram is
+    hit = grams.withColumn("one", (F.coalesce(F.col("pos"), F.lit(0)) == 0).cast("long")).withColumn("h", F.when(F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*[f"w{i}" for i in range(k)])))
+    tpl = template_grams(spark, templates, k, min_cover)
     same = F.col("h") == F.col("th")
     for i in range(k):
         same = same & (F.col(f"w{i}") == F.col(f"t{i}"))
     votes = (
         hit.join(tpl, same, "left")
-        .where(F.col("tid").isNotNull() | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
+        .where(F.col("tid").isNotNull() | (F.col("one") == 1))
         .groupBy("doc", "th0", "n_words", "tid", "label", "base", "tlen", (F.col("pos") - F.col("tpos")).alias("diag"))
-        .agg(F.collect_set("tpos").alias("tposes"))
+        .agg(F.collect_set("tpos").alias("tposes"), F.coalesce(F.max("tells"), F.lit(False)).alias("tells"), F.sum("one").alias("copies"))
         .withColumns({"got": F.size("tposes"), "lo": F.col("diag") + F.array_min("tposes"), "hi": F.col("diag") + F.array_max("tposes") + (k - 1)})
     )
     order = W.partitionBy("doc", "th0", "tid").orderBy("lo", "diag")
@@ -160,11 +182,13 @@ def scan_licenses(
             F.sum((F.col("got") == F.col("tlen") - (k - 1)).cast("long")).alias("whole"),
             F.min(F.when(F.col("got") == F.col("tlen") - (k - 1), F.col("diag"))).alias("first"),
             F.max(F.when(F.col("got") == F.col("tlen") - (k - 1), F.col("diag"))).alias("last"),
+            F.max("tells").alias("tells"),
+            F.max("copies").alias("copies"),
         )
         .withColumn("cover", F.coalesce(F.col("got") / (F.col("tlen") - (k - 1)), F.lit(0.0)))
     )
     is_base = F.col("base") & (F.col("whole") > 0)
-    found = is_base | (~F.col("base") & (F.col("cover") >= min_cover))
+    found = is_base | (~F.col("base") & (F.col("cover") >= min_cover) & F.col("tells"))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return (
         merged.groupBy("doc", "th0", "n_words")
@@ -176,10 +200,41 @@ def scan_licenses(
             labels(found).alias("labels"),
             F.max("cover").alias("score"),
             F.array_sort(F.collect_list(F.when(found, F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"), "label", "cover")))).alias("spans"),
+            F.max("copies").alias("copies"),
         )
+        .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
         .select(F.col("doc").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _oracle_sql() -> str:
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({tid}, {text(label)}, {base}, {n}, {p}, {tells}, {text(' '.join(g))})" for tid, label, base, n, p, tells, *g in gram_rows(BASE + NOTICES))
+    whole = f"FILTER (WHERE got = tlen - {K - 1})"
+    return f"""
+WITH t(tid, label, base, tlen, tpos, tells, gram) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT rid, i - 1 AS pos, a || ' ' || b || ' ' || c AS gram FROM (SELECT rid, generate_subscripts(w, 1) AS i, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM d)),
+v AS (SELECT rid, tid, label, base, tlen, pos - tpos AS diag, list(DISTINCT tpos) AS tp, count(DISTINCT tpos) AS got, min(pos) AS lo, max(pos) + {K - 1} AS hi, bool_or(tells) AS tells
+      FROM g JOIN t USING (gram) GROUP BY ALL),
+o AS (SELECT *, coalesce(lo - max(hi) OVER (PARTITION BY rid, tid ORDER BY lo, diag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {MAX_GAP}
+        OR abs(diag - lag(diag) OVER u) > {MAX_GAP} OR lo - lag(lo) OVER u >= tlen, TRUE)::INT AS new FROM v WINDOW u AS (PARTITION BY rid, tid ORDER BY lo, diag)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY rid, tid ORDER BY lo, diag) AS island FROM o),
+m AS (SELECT rid, tid, label, base, tlen, island, len(list_distinct(flatten(list(tp)))) / (tlen - {K - 1}) AS cover, count(*) {whole} AS n_whole,
+        min(diag) {whole} AS first, max(diag) {whole} AS last, bool_or(tells) AS tells FROM s GROUP BY rid, tid, label, base, tlen, island),
+f AS (SELECT *, base AND n_whole > 0 AS is_base, (base AND n_whole > 0) OR (NOT base AND cover >= {MIN_COVER} AND tells) AS found FROM m),
+r AS (SELECT rid, sum(n_whole) FILTER (WHERE is_base) AS n_base, min(first) FILTER (WHERE is_base) AS first_word, max(last) FILTER (WHERE is_base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found) AS labels, max(cover) AS score
+      FROM f GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (rid)
+"""
+
+
+ORACLE_SQL = _oracle_sql()

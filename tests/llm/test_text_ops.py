@@ -323,3 +323,45 @@ def test_codec_queries_to_the_digest(spark, name):
             want[d] = (start, len(ids) // 4, zlib.crc32(ids))
             start += len(ids) // 4
         assert got == want
+
+
+def spans_plain(words, templates, max_gap, min_cover):
+    """Notices of a text, one template and one place after another: (label, cover) of spans that hold enough of a notice and a gram that tells."""
+    rows, k, out = license_scan.gram_rows(templates), license_scan.K, []
+    for tid in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == tid]
+        diags = {}
+        for r in own:
+            for i in range(len(words) - k + 1):
+                if tuple(words[i : i + k]) == tuple(r[6:]):
+                    diags.setdefault(i - r[4], {})[r[4]] = r[5]
+        order = sorted((d + min(x), d, x) for d, x in diags.items())
+        island, reach, before = [], None, None
+        for lo, d, x in order:
+            if before is None or lo - reach > max_gap or abs(d - before[1]) > max_gap or lo - before[0] >= own[0][3]:
+                island.append({})
+            island[-1].update(x)
+            reach, before = max(reach or 0, d + max(x) + k - 1), (lo, d)
+        for x in island:
+            cover = len(x) / len(own)
+            out.append((own[0][1], cover, cover >= min_cover and not own[0][2] and any(x.values())))
+    return out
+
+
+def test_license_labels_against_plain(spark):
+    rng = random.Random(12)
+    gnu = "licensed under the GNU General Public License"
+    bits = [gnu, f"{gnu}, version 3", f"{gnu} version 2", "licensed under the (new) gnu general public license, version 3", "a creative commons attribution sharealike 4.0 international license", "licensed under", "word", "public license version 2", *[t.text for t in license_scan.NOTICES[:6]]]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 5)))) for i in range(200)] + [(7, gnu), (7, gnu), (None, gnu), (500, "x " * 100_000 + f"{gnu} version 2")]
+    got = license_scan.scan_licenses(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        texts = [t for d, t in rows if d == r.doc_id]
+        assert any((r.labels, r.score) == (",".join(sorted({x for x, _, ok in p if ok} | set(filter(None, r.base_labels.split(","))))), max([c for _, c, _ in p], default=0.0)) for p in (spans_plain([w.lower() for w in re.findall(r"[0-9A-Za-z]+", t)], license_scan.BASE + license_scan.NOTICES, 3, 0.8) for t in texts))
+
+
+def test_license_versions(spark):
+    gnu = "This is licensed under the GNU General Public License"
+    rows = [(1, f"{gnu}, version 3."), (2, f"{gnu}, version 2."), (3, f"{gnu}, version 1."), (4, gnu), (5, f"{gnu}, version 2, or {gnu} version 3"), (6, "licensed under a creative commons attribution 4.0 international license"), (7, "licensed under a creative commons attribution sharealike 4.0 international license")]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {1: "gpl-3", 2: "gpl-2", 3: "", 4: "", 5: "gpl-2,gpl-3", 6: "cc-by", 7: "cc-by-sa"}
