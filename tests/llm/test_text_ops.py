@@ -365,3 +365,52 @@ def test_license_versions(spark):
     rows = [(1, f"{gnu}, version 3."), (2, f"{gnu}, version 2."), (3, f"{gnu}, version 1."), (4, gnu), (5, f"{gnu}, version 2, or {gnu} version 3"), (6, "licensed under a creative commons attribution 4.0 international license"), (7, "licensed under a creative commons attribution sharealike 4.0 international license")]
     got = {r.doc_id: r.labels for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
     assert got == {1: "gpl-3", 2: "gpl-2", 3: "", 4: "", 5: "gpl-2,gpl-3", 6: "cc-by", 7: "cc-by-sa"}
+
+
+PLANTED = [
+    ("email", "mail jane.roe(at)mail.com now", "jane.roe(at)mail.com"), ("email", "write to bob [at] example (dot) org please", "bob [at] example (dot) org"),
+    ("ip", "the host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("card", "card 3782 822463 10005 thanks", "3782 822463 10005"),
+    ("phone", "call (555) 555-9876 today", "(555) 555-9876"), ("phone", "tel 212-555-0187", "212-555-0187"),
+]
+DECOYS = ["firmware version 1.2.300.4 is out", "id 1234-5678-9012-3456 of", "serial 3782 822463 10006", "a:1:2:3:4:5:6:7:8", "order no 1234 5678 9012 3456"]
+
+
+def test_pii_adds_planted_spans_and_no_decoys(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    own = [(10**6 + i, t) for i, (_, t, _) in enumerate(PLANTED)] + [(2 * 10**6 + i, t) for i, t in enumerate(DECOYS)]
+    got = {r.doc: r.spans for r in pii.find_pii(docs.unionByName(frame(spark, own))).collect()}
+    for i, (kind, t, part) in enumerate(PLANTED):
+        assert [(s.kind, t[s.start : s.end], s.base) for s in got[10**6 + i]] == [(kind, part, False)]
+    assert all(got[2 * 10**6 + i] == [] for i in range(len(DECOYS)))
+    base = [s.score for spans in got.values() for s in spans if s.base]
+    assert len(base) > 50 and min(base) > 0.5
+
+
+def test_pii_labelers_are_not_turned_round():
+    # many look-alikes and few true ones: the anchors hold the classes
+    rows = [(1, "+++00+", "300", 5), (1, "0-+00+", "300", 5000), (1, "0+++0+", "701", 3), (3, "+++00+", "410", 2), (3, "0+++0+", "310", 1)]
+    post = dict(zip([r[:3] for r in sorted(rows)], pii.reliabilities(sorted(rows)), strict=True))
+    assert post[1, "+++00+", "300"] > 0.9 and post[1, "0-+00+", "300"] < 0.1 and post[1, "0+++0+", "701"] > 0.5 and post[3, "0+++0+", "310"] > 0.5
+    assert pii.weigh([]) == {}
+
+
+def test_pii_query_against_regex(spark):
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    n_digits = lambda x: sum(c.isdigit() for c in x)
+    good = (lambda x: True, lambda x: all(int(p) <= 255 for p in x.split(".")), lambda x: 16 <= n_digits(x) <= 19 and pii.luhn(re.sub("[ -]", "", x)), lambda x: 8 <= n_digits(x) <= 15)
+    got = {r.doc_id: r for r in pii.query(spark, DIR).collect()}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    assert set(got) == set(docs)
+    for d, t in docs.items():
+        own = [[m.span() for m in re.finditer(p, t) if ok(m[0])] for p, ok in zip(patterns, good, strict=True)]
+        spans = [f"{k}:{a}:{b}" for k, x in zip(pii.KINDS, own, strict=True) for a, b in x]
+        r = got[d]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(map(len, own))
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and set(spans) <= set(filter(None, r.spans.split(",")))
+
+
+def test_pii_repeated_rows_and_ties(spark):
+    t = "tel 212-555-0187"
+    rows = [(1, t), (1, t), (2, "212-555-0187 212-555-0187"), (3, "mail a@b.com"), (3, "mail a@b.com")]
+    got = sorted((r.doc, [(s.kind, s.start, s.end, s.base) for s in r.spans]) for r in pii.find_pii(frame(spark, rows)).collect())
+    assert got == [(1, [("phone", 4, 16, False)])] * 2 + [(2, [("phone", 0, 12, False), ("phone", 13, 25, False)])] + [(3, [("email", 5, 12, True)])] * 2
