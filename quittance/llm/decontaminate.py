@@ -1,24 +1,35 @@
-"""Benchmark decontamination: one Aho-Corasick automaton of test windows, run once over each text."""
+"""Benchmark decontamination: one Aho-Corasick automaton of test windows, run once over each text.
+
+The automaton goes to every Python worker, so the benchmark it is made from has
+a checked size. Beyond that, the windows of the texts meet those of the
+benchmark in a join, which gives the same result and collects nothing.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quittance.llm.common import bounded_batches, table
+from quittance.llm.common import bounded_batches, cut, table
 
 #: Words of a window.
 WINDOW = 10
-#: Most windows of one automaton; a larger benchmark is scanned in blocks of this size.
-BLOCK_WINDOWS = 100_000
+#: Most words of a benchmark that becomes one automaton (about 1 KB of a worker's memory each); a larger one is joined.
+BLOCK_WINDOWS = 250_000
 
+#: What parts words.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Windows of a text that are held as rows at once.
+_STEP = 1 << 14
 #: A-Z to a-z, other ASCII than letters and digits to a space; bytes beyond ASCII stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: The same words in an unfolded text.
@@ -66,9 +77,9 @@ class Windows:
         return runs, items
 
 
-def _merged(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+def _merged(found: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
-    for first, last in sorted(a + b):
+    for first, last in sorted(found):
         if out and first <= out[-1][1] + 1:
             out[-1][1] = max(out[-1][1], last)
         else:
@@ -84,7 +95,7 @@ def _spans(text: str, runs: list[list[int]]) -> list[list[int]]:
     return [[at[a][0], at[b][1]] for a, b in runs]
 
 
-#: Per Python worker: the automata of the benchmark blocks that its tasks name.
+#: Per Python worker: the automata of the benchmarks that its tasks name.
 _BUILT: dict[tuple, Windows] = {}
 
 
@@ -108,28 +119,83 @@ _NEW = T.StructType(
 _ARROW = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())]
 
 
-def _scan_block(docs: DataFrame, items: list[tuple[int | None, str]], text_col: str, window: int, more: bool) -> DataFrame:
-    digest = hashlib.sha256(repr(items).encode()).hexdigest()
+def _added(docs: DataFrame, judge: Callable[[pa.RecordBatch], list[tuple]], also: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` without the columns ``also``, plus the four new ones that ``judge`` finds for each row of a batch."""
     names = _NEW.fieldNames()
-    rest = docs.drop(*names)
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name not in also], *_NEW.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = _windows(items, window, digest)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            before = list(zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True)) if more else None
-            rows = []
-            for k, text in enumerate(texts):
-                words = words_of(text)
-                runs, found = w.scan(words)
-                if before:
-                    runs, found = _merged(runs, before[k][0]), found | set(before[k][1])
-                rows.append((len(words), runs, _spans(text or "", runs), sorted(found)))
-            kept = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in names]
+            rows = judge(batch)
+            kept = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in also]
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_ARROW)]
             yield pa.RecordBatch.from_arrays([*[c for c, _ in kept], *made], names=[*[n for _, n in kept], *names])
 
-    return (docs if more else rest).mapInArrow(run, T.StructType([*rest.schema.fields, *_NEW.fields]))
+    return docs.mapInArrow(run, schema)
+
+
+def _scan(docs: DataFrame, items: list[tuple[int | None, str]], text_col: str, window: int) -> DataFrame:
+    digest = hashlib.sha256(repr(items).encode()).hexdigest()
+
+    def judge(batch: pa.RecordBatch) -> list[tuple]:
+        w = _windows(items, window, digest)
+        rows = []
+        for text in batch.column(text_col).to_pylist():
+            words = words_of(text)
+            runs, found = w.scan(words)
+            rows.append((len(words), runs, _spans(text or "", runs), sorted(found)))
+        return rows
+
+    return _added(docs, judge)
+
+
+def _window_rows(texts: DataFrame, key: str, lengths: list[int], whole_below: int | None) -> DataFrame:
+    """(key, first, n, h1, h2): a row for each window of ``lengths`` words of a text, with its 128-bit hash.
+
+    With ``whole_below``, texts of fewer words are one window, and others have windows of so many words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                for n in lengths if whole_below is None else ([min(whole_below, len(words))] if words else []):
+                    for i in range(0, len(words) - n + 1, _STEP):
+                        at = range(i, min(i + _STEP, len(words) - n + 1))
+                        halves = [struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words[j : j + n]))) for j in at]
+                        columns = [[k] * len(at), list(at), [n] * len(at), [x for x, _ in halves], [y for _, y in halves]]
+                        kinds = [batch.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "first", "n", "h1", "h2"])
+
+    schema = T.StructType([T.StructField("key", texts.schema[key].dataType), *[T.StructField(c, T.IntegerType()) for c in ("first", "n")], *[T.StructField(c, T.LongType()) for c in ("h1", "h2")]])
+    return texts.select(key, "text").mapInArrow(run, schema)
+
+
+def _join(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> DataFrame:
+    """The same as _scan for a benchmark of any size: windows of distinct texts meet windows of items on their hash.
+
+    The join's key is a struct, so that Spark shuffles both sides for the join
+    itself and adaptive execution splits a window that many texts hold.
+    """
+    own = _window_rows(items, "item", [], window).groupBy("n", "h1", "h2").agg(F.collect_set("key").alias("own"))
+    own = cut(own.select(F.struct("n", "h1", "h2").alias("w"), "own"))
+    lengths = sorted(r.n for r in own.select("w.n").distinct().collect())  # at most ``window``
+    key = F.sha2(F.col(text_col), 256)
+    texts = docs.select(key.alias("k"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).dropDuplicates(["k"])
+    met = _window_rows(texts, "k", lengths, None).select("key", "first", "n", F.struct("n", "h1", "h2").alias("w")).join(own, "w")
+    hits = met.groupBy(F.col("key").alias("__dc_key")).agg(
+        F.collect_set(F.struct("first", "n")).alias("__dc_at"), F.array_distinct(F.flatten(F.collect_set("own"))).alias("__dc_items")
+    )
+    both = docs.withColumn("__dc_k", key).join(hits, F.col("__dc_k") == F.col("__dc_key"), "left")
+
+    def judge(batch: pa.RecordBatch) -> list[tuple]:
+        rows = []
+        for text, at, found in zip(*[batch.column(c).to_pylist() for c in (text_col, "__dc_at", "__dc_items")], strict=True):
+            runs = _merged([[x["first"], x["first"] + x["n"] - 1] for x in at or []])
+            rows.append((len(words_of(text)), runs, _spans(text or "", runs), sorted(found or [])))
+        return rows
+
+    return _added(both, judge, ("__dc_k", "__dc_key", "__dc_at", "__dc_items"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -137,10 +203,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     A window is ``window`` consecutive words of an item; an item of fewer words,
     but not none, is one window. The windows become one automaton in each
-    Python worker. The benchmark is counted first: up to ``BLOCK_WINDOWS``
-    words go to the workers whole; a larger one is dealt into blocks of about
-    that size which scan the texts one after the other and add to the row's
-    runs, so no worker holds more than a block for each.
+    Python worker, and each text is scanned once. The benchmark is counted
+    first: up to ``BLOCK_WINDOWS`` words go to the workers whole; the windows of a
+    larger one meet those of the texts in a join, with the same result.
 
     Returns all columns of ``docs`` plus ``n_words``, ``hit_words`` (runs
     [first, last] of hit words), ``hit_spans`` (the same runs as [start, end) in
@@ -150,19 +215,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     Edge cases: null and empty texts have no words, in documents and in the
     benchmark; an item id that is null hits but is not listed; repeated items
     count once; an empty benchmark hits nothing; an empty table gives an empty
-    table; repeated rows stay.
+    table; repeated rows stay; very long texts are scanned whole.
     """
     bounded_batches(docs.sparkSession)
     rest = docs.drop(*_NEW.fieldNames())
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_WINDOWS))
-    out = rest
-    for b in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b) if n_blocks > 1 else items
-        rows = sorted(((r.item, r.text) for r in block.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        out = _scan_block(out, rows, text_col, window, b > 0)
-    return out
+    total = items.agg(F.sum(F.size(F.split("text", SEPARATORS)).cast("long"))).first()[0] or 0
+    if total > BLOCK_WINDOWS:
+        return _join(rest, items, text_col, window)
+    rows = sorted(((r.item, r.text) for r in items.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return _scan(rest, rows, text_col, window)
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -414,3 +414,36 @@ def test_pii_repeated_rows_and_ties(spark):
     rows = [(1, t), (1, t), (2, "212-555-0187 212-555-0187"), (3, "mail a@b.com"), (3, "mail a@b.com")]
     got = sorted((r.doc, [(s.kind, s.start, s.end, s.base) for s in r.spans]) for r in pii.find_pii(frame(spark, rows)).collect())
     assert got == [(1, [("phone", 4, 16, False)])] * 2 + [(2, [("phone", 0, 12, False), ("phone", 13, 25, False)])] + [(3, [("email", 5, 12, True)])] * 2
+
+
+@pytest.mark.parametrize("limit", [250_000, 0])
+def test_decontamination_against_plain_in_both_ways(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "_STEP", 50)
+    rng = random.Random(2)
+    word = lambda: rng.choice("a b c d Ee É é 7 x-y".split())
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 10, 14])))) for i in range(30)] + [(3, None), (None, "c d c d a a 7")]
+    pool = [t for _, t in items if t]
+    docs = [(i, ". ".join(rng.choice([word(), rng.choice(pool)]) for _ in range(rng.randint(0, 6)))) for i in range(150)] + [(200, None), (201, ""), (7, "a b c"), (202, "z " * 60_000 + pool[0])]
+    items = [(i, t) for i, t in items if not t or len(decontaminate.words_of(t)) != 1]
+    split = lambda t: [w.lower() if w.isascii() else w for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    own = [(i, split(t)) for i, t in items]
+    windows = {}
+    for i, w in own:
+        for j in range(len(w) - min(10, len(w)) + 1 if w else 0):
+            windows.setdefault(tuple(w[j : j + 10]), set()).add(i)
+
+    def plain(t):
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in windows:
+                    hit |= set(range(j, j + n))
+                    found |= windows[tuple(w[j : j + n])]
+        return len(w), len(hit), sorted(x for x in found if x is not None)
+
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.judged(decontaminate.find_contamination(frame(spark, docs, True), df)).collect()
+    assert len(got) == len(docs) and {"key", "h", "items"} <= set(got[0].asDict())
+    want = sorted((d, *plain(t)) for d, t in docs)
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == want
