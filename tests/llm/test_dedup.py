@@ -194,3 +194,45 @@ def test_repeats_do_not_part_equal_shingles(spark):
     assert all(len(a & b) >= 0.9 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
     got = {r.doc: r.component_id for r in near_text.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def plain_vectors(rows, least):
+    """{vec: (n_links, component)} of (vec, vector, label) rows whose ids are distinct."""
+    x = np.array([v for _, v, _ in rows])
+    s = plain_links(x, np.array([k for _, _, k in rows]), least)
+    ids = [i for i, _, _ in rows]
+    comp = groups(sorted(ids), [(ids[i], ids[j]) for i, j in np.argwhere(s)])
+    return {i: (int(s[k].sum()), comp[i]) for k, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize("entry", [64, 1])
+def test_embeddings_against_plain(spark, monkeypatch, entry):
+    # all pairs of a label meet where links are very close; with ENTRY 1 the tables have more bits and there are more of them
+    monkeypatch.setattr(embedding_dedup, "ENTRY", entry)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((120, 64))
+    x = np.concatenate([x, x[:60] + 0.01 * rng.standard_normal((60, 64)), x[:40], x[:40], np.tile(x[0], (50, 1))])
+    rows = [(int(i), v.tolist(), int(k)) for i, v, k in zip(rng.permutation(len(x)), x, rng.integers(0, 2, len(x)), strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, least=0.98).collect()}
+    assert got == plain_vectors(rows, 0.98) and sum(n for n, _ in got.values()) > 1000
+
+
+def test_tables_grow_with_the_vectors():
+    sizes = [embedding_dedup.tables(n, 0.93) for n in (10, 10**4, 10**6, 10**9)]
+    assert [b for _, b in sizes] == sorted(b for _, b in sizes) and sizes[0] == (8, 8)
+    assert all(n / 2**b <= 64 for n, (_, b) in zip((10, 10**4, 10**6, 10**9), sizes, strict=True))
+    assert all(1 - (1 - (1 - np.arccos(0.93) / np.pi) ** b) ** t >= embedding_dedup.RECALL for t, b in sizes)
+
+
+def test_embeddings_query_columns_and_recall(spark, tmp_path):
+    x = vectors(seed=4, n=800, dup=300)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = plain_vectors(rows, 0.93)
+    got = {r.vec_id: r for r in embedding_dedup.query(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    assert all(r.n_links <= want[i][0] and r.component_id >= want[i][1] for i, r in got.items())
+    found, all_ = sum(r.n_links for r in got.values()), sum(n for n, _ in want.values())
+    print(f"recall {found / all_:.3f} of {all_} links")
+    assert found >= 0.9 * all_ > 0
