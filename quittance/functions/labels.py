@@ -5,103 +5,118 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Label groups in order, with the labels of each in the order of their ids, which begin at 0.
-# A number stands for that many unused labels, numbered downwards from it.
-GROUPS = (
-    ("O", "lightyellow", ("O",)),
-    ("datetime", "darkgreen", ("I-date_text", "I-date_value", "I-time_text", "I-time_value", "I-datetime")),
-    ("header", "purple", ("I-heading",)),
-    ("unused1", "", ("I-unused8", "I-unused7", "I-unused6")),
-    ("tax_table_header", "darkviolet", ("I-tax.header",)),
-    ("tax_table", "brown", ("I-tax.description", "I-tax.price", "I-tax.price_excl", "I-tax.price_incl")),
-    ("unused2", "", ("I-unused5", "I-unused4", "I-unused3", "I-unused2", "I-unused1")),
-    (
-        "store",
-        "green",
-        (
-            "I-store.name", "I-store.address", "I-store.phone", "I-store.email", "I-store.website", "I-store.tax_id",
-            "I-store.unused3", "I-store.unused2", "I-store.unused1", "I-store.etc",
-        ),
-    ),
-    ("item_table_header", "indigo", ("I-item.header",)),
-    (
-        "item_table",
-        "magenta",
-        (
-            "I-item.quantity", "I-item.description", "I-item.unit_price", "I-item.price", "I-item.id",
-            "I-item.discount_description", "I-item.discount_price", "I-item.etc",
-            *(f"I-item.unused{i}" for i in range(11, 0, -1)),
-        ),
-    ),
-    (
-        "subtotal",
-        "blue",
-        (
-            "I-sub_total.text", "I-sub_total.price", "I-sub_total.discount_text", "I-sub_total.discount_price",
-            "I-sub_total.discount_item_text", "I-sub_total.discount_item_price", "I-sub_total.tax_text", "I-sub_total.tax_price",
-            "I-sub_total.tax_excl_text", "I-sub_total.tax_excl_price", "I-sub_total.tax_incl_text", "I-sub_total.tax_incl_price",
-            "I-sub_total.service_text", "I-sub_total.service_price", "I-sub_total.item_rows_text", "I-sub_total.item_rows_value",
-            "I-sub_total.quantity_text", "I-sub_total.quantity_value", "I-sub_total.etc_text", "I-sub_total.etc_price",
-        ),
-    ),
-    (
-        "total",
-        "darkred",
-        (
-            "I-total.text", "I-total.price", "I-total.rounded_text", "I-total.rounded_price",
-            "I-total.unused4", "I-total.unused3", "I-total.unused2", "I-total.unused1", "I-total.etc_text", "I-total.etc_price",
-        ),
-    ),
-    (
-        "payment",
-        "darkblue",
-        (
-            "I-payment.cash_text", "I-payment.cash_price", "I-payment.change_text", "I-payment.change_price",
-            "I-payment.other_text", "I-payment.other_price", "I-payment.details_total_text", "I-payment.details_total_price",
-            "I-payment.etc_text", "I-payment.etc_price",
-        ),
-    ),
-)
-
-# Labels whose format does not follow from the ending of their name, and labels without one.
-_FORMATS = {
-    "I-date_value": "DATE",
-    "I-time_value": "TIME",
-    "I-datetime": "DATETIME",
-    "I-store.address": "LOCATION",
-    "I-item.quantity": "NUMBER",
-    "I-sub_total.item_rows_value": "NUMBER",
-    "I-sub_total.quantity_value": "NUMBER",
-}
-_NO_FORMAT = ("I-total.etc_text", "I-total.etc_price")
-# Labels whose text is read as it stands; what is left is of mixed content.
-_TEXT_ENDINGS = ("text", "header")
-# Labels of that ending with mixed content all the same.
-_MIXED_TEXT = ("I-sub_total.discount_item_text", "I-sub_total.service_text", "I-sub_total.item_rows_text", "I-sub_total.etc_text")
-# Labels that are not in the colour of their group.
-_COLOURS = {"I-item.discount_description": "darkblue", "I-item.discount_price": "darkblue"}
-
-PRICE_ENDINGS = ("price", "price_excl", "price_incl")
-
-
-def _format(label: str) -> str | None:
-    if "unused" in label or label in _NO_FORMAT:
-        return None
-    if label in _FORMATS:
-        return _FORMATS[label]
-    if label.endswith(PRICE_ENDINGS):
-        return "PRICE"
-    return "TEXT" if label.endswith(_TEXT_ENDINGS) and label not in _MIXED_TEXT else "MIXED"
-
-
-#: (label_id, label, grp, grp_ord, format, colour) of every label.
+# Fixed values: (label_id, label, group, group's place, format of the value, colour) of every label.
 LABELS = [
-    (i, label, grp, k, _format(label), "" if "unused" in label else _COLOURS.get(label, colour))
-    for i, (label, grp, k, colour) in enumerate((label, grp, k, colour) for k, (grp, colour, own) in enumerate(GROUPS) for label in own)
-]
+    (0, "O", "O", 0, "MIXED", "lightyellow"),
+    (1, "I-date_text", "datetime", 1, "TEXT", "darkgreen"),
+    (2, "I-date_value", "datetime", 1, "DATE", "darkgreen"),
+    (3, "I-time_text", "datetime", 1, "TEXT", "darkgreen"),
+    (4, "I-time_value", "datetime", 1, "TIME", "darkgreen"),
+    (5, "I-datetime", "datetime", 1, "DATETIME", "darkgreen"),
+    (6, "I-heading", "header", 2, "MIXED", "purple"),
+    (7, "I-unused8", "unused1", 3, None, ""),
+    (8, "I-unused7", "unused1", 3, None, ""),
+    (9, "I-unused6", "unused1", 3, None, ""),
+    (10, "I-tax.header", "tax_table_header", 4, "TEXT", "darkviolet"),
+    (11, "I-tax.description", "tax_table", 5, "MIXED", "brown"),
+    (12, "I-tax.price", "tax_table", 5, "PRICE", "brown"),
+    (13, "I-tax.price_excl", "tax_table", 5, "PRICE", "brown"),
+    (14, "I-tax.price_incl", "tax_table", 5, "PRICE", "brown"),
+    (15, "I-unused5", "unused2", 6, None, ""),
+    (16, "I-unused4", "unused2", 6, None, ""),
+    (17, "I-unused3", "unused2", 6, None, ""),
+    (18, "I-unused2", "unused2", 6, None, ""),
+    (19, "I-unused1", "unused2", 6, None, ""),
+    (20, "I-store.name", "store", 7, "MIXED", "green"),
+    (21, "I-store.address", "store", 7, "LOCATION", "green"),
+    (22, "I-store.phone", "store", 7, "MIXED", "green"),
+    (23, "I-store.email", "store", 7, "MIXED", "green"),
+    (24, "I-store.website", "store", 7, "MIXED", "green"),
+    (25, "I-store.tax_id", "store", 7, "MIXED", "green"),
+    (26, "I-store.unused3", "store", 7, None, ""),
+    (27, "I-store.unused2", "store", 7, None, ""),
+    (28, "I-store.unused1", "store", 7, None, ""),
+    (29, "I-store.etc", "store", 7, "MIXED", "green"),
+    (30, "I-item.header", "item_table_header", 8, "TEXT", "indigo"),
+    (31, "I-item.quantity", "item_table", 9, "NUMBER", "magenta"),
+    (32, "I-item.description", "item_table", 9, "MIXED", "magenta"),
+    (33, "I-item.unit_price", "item_table", 9, "PRICE", "magenta"),
+    (34, "I-item.price", "item_table", 9, "PRICE", "magenta"),
+    (35, "I-item.id", "item_table", 9, "MIXED", "magenta"),
+    (36, "I-item.discount_description", "item_table", 9, "MIXED", "darkblue"),
+    (37, "I-item.discount_price", "item_table", 9, "PRICE", "darkblue"),
+    (38, "I-item.etc", "item_table", 9, "MIXED", "magenta"),
+    (39, "I-item.unused11", "item_table", 9, None, ""),
+    (40, "I-item.unused10", "item_table", 9, None, ""),
+    (41, "I-item.unused9", "item_table", 9, None, ""),
+    (42, "I-item.unused8", "item_table", 9, None, ""),
+    (43, "I-item.unused7", "item_table", 9, None, ""),
+    (44, "I-item.unused6", "item_table", 9, None, ""),
+    (45, "I-item.unused5", "item_table", 9, None, ""),
+    (46, "I-item.unused4", "item_table", 9, None, ""),
+    (47, "I-item.unused3", "item_table", 9, None, ""),
+    (48, "I-item.unused2", "item_table", 9, None, ""),
+    (49, "I-item.unused1", "item_table", 9, None, ""),
+    (50, "I-sub_total.text", "subtotal", 10, "TEXT", "blue"),
+    (51, "I-sub_total.price", "subtotal", 10, "PRICE", "blue"),
+    (52, "I-sub_total.discount_text", "subtotal", 10, "TEXT", "blue"),
+    (53, "I-sub_total.discount_price", "subtotal", 10, "PRICE", "blue"),
+    (54, "I-sub_total.discount_item_text", "subtotal", 10, "MIXED", "blue"),
+    (55, "I-sub_total.discount_item_price", "subtotal", 10, "PRICE", "blue"),
+    (56, "I-sub_total.tax_text", "subtotal", 10, "TEXT", "blue"),
+    (57, "I-sub_total.tax_price", "subtotal", 10, "PRICE", "blue"),
+    (58, "I-sub_total.tax_excl_text", "subtotal", 10, "TEXT", "blue"),
+    (59, "I-sub_total.tax_excl_price", "subtotal", 10, "PRICE", "blue"),
+    (60, "I-sub_total.tax_incl_text", "subtotal", 10, "TEXT", "blue"),
+    (61, "I-sub_total.tax_incl_price", "subtotal", 10, "PRICE", "blue"),
+    (62, "I-sub_total.service_text", "subtotal", 10, "MIXED", "blue"),
+    (63, "I-sub_total.service_price", "subtotal", 10, "PRICE", "blue"),
+    (64, "I-sub_total.item_rows_text", "subtotal", 10, "MIXED", "blue"),
+    (65, "I-sub_total.item_rows_value", "subtotal", 10, "NUMBER", "blue"),
+    (66, "I-sub_total.quantity_text", "subtotal", 10, "TEXT", "blue"),
+    (67, "I-sub_total.quantity_value", "subtotal", 10, "NUMBER", "blue"),
+    (68, "I-sub_total.etc_text", "subtotal", 10, "MIXED", "blue"),
+    (69, "I-sub_total.etc_price", "subtotal", 10, "PRICE", "blue"),
+    (70, "I-total.text", "total", 11, "TEXT", "darkred"),
+    (71, "I-total.price", "total", 11, "PRICE", "darkred"),
+    (72, "I-total.rounded_text", "total", 11, "TEXT", "darkred"),
+    (73, "I-total.rounded_price", "total", 11, "PRICE", "darkred"),
+    (74, "I-total.unused4", "total", 11, None, ""),
+    (75, "I-total.unused3", "total", 11, None, ""),
+    (76, "I-total.unused2", "total", 11, None, ""),
+    (77, "I-total.unused1", "total", 11, None, ""),
+    (78, "I-total.etc_text", "total", 11, None, "darkred"),
+    (79, "I-total.etc_price", "total", 11, None, "darkred"),
+    (80, "I-payment.cash_text", "payment", 12, "TEXT", "darkblue"),
+    (81, "I-payment.cash_price", "payment", 12, "PRICE", "darkblue"),
+    (82, "I-payment.change_text", "payment", 12, "TEXT", "darkblue"),
+    (83, "I-payment.change_price", "payment", 12, "PRICE", "darkblue"),
+    (84, "I-payment.other_text", "payment", 12, "TEXT", "darkblue"),
+    (85, "I-payment.other_price", "payment", 12, "PRICE", "darkblue"),
+    (86, "I-payment.details_total_text", "payment", 12, "TEXT", "darkblue"),
+    (87, "I-payment.details_total_price", "payment", 12, "PRICE", "darkblue"),
+    (88, "I-payment.etc_text", "payment", 12, "TEXT", "darkblue"),
+    (89, "I-payment.etc_price", "payment", 12, "PRICE", "darkblue"),
+]
 LABEL_ID = {x[1]: x[0] for x in LABELS}
-GROUP_NAMES = [g[0] for g in GROUPS]
-GROUP_COLOURS = {g[0]: g[1] for g in GROUPS}
+# Fixed values: (group, colour) in order.
+GROUPS = [
+    ("O", "lightyellow"),
+    ("datetime", "darkgreen"),
+    ("header", "purple"),
+    ("unused1", ""),
+    ("tax_table_header", "darkviolet"),
+    ("tax_table", "brown"),
+    ("unused2", ""),
+    ("store", "green"),
+    ("item_table_header", "indigo"),
+    ("item_table", "magenta"),
+    ("subtotal", "blue"),
+    ("total", "darkred"),
+    ("payment", "darkblue"),
+]
+GROUP_COLOURS = dict(GROUPS)
+GROUP_NAMES = list(GROUP_COLOURS)
 GROUP_ORD = {g: i for i, g in enumerate(GROUP_NAMES)}
 
 LABEL_SCHEMA = "label_id int, label string, grp string, grp_ord int, format string, colour string"

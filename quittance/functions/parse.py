@@ -31,12 +31,15 @@ def parse_price(text: Column) -> Column:
     Without a mark: the first run of digits, without sign, or null. With one: 0.0 where no number remains.
     """
     p = F.replace(repair_digits(text), F.lit(","), F.lit("."))
+    # nearly all prices have digits on both sides of the last mark, and need one pattern
+    plain = F.regexp_extract(p, r"(?s)(-?\d+\.\d+)[^.]*$", 1).try_cast("double")
     whole = F.regexp_extract(p, r"(?s)^(.*)\.([^.]*)$", 1)
     part = F.regexp_extract(p, r"(?s)^(.*)\.([^.]*)$", 2)
     number = F.concat(F.coalesce(_extract(whole, r"-?\d+$"), whole), F.lit("."), F.coalesce(_extract(part, r"^\d+"), part))
-    return F.when(F.instr(p, ".") == 0, _extract(p, r"\d+").try_cast("double")).otherwise(
+    rest = F.when(F.instr(p, ".") == 0, _extract(p, r"\d+").try_cast("double")).otherwise(
         F.when(number.rlike(_FLOAT), F.trim(number).try_cast("double")).when(p.isNotNull(), F.lit(0.0))
     )
+    return F.coalesce(plain, rest)
 
 
 def parse_price_strict(text: Column) -> Column:

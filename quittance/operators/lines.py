@@ -40,51 +40,56 @@ def segment_lines(entries: DataFrame, order: str = "ocr") -> DataFrame:
     return order_entries(entries, order).withColumn("_new", new.cast("int")).withColumn("line_no", F.sum("_new").over(w) - 1).drop("_new")
 
 
-def line_votes(lines: DataFrame) -> DataFrame:
-    """(line, grp_ord, score_milli): candidates of a line's entries, in order and by rank, folded by group; label 0 has no vote.
+def _ranked(members: Column, top: int) -> Column:
+    """The ``top`` groups of a line as (grp, score_milli) from its (pos, labels) in order of pos.
 
-    Lines whose candidates are all label 0 keep one row with a null group.
+    Candidates are folded by group, in order and by rank; label 0 has no vote.
+    All groups take part, those without a vote at 0; ties in the order of groups.
     """
-    votes = lines.select(*LINE, "pos", F.posexplode_outer("labels").alias("rank", "cand"))
-    votes = votes.withColumn("grp_ord", F.when(F.col("cand.label_id") != 0, group_ord_of(F.col("cand.label_id"))))
-    folded = noisy_or(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rank", F.col("cand.prob_milli").alias("p")))), lambda v: v["p"]))
-    return votes.groupBy(*LINE, "grp_ord").agg(F.when(F.col("grp_ord").isNotNull(), folded).otherwise(F.lit(0)).cast("long").alias("score_milli"))
+    votes = F.flatten(F.transform(members, lambda e: F.transform(F.filter(e["labels"], lambda c: c["label_id"] != 0), lambda c: F.struct(group_ord_of(c["label_id"]).alias("g"), c["prob_milli"].alias("p")))))
+    by_group = F.transform(
+        F.array_distinct(F.transform(votes, lambda v: v["g"])),
+        lambda g: F.struct((-noisy_or(F.transform(F.filter(votes, lambda v: v["g"] == g), lambda v: v["p"]))).alias("neg"), g.alias("ord")),
+    )
+    rest = F.transform(F.array_except(F.array(*[F.lit(g) for g in range(len(GROUP_NAMES))]), F.transform(by_group, lambda r: r["ord"])), lambda g: F.struct(F.lit(0).cast("bigint").alias("neg"), g.alias("ord")))
+    names = F.array(*[F.lit(g) for g in GROUP_NAMES])
+    best = F.slice(F.array_sort(F.concat(F.filter(by_group, lambda r: r["ord"].isNotNull()), rest)), 1, top)
+    return F.transform(best, lambda r: F.struct(F.get(names, r["ord"]).alias("grp"), (-r["neg"]).alias("score_milli")))
 
 
-def merge_labels(lines: DataFrame, top: int = 3) -> DataFrame:
-    """(line, merged): the ``top`` groups of each line as (grp, score_milli), best first, ties in the order of groups.
+def build_lines(lines: DataFrame, top: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per line: ``merged``, the ``top`` groups best first; n_entries, conflict and box; ``members``, its entries in order.
 
-    All groups take part, those without a vote at 0.
+    Conflict is set where the first candidates, but for label 0, are of several
+    groups. Members have pos, labels and the columns ``keep``. All comes from
+    one aggregate, so lines need no join with their entries.
     """
-    by_group = line_votes(lines).groupBy(*LINE).agg(F.collect_list(F.when(F.col("grp_ord").isNotNull(), F.struct("grp_ord", "score_milli"))).alias("got"))
-    got = F.map_from_entries("got")
-    ranked = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(len(GROUP_NAMES) - 1)),
-            lambda g: F.struct((-F.coalesce(F.try_element_at(got, g), F.lit(0))).alias("neg"), g.alias("ord")),
-        )
-    )
-    names = F.array(*[F.lit(g) for g in GROUP_NAMES])
-    merged = F.transform(F.slice(ranked, 1, top), lambda r: F.struct(F.get(names, r["ord"]).alias("grp"), (-r["neg"]).alias("score_milli")))
-    return by_group.select(*LINE, merged.alias("merged"))
+    first = F.get("labels", F.lit(0))["label_id"]
+    members = F.array_sort(F.collect_list(F.struct("pos", "labels", *keep)))
+    own = lines.groupBy(*LINE).agg(members.alias("members"), *_info(first))
+    return own.withColumn("merged", _ranked(F.col("members"), top))
 
 
-def line_info(lines: DataFrame) -> DataFrame:
-    """(line, n_entries, conflict, box): conflict is set where the first candidates, but for label 0, are of several groups."""
-    top = F.get("labels", F.lit(0))["label_id"]
-    return lines.groupBy(*LINE).agg(
+def merge_labels(lines: DataFrame, top: int = 3) -> DataFrame:
+    """(line, merged): the ``top`` groups of each line as (grp, score_milli), best first, ties in the order of groups."""
+    own = lines.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("pos", "labels"))).alias("members"))
+    return own.select(*LINE, _ranked(F.col("members"), top).alias("merged"))
+
+
+def _info(first: Column) -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n_entries"),
-        (F.size(F.collect_set(F.when(top != 0, group_ord_of(top)))) > 1).alias("conflict"),
+        (F.size(F.collect_set(F.when(first != 0, group_ord_of(first)))) > 1).alias("conflict"),
         F.min(F.least("x1", "x2")).alias("x1"),
         F.min(F.least("y1", "y2")).alias("y1"),
         F.max(F.greatest("x1", "x2")).alias("x2"),
         F.max(F.greatest("y1", "y2")).alias("y2"),
-    )
+    ]
 
 
-def build_lines(lines: DataFrame) -> DataFrame:
-    """One row per line with its merged labels, conflict flag and box."""
-    return merge_labels(lines).join(line_info(lines), list(LINE))
+def line_info(lines: DataFrame) -> DataFrame:
+    """(line, n_entries, conflict, box): conflict is set where the first candidates, but for label 0, are of several groups."""
+    return lines.groupBy(*LINE).agg(*_info(F.get("labels", F.lit(0))["label_id"]))
 
 
 def union_box_per_token(lines: DataFrame) -> DataFrame:

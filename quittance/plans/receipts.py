@@ -121,9 +121,8 @@ def receipt_rows(entries: DataFrame) -> DataFrame:
         of("store.name", "text").alias("store_name"), of("date", "corrected_date").cast("string").alias("date"), of("total.price", "text").alias("total_text"),
         of("total.price", "corrected_num").alias("total"), of("total.price", "ocr_milli").alias("total_ocr"), of("total.price", "du_milli").alias("total_du"), of("payment.other_price", "text").alias("other_text"),
     )
-    top = L.merge_labels(entries).groupBy("receipt_id").agg(
-        F.sum((L.top_group(F.col("merged")) == "item_table").cast("long")).alias("n_items"), F.sum((L.top_group(F.col("merged")) == "tax_table").cast("long")).alias("n_taxes")
-    )
+    own = L.top_group(F.col("merged"))
+    top = L.merge_labels(entries, 1).groupBy("receipt_id").agg(F.count_if(own == "item_table").alias("n_items"), F.count_if(own == "tax_table").alias("n_taxes"))
     return head.join(top, "receipt_id")
 
 
