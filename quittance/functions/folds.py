@@ -6,20 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def noisy_or_step(m: Column, c: Column) -> Column:
+    """m + round((1 - m) c, 3)."""
+    return m + F.floor(((1000 - m) * c + 500) / 1000).cast("bigint")
+
+
 def noisy_or(values: Column, start: int = 0) -> Column:
     """m <- m + round((1 - m) c, 3) over an ordered array of thousandths."""
-    return F.aggregate(values, F.lit(start).cast("bigint"), lambda m, c: m + F.floor(((1000 - m) * c + 500) / 1000).cast("bigint"))
+    return F.aggregate(values, F.lit(start).cast("bigint"), noisy_or_step)
 
 
 def product(values: Column) -> Column:
     """m <- round(m c, 3) over an ordered array of thousandths."""
     return F.aggregate(values, F.lit(1000).cast("bigint"), lambda m, c: F.floor((m * c + 500) / 1000).cast("bigint"))
-
-
-def noisy_or_double(values: Column) -> Column:
-    """The same fold on doubles, rounded at each step."""
-    return F.aggregate(values, F.lit(0.0), lambda m, c: F.round(m + (1 - m) * c, 3))
-
-
-def product_double(values: Column) -> Column:
-    return F.aggregate(values, F.lit(1.0), lambda m, c: F.round(m * c, 3))

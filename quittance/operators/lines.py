@@ -11,17 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quittance.functions.folds import noisy_or
+from quittance.functions.folds import noisy_or_step
 from quittance.functions.labels import GROUP_NAMES, group_of, group_ord_of
 
 PAGE = ("receipt_id", "page_no")
 LINE = (*PAGE, "line_no")
 
 
+def _order(order: str) -> tuple[str, ...]:
+    """Columns that order a page: recogniser order ("ocr"), or by upper left corner ("reading")."""
+    return ("seq",) if order == "ocr" else ("y1", "x1", "seq")
+
+
 def order_entries(entries: DataFrame, order: str = "ocr") -> DataFrame:
-    """Numbers the entries of a page from 0 as ``pos``: in recogniser order ("ocr"), or by upper left corner ("reading")."""
-    by = ("seq",) if order == "ocr" else ("y1", "x1", "seq")
-    return entries.withColumn("pos", (F.row_number().over(W.partitionBy(*PAGE).orderBy(*by)) - 1).cast("long"))
+    """Numbers the entries of a page from 0 as ``pos``."""
+    return entries.withColumn("pos", (F.row_number().over(W.partitionBy(*PAGE).orderBy(*_order(order))) - 1).cast("long"))
 
 
 def starts_line(y1: Column, y2: Column, py1: Column, py2: Column) -> Column:
@@ -35,9 +39,14 @@ def starts_line(y1: Column, y2: Column, py1: Column, py2: Column) -> Column:
 
 def segment_lines(entries: DataFrame, order: str = "ocr") -> DataFrame:
     """Adds ``pos`` and ``line_no``, from 0 in each page."""
-    w = W.partitionBy(*PAGE).orderBy("pos")
+    w = W.partitionBy(*PAGE).orderBy(*_order(order))  # the order of pos itself, so that one sort serves all
     new = starts_line(F.col("y1"), F.col("y2"), F.lag("y1").over(w), F.lag("y2").over(w))
-    return order_entries(entries, order).withColumn("_new", new.cast("int")).withColumn("line_no", F.sum("_new").over(w) - 1).drop("_new")
+    return order_entries(entries, order).withColumn("_new", new.cast("int")).withColumn("line_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_new")
+
+
+def slim(labels: Column) -> Column:
+    """Candidates without their names, which label_of gives back: half the bytes where entries are collected."""
+    return F.arrays_zip(labels["label_id"].alias("label_id"), labels["prob_milli"].alias("prob_milli"))
 
 
 def _ranked(members: Column, top: int) -> Column:
@@ -47,32 +56,42 @@ def _ranked(members: Column, top: int) -> Column:
     All groups take part, those without a vote at 0; ties in the order of groups.
     """
     votes = F.flatten(F.transform(members, lambda e: F.transform(F.filter(e["labels"], lambda c: c["label_id"] != 0), lambda c: F.struct(group_ord_of(c["label_id"]).alias("g"), c["prob_milli"].alias("p")))))
-    by_group = F.transform(
-        F.array_distinct(F.transform(votes, lambda v: v["g"])),
-        lambda g: F.struct((-noisy_or(F.transform(F.filter(votes, lambda v: v["g"] == g), lambda v: v["p"]))).alias("neg"), g.alias("ord")),
-    )
-    rest = F.transform(F.array_except(F.array(*[F.lit(g) for g in range(len(GROUP_NAMES))]), F.transform(by_group, lambda r: r["ord"])), lambda g: F.struct(F.lit(0).cast("bigint").alias("neg"), g.alias("ord")))
+
+    def fold(own: Column) -> Column:
+        """Scores of the groups that have votes."""
+        score = lambda g: F.aggregate(own, F.lit(0).cast("bigint"), lambda m, v: F.when(v["g"] == g, noisy_or_step(m, v["p"])).otherwise(m))
+        return F.transform(F.array_distinct(F.transform(own, lambda v: v["g"])), lambda g: F.struct((-score(g)).alias("neg"), g.alias("ord")))
+
+    # bound once, or every group would compute the votes again
+    by_group = F.flatten(F.transform(F.array(F.filter(votes, lambda v: v["g"].isNotNull())), fold))
     names = F.array(*[F.lit(g) for g in GROUP_NAMES])
-    best = F.slice(F.array_sort(F.concat(F.filter(by_group, lambda r: r["ord"].isNotNull()), rest)), 1, top)
-    return F.transform(best, lambda r: F.struct(F.get(names, r["ord"]).alias("grp"), (-r["neg"]).alias("score_milli")))
+    out = lambda best: F.transform(best, lambda r: F.struct(F.get(names, r["ord"]).alias("grp"), (-r["neg"]).alias("score_milli")))
+    if top == 1:
+        none = F.struct(F.lit(0).cast("bigint").alias("neg"), F.lit(0).alias("ord"))
+        return out(F.array(F.array_min(F.concat(by_group, F.array(none)))))
+    none = F.array(*[F.struct(F.lit(0).cast("bigint").alias("neg"), F.lit(g).alias("ord")) for g in range(len(GROUP_NAMES))])
+    # a group with a vote comes before its own zero; each stands once
+    first = lambda all_: F.filter(all_, lambda r, i: ~F.exists(F.slice(all_, 1, i), lambda q: q["ord"] == r["ord"]))
+    ranked = F.transform(F.array(F.array_sort(F.concat(by_group, none))), lambda all_: F.slice(first(F.slice(all_, 1, 2 * top + 1)), 1, top))
+    return out(F.flatten(ranked))
 
 
 def build_lines(lines: DataFrame, top: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per line: ``merged``, the ``top`` groups best first; n_entries, conflict and box; ``members``, its entries in order.
 
     Conflict is set where the first candidates, but for label 0, are of several
-    groups. Members have pos, labels and the columns ``keep``. All comes from
+    groups. Members have pos, labels (slim) and the columns ``keep``. All comes from
     one aggregate, so lines need no join with their entries.
     """
     first = F.get("labels", F.lit(0))["label_id"]
-    members = F.array_sort(F.collect_list(F.struct("pos", "labels", *keep)))
+    members = F.array_sort(F.collect_list(F.struct("pos", slim(F.col("labels")).alias("labels"), *keep)))
     own = lines.groupBy(*LINE).agg(members.alias("members"), *_info(first))
     return own.withColumn("merged", _ranked(F.col("members"), top))
 
 
 def merge_labels(lines: DataFrame, top: int = 3) -> DataFrame:
     """(line, merged): the ``top`` groups of each line as (grp, score_milli), best first, ties in the order of groups."""
-    own = lines.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("pos", "labels"))).alias("members"))
+    own = lines.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("pos", slim(F.col("labels")).alias("labels")))).alias("members"))
     return own.select(*LINE, _ranked(F.col("members"), top).alias("merged"))
 
 

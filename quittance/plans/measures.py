@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,9 @@ from quittance.operators.receipt import prepare
 from quittance.plans import derived as D
 from quittance.plans.derived import LAB, SEG, TOK, VOTE, price_sql
 from quittance.plans.receipts import receipt_rows
+from quittance.plans.receipts import _RECEIPT_SQL as RECEIPT
 from quittance.sources.readers import parse_token_rows
+from quittance.sources.shared import shared_dir
 from quittance.sources.writers import token_csv
 from quittance.streaming import queue
 
@@ -86,9 +87,10 @@ def q_softmax_top3(spark: SparkSession, d: str) -> DataFrame:
 
 def q_subtoken_mean(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of a label in order of id; neighbours whose id is alike in tens share a box."""
-    v = D.table(spark, d, "embeddings").select("label", "vec_id", F.floor(F.col("vec_id") / 40).alias("box"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("logits"))
+    v = D.table(spark, d, "embeddings").select("label", "vec_id", F.floor(F.col("vec_id") / 40).alias("box"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
     m = merge_subtokens(v, ("label",), "vec_id", ("box",))
-    return m.select("label", "island", "box", "n_sub", *[F.round(F.col("logits")[i], 6).alias(f"m{i}") for i in range(3)])
+    flat = m.select("label", "island", "box", "n_sub", F.posexplode("logits").alias("class", "logit"))
+    return flat.select("label", "island", "box", "n_sub", F.col("class").cast("long").alias("class"), F.round("logit", 6).alias("mean"))
 
 
 def _variants(spark: SparkSession, d: str) -> DataFrame:
@@ -108,14 +110,14 @@ def q_orientation_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def q_bbox_sanity(spark: SparkSession, d: str) -> DataFrame:
     n = G.normalise(F.col("quad"), F.lit(WIDTH // 2), F.lit(HEIGHT // 4))
-    return dataset.box_quality(quads(spark, d).where("page_no = 0").withColumns(n))
+    return dataset.box_quality(quads(spark, d).withColumns(n))
 
 
 def q_dataset_groups(spark: SparkSession, d: str) -> DataFrame:
     """Tokens as rows of a training file for each 100 receipts; runs of an image come back after others."""
     e = D.entries(spark, d)
-    rows = e.where(F.col("seq") < 1_000_000).select(
-        (F.col("receipt_id") % 100).alias("source"), (F.col("receipt_id") * 1000 + F.col("seq")).alias("row_no"),
+    rows = e.select(
+        (F.col("receipt_id") % 100).alias("source"), (F.col("receipt_id") * 10_000_000 + F.col("seq")).alias("row_no"),
         F.concat(F.lit("data/img_"), (F.col("receipt_id") % 7).cast("string"), F.lit(".jpg")).alias("image"), F.col("text").alias("word"),
         F.array("x1", "y1", "x2", "y2").alias("box"), F.get("labels", F.lit(0))["label_id"].alias("tag"),
     )
@@ -140,9 +142,12 @@ def q_dataset_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
-    o = D.table(spark, d, "orders").where("o_orderkey % 10 <> 0")
+    """Gold values of every order; those of every tenth are missing (null), and match nothing."""
+    o = D.table(spark, d, "orders")
+    known = F.col("o_orderkey") % 10 != 0
     date = F.date_format(F.when(F.col("o_orderkey") % 4 == 0, F.date_add("o_orderdate", 1)).otherwise(F.to_date("o_orderdate")), "dd/MM/yyyy")
-    return o.select(F.col("o_orderkey").alias("receipt_id"), date.alias("g_date"), (F.col("o_orderkey") % 5).alias("g_articles"), (F.round(F.col("o_totalprice") * 100).cast("long") / 100).alias("g_total"))
+    values = {"g_date": date, "g_articles": F.col("o_orderkey") % 5, "g_total": F.round(F.col("o_totalprice") * 100).cast("long") / 100}
+    return o.select(F.col("o_orderkey").alias("receipt_id"), *[F.when(known, v).alias(k) for k, v in values.items()])
 
 
 def q_eval(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +160,7 @@ def q_eval_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 def q_entity_f1(spark: SparkSession, d: str) -> DataFrame:
     """First candidates as predictions; as gold, the third where h is a multiple of 11."""
-    e = D.entries(spark, d).where(F.col("seq") < 1_000_000)
+    e = D.entries(spark, d)
     top = lambda i: group_of(F.get("labels", F.lit(i))["label_id"])
     tags = e.select((F.col("receipt_id") * 10 + F.col("page_no")).alias("receipt_id"), "seq", top(0).alias("pred"), F.when(F.col("h") % 11 == 0, top(1)).otherwise(top(0)).alias("gold"))
     out = evaluate.entity_counts(tags)
@@ -173,7 +178,7 @@ def q_ocr_csv(spark: SparkSession, d: str) -> DataFrame:
 
 def q_color_gate(spark: SparkSession, d: str) -> DataFrame:
     """Pages made from orders: a gradient of as many colours as the key says; every fifth is a PDF page."""
-    o = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).where("k < 400")
+    o = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     side = 16
     colours = F.col("k") % 200 + 1
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.concat(F.lpad(F.hex(i % colours), 2, "0"), F.lit("00"), F.lit("7F"))), ""))
@@ -202,8 +207,7 @@ def q_stream_receipts(spark: SparkSession, d: str) -> DataFrame:
 
     The value of a request's ``image`` is the receipt's number.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quittance-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     ev = D.table(spark, d, "events")
     good = F.to_json(F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), (F.col("user_id") % 2000).cast("string").alias("image"), F.col("event_type").alias("filename")))
     ev.select(F.when(F.col("event_id") % 50 == 0, F.lit("{broken")).otherwise(good).alias("value")).write.text(f"{base}/in")
@@ -263,13 +267,14 @@ hd AS (SELECT receipt_id, coalesce(last(text ORDER BY page_no, seq) FILTER (WHER
 av AS (SELECT s.receipt_id, s.page_no, s.line_no, 1 + max((c1 = 31 AND p1 >= 700)::INT) + max((c1 = 34 AND p1 >= 700)::INT) + max((c1 = 33 AND p1 >= 700)::INT) AS n
   FROM seg s JOIN ranked r ON s.receipt_id = r.receipt_id AND s.page_no = r.page_no AND s.line_no = r.line_no AND r.k = 1 AND r.grp = 'item_table' GROUP BY ALL),
 na AS (SELECT receipt_id, count(*) AS n_articles FROM av WHERE n >= 2 GROUP BY receipt_id),
-ev AS (SELECT hd.receipt_id, coalesce(hd.date = strftime(CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE + 1 ELSE o_orderdate::DATE END, '%d/%m/%Y'), FALSE) AS date_ok,
-  coalesce(n_articles, 0) = o_orderkey % 5 AS articles_ok, coalesce(total = round(o_totalprice * 100)::BIGINT / 100, FALSE) AS total_ok
-  FROM hd JOIN orders ON hd.receipt_id = o_orderkey LEFT JOIN na ON na.receipt_id = hd.receipt_id WHERE o_orderkey % 10 <> 0),
+gd AS (SELECT o_orderkey AS receipt_id, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE + 1 ELSE o_orderdate::DATE END, '%d/%m/%Y') END AS g_date,
+  CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 5 END AS g_articles, CASE WHEN o_orderkey % 10 <> 0 THEN round(o_totalprice * 100)::BIGINT / 100 END AS g_total FROM orders),
+ev AS (SELECT hd.receipt_id, coalesce(hd.date = g_date, FALSE) AS date_ok, coalesce(coalesce(n_articles, 0) = g_articles, FALSE) AS articles_ok, coalesce(total = g_total, FALSE) AS total_ok
+  FROM hd JOIN gd USING (receipt_id) LEFT JOIN na ON na.receipt_id = hd.receipt_id),
 eo AS (SELECT *, (date_ok::INT + articles_ok::INT + total_ok::INT)::BIGINT AS n_ok FROM ev)"""
 
 _ENTITY = f"""WITH {TOK}, {LAB}, tg AS (SELECT receipt_id * 10 + page_no AS rid, seq, a.grp AS pred, CASE WHEN h % 11 = 0 THEN b.grp ELSE a.grp END AS gold
-  FROM tok JOIN lab a ON c1 = a.label_id JOIN lab b ON c2 = b.label_id WHERE seq < 1000000),
+  FROM tok JOIN lab a ON c1 = a.label_id JOIN lab b ON c2 = b.label_id),
 nu AS (SELECT *, row_number() OVER w AS i, lag(gold) OVER w AS lg, lag(pred) OVER w AS lp FROM tg WINDOW w AS (PARTITION BY rid ORDER BY seq)),
 rn AS (SELECT *, sum(CASE WHEN gold IS DISTINCT FROM lg THEN 1 ELSE 0 END) OVER w AS gr, sum(CASE WHEN pred IS DISTINCT FROM lp THEN 1 ELSE 0 END) OVER w AS pr FROM nu WINDOW w AS (PARTITION BY rid ORDER BY seq)),
 gs AS (SELECT rid, gold AS name, min(i) AS f, max(i) AS l FROM rn WHERE gold <> 'O' GROUP BY rid, gr, gold),
@@ -297,13 +302,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, id) AS k
 SELECT vec_id, """
     + ", ".join(f"(max(id) FILTER (WHERE k = {i}))::BIGINT AS id{i}, floor((max(p) FILTER (WHERE k = {i})) * 1000 + 0.5)::BIGINT AS milli{i}" for i in (1, 2, 3))
     + " FROM r GROUP BY vec_id",
-    "q_subtoken_mean": """WITH v AS (SELECT label, vec_id, vec_id // 40 AS box, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, lag(vec_id // 40) OVER (PARTITION BY label ORDER BY vec_id) AS lb FROM embeddings),
-r AS (SELECT *, (sum(CASE WHEN box IS DISTINCT FROM lb THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id))::BIGINT - 1 AS island FROM v)
-SELECT label, island, box, count(*) AS n_sub, round(avg(a), 6) AS m0, round(avg(b), 6) AS m1, round(avg(c), 6) AS m2 FROM r GROUP BY label, island, box""",
+    "q_subtoken_mean": """WITH v AS (SELECT label, vec_id, vec_id // 40 AS box, embedding, lag(vec_id // 40) OVER (PARTITION BY label ORDER BY vec_id) AS lb FROM embeddings),
+r AS (SELECT *, (sum(CASE WHEN box IS DISTINCT FROM lb THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id))::BIGINT - 1 AS island FROM v),
+u AS (SELECT label, island, box, (generate_subscripts(embedding, 1) - 1)::BIGINT AS class, unnest(embedding)::DOUBLE AS x FROM r)
+SELECT label, island, box, count(*) AS n_sub, class, round(avg(x), 6) AS mean FROM u GROUP BY label, island, box, class""",
     "q_orientation": f"WITH {_VARIANTS} SELECT receipt_id, page_no, round(m0, 6) AS mean_0, round(m1, 6) AS mean_180, m0 < m1 AS turned FROM up",
     "q_orientation_tokens": f"WITH {_VARIANTS} SELECT va.receipt_id, va.page_no, seq, ocr_milli, va.turned FROM va JOIN up ON va.receipt_id = up.receipt_id AND va.page_no = up.page_no AND va.turned = (m0 < m1)",
-    "q_bbox_sanity": f"WITH {_QUAD}, n AS (SELECT receipt_id, {', '.join(f'{v} AS n{k}' for k, v in _S.items())} FROM qd WHERE page_no = 0) SELECT receipt_id, count(*) AS n, count(*) FILTER (WHERE nx2 - nx1 < 1 OR ny2 - ny1 < 1 OR greatest(nx1, ny1, nx2, ny2) > 999) AS n_bad FROM n GROUP BY receipt_id",
-    "q_dataset_groups": f"""WITH {TOK}, rw AS (SELECT receipt_id % 100 AS source, receipt_id * 1000 + seq AS row_no, 'img_' || (receipt_id % 7)::VARCHAR || '.jpg' AS name, text, c1 FROM tok WHERE seq < 1000000),
+    "q_bbox_sanity": f"WITH {_QUAD}, n AS (SELECT receipt_id, {', '.join(f'{v} AS n{k}' for k, v in _S.items())} FROM qd) SELECT receipt_id, count(*) AS n, count(*) FILTER (WHERE nx2 - nx1 < 1 OR ny2 - ny1 < 1 OR greatest(nx1, ny1, nx2, ny2) > 999) AS n_bad FROM n GROUP BY receipt_id",
+    "q_dataset_groups": f"""WITH {TOK}, rw AS (SELECT receipt_id % 100 AS source, receipt_id * 10000000 + seq AS row_no, 'img_' || (receipt_id % 7)::VARCHAR || '.jpg' AS name, text, c1 FROM tok),
 rn AS (SELECT *, (sum(n) OVER (PARTITION BY source ORDER BY row_no))::BIGINT - 1 AS run FROM (SELECT *, CASE WHEN name IS DISTINCT FROM lag(name) OVER (PARTITION BY source ORDER BY row_no) THEN 1 ELSE 0 END AS n FROM rw)),
 ls AS (SELECT source, name, max(run) AS run FROM rn GROUP BY ALL)
 SELECT source, name, run, count(*) AS n_words, string_agg(text, '|' ORDER BY row_no) AS words, list_reduce(list(c1::BIGINT ORDER BY row_no), lambda a, t: (a * 31 + t) % 1000003, 0::BIGINT) AS tags FROM rn JOIN ls USING (source, name, run) GROUP BY source, name, run""",
@@ -314,7 +320,12 @@ n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY lower(name), name
     "q_eval_accuracy": f"WITH {_EVAL} SELECT count(*) AS n_receipts, sum(n_ok)::BIGINT AS n_matches, round(sum(n_ok) / (3 * count(*)), 6) AS accuracy FROM eo",
     "q_entity_f1": _ENTITY,
     "q_ocr_csv": f"WITH {_QUAD} SELECT 'r' || receipt_id::VARCHAR AS image, text AS word, ocr_milli::BIGINT AS ocr_milli, ax AS ulx, cy AS dry, c1::INTEGER AS tag FROM qd",
-    "q_color_gate": "SELECT o_orderkey AS receipt_id, least(o_orderkey % 200 + 1, 256)::BIGINT AS n_colours, o_orderkey % 5 <> 0 AND o_orderkey % 200 + 1 >= 100 AS gate FROM orders WHERE o_orderkey < 400",
+    "q_color_gate": "SELECT o_orderkey AS receipt_id, least(o_orderkey % 200 + 1, 256)::BIGINT AS n_colours, o_orderkey % 5 <> 0 AND o_orderkey % 200 + 1 >= 100 AS gate FROM orders",
+    "q_stream_receipts": f"""WITH rec AS ({RECEIPT}),
+ans AS (SELECT receipt_id, concat_ws('|', store_name, date, total_text, n_items::VARCHAR) AS result FROM rec),
+req AS (SELECT event_id, 'e' || event_id::VARCHAR AS id, user_id % 2000 AS receipt_id FROM events WHERE event_id % 50 <> 0)
+SELECT id, coalesce(result, 'no result') AS result FROM req LEFT JOIN ans USING (receipt_id)
+UNION ALL SELECT '?', 'not a request' FROM events WHERE event_id % 50 = 0""",
     "q_label_dim": f"WITH {LAB} SELECT label_id, label, grp, grp_ord, format, colour FROM lab",
     "q_same_group": f"WITH {TOK}, {LAB} SELECT receipt_id, page_no, seq, a.grp = b.grp AND b.grp = c.grp AS same FROM tok JOIN lab a ON c1 = a.label_id JOIN lab b ON c2 = b.label_id JOIN lab c ON c3 = c.label_id",
 }
