@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quittance.functions.labels import LABEL_ID
+from quittance.functions.parse import stem
 from quittance.operators.lines import LINE, build_lines, top_group
 
 #: Least confidence of a label that evaluation believes.
@@ -57,6 +58,35 @@ def compare(gold: DataFrame, prediction: DataFrame, on: str = "receipt_id") -> D
     return both.withColumns(ok).select(on, *ok, (F.col("date_ok").cast("int") + F.col("articles_ok").cast("int") + F.col("total_ok").cast("int")).cast("long").alias("n_ok"))
 
 
+def gold_key(filename: Column) -> Column:
+    """The key that gold files give a receipt: its file's name with the ending .JPG."""
+    return F.concat(stem(filename), F.lit(".JPG"))
+
+
+def gold_values(gold: DataFrame) -> DataFrame:
+    """(file, g_date, g_articles, g_total) of a gold file's rows."""
+    return gold.select("file", F.col("date").alias("g_date"), F.size("articles").cast("long").alias("g_articles"), F.col("total").alias("g_total"))
+
+
+def timings(runs: DataFrame, seconds: str = "seconds") -> DataFrame:
+    """One row: how many runs there were, their sum and their mean."""
+    return runs.agg(F.count(seconds).alias("n"), F.coalesce(F.sum(seconds), F.lit(0.0)).alias("total_seconds"), F.avg(seconds).alias("mean_seconds"))
+
+
+def epoch_loss(batches: DataFrame, keys: tuple[str, ...] = ("epoch",)) -> DataFrame:
+    """The mean loss of the batches of each epoch."""
+    return batches.groupBy(*keys).agg(F.avg("loss").alias("loss"))
+
+
+def pixel_accuracy(scores: DataFrame, keys: tuple[str, ...] = ("batch",)) -> DataFrame:
+    """The share of pixels whose sigmoid is over one half, that is whose logit is over 0, where the mask is set.
+
+    ``scores`` has arrays ``logits`` and ``mask`` of one length.
+    """
+    same = F.size(F.filter(F.zip_with("logits", "mask", lambda x, m: (x > 0) == (m > 0)), lambda v: v))
+    return scores.groupBy(*keys).agg((F.sum(same) / F.sum(F.size("mask"))).alias("accuracy"))
+
+
 def accuracy(compared: DataFrame) -> DataFrame:
     """One row: receipts, matches, and their share of three for each receipt."""
     return compared.agg(F.count(F.lit(1)).alias("n_receipts"), F.sum("n_ok").alias("n_matches"), (F.sum("n_ok") / (3 * F.count(F.lit(1)))).alias("accuracy"))

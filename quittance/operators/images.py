@@ -6,6 +6,8 @@ source gives them (blue, green, red).
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,6 +56,66 @@ def rotate(image: np.ndarray, degrees: float) -> np.ndarray:
     return out
 
 
+def exif_orientation(raw: bytes) -> int:
+    """The orientation tag (1 to 8) of a JPEG file's Exif segment; 1 where there is none."""
+    at = 2
+    while raw[:2] == b"\xff\xd8" and at + 4 <= len(raw) and raw[at] == 0xFF and raw[at + 1] != 0xDA:
+        size = int.from_bytes(raw[at + 2 : at + 4], "big")
+        body = raw[at + 4 : at + 2 + size]
+        if raw[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
+            tiff = body[6:]
+            order = "little" if tiff[:2] == b"II" else "big"
+            number = lambda i, n: int.from_bytes(tiff[i : i + n], order)
+            first = number(4, 4)
+            for k in range(number(first, 2)):
+                entry = first + 2 + 12 * k
+                if number(entry, 2) == 0x0112:
+                    value = number(entry + 8, 2)
+                    return value if 1 <= value <= 8 else 1
+            return 1
+        at += 2 + size
+    return 1
+
+
+def transposed(image: np.ndarray, orientation: int) -> np.ndarray:
+    """The image as an orientation tag says it is to be seen."""
+    if orientation in (5, 6, 7, 8):
+        image = image.transpose(1, 0, 2)
+    if orientation in (2, 3, 6, 7):
+        image = image[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        image = image[::-1]
+    return np.ascontiguousarray(image)
+
+
+def orient_pages(pages: DataFrame, orientation: str = "orientation") -> DataFrame:
+    return map_pages(pages, lambda image, row: transposed(image, int(row[orientation])))
+
+
+def png(image: np.ndarray) -> bytes:
+    """A PNG file of an image in blue, green, red or of one channel."""
+    h, w, c = image.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), (image[:, :, 2::-1] if c >= 3 else image[:, :, :1]).reshape(h, -1)], 1)
+    head = struct.pack(">IIBBBBB", w, h, 8, 2 if c >= 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def with_png(pages: DataFrame) -> DataFrame:
+    """Adds ``png``, the page as an image file; null for a page without pixels. A table of these is the image artifact."""
+
+    @F.pandas_udf("binary")
+    def made(h: pd.Series, w: pd.Series, c: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([png(pixels(*x)) if x[3] else None for x in zip(h, w, c, data, strict=True)])
+
+    return pages.withColumn("png", made("height", "width", "n_channels", "data"))
+
+
+def mask_of(logits: np.ndarray) -> np.ndarray:
+    """255 where a segmentation's logit is above 0."""
+    return np.where(logits > 0, 255, 0).astype(np.uint8)
+
+
 def crop(image: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> np.ndarray:
     h, w = image.shape[:2]
     return image[max(0, y1) : min(h, y2), max(0, x1) : min(w, x2)]

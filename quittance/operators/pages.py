@@ -11,20 +11,13 @@ from pyspark.sql import functions as F
 LEAST_COLOURS = 100
 
 
-def needs_preprocessing(filename: Column, n_colours: Column, enabled: bool = True) -> Column:
-    """Photos only: not if switched off, not for PDF pages, not for pages of few colours."""
-    return F.when(F.lit(not enabled), False).when(F.lower(filename).contains(".pdf"), False).when(n_colours < LEAST_COLOURS, False).otherwise(True)
+def needs_preprocessing(filename: Column, n_colours: Column, enabled: bool = True, any_case: bool = True) -> Column:
+    """Photos only: not if switched off, not for PDF pages, not for pages of few colours.
 
-
-def preprocess(pages: DataFrame, gate: Column, algorithm: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """Sends the pages behind the gate through ``algorithm``; without one all pages pass as they are.
-
-    Rows are parted before the algorithm runs, since Spark may evaluate a Python
-    function even where a condition would not need it.
+    PDF pages are told by ``.pdf`` in the name, in any case unless ``any_case`` is off.
     """
-    if algorithm is None:
-        return pages
-    return algorithm(pages.where(gate)).unionByName(pages.where(~gate))
+    name = F.lower(filename) if any_case else filename
+    return F.when(F.lit(not enabled), False).when(name.contains(".pdf"), False).when(n_colours < LEAST_COLOURS, False).otherwise(True)
 
 
 def page_names(pdf: DataFrame) -> DataFrame:
@@ -51,3 +44,12 @@ def render_line_plan(lines: DataFrame) -> DataFrame:
     top = F.get("merged", F.lit(0))
     caption = F.format_string("%s %d.%03d (conflict = %s)", top["grp"], F.floor(top["score_milli"] / 1000).cast("int"), (top["score_milli"] % 1000).cast("int"), F.col("conflict").cast("string"))
     return lines.select("receipt_id", "page_no", "line_no", "x1", "y1", "x2", "y2", group_colour_of(top["grp"]).alias("colour"), caption.alias("caption"))
+
+
+def render_detections(queries: DataFrame, keys: tuple[str, ...] = ("image",), least: float = 0.9) -> DataFrame:
+    """What to draw for each kept detection: its box in pixels, the class of the largest score, and a caption."""
+    from quittance.functions.geometry import argmax
+    from quittance.operators.detection import kept_detections
+
+    kept = kept_detections(queries, least).withColumn("class", argmax(F.slice("probs", 1, F.size("probs") - 1)))
+    return kept.select(*keys, "query", "class", "x1", "y1", "x2", "y2", F.format_string("%d: %.2f", F.col("class").cast("int"), F.col("score")).alias("caption"))

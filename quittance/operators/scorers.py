@@ -51,6 +51,8 @@ class FixtureScorer:
         return own if recognise else own.withColumn("text", F.lit(""))
 
     def detect(self, pages: DataFrame) -> DataFrame:
+        if self.detections is None:  # no query for any page
+            return pages.where(F.lit(False)).selectExpr(*PAGE, "0 query", "array(0d, 0d) probs", "0d cx", "0d cy", "0d w", "0d h", "width", "height")
         return self.detections.join(pages.select(*PAGE), PAGE, "left_semi")
 
     def segment(self, pages: DataFrame) -> DataFrame:
@@ -79,7 +81,8 @@ def read_upside_up(pages: DataFrame, scorer: Scorer, turn: Callable[[DataFrame],
 def crop_by_detection(pages: DataFrame, scorer: Scorer) -> DataFrame:
     """Crops pages to the first receipt that is detected; the whole page where there is none."""
     found = pick_detection(scorer.detect(pages), tuple(PAGE)).select(*PAGE, *[F.col(c).cast("int").alias(f"c{c}") for c in ("x1", "y1", "x2", "y2")])
-    return crop_pages(pages.join(found, PAGE)).drop("cx1", "cy1", "cx2", "cy2")
+    whole = {"cx1": F.coalesce("cx1", F.lit(0)), "cy1": F.coalesce("cy1", F.lit(0)), "cx2": F.coalesce("cx2", "width"), "cy2": F.coalesce("cy2", "height")}
+    return crop_pages(pages.join(found, PAGE, "left").withColumns(whole)).drop("cx1", "cy1", "cx2", "cy2")
 
 
 def crop_by_segmentation(pages: DataFrame, scorer: Scorer) -> DataFrame:
@@ -100,12 +103,19 @@ def label_tokens(tokens: DataFrame, scorer: Scorer, words: int | None = 10, dupl
 
 @dataclass
 class Config:
+    """``save_results`` writes the result of each step below ``data_dir``; the device is what model loaders are told."""
+
     save_results: bool = False
     data_dir: str = "data"
     device: str = "cpu"
     order: str = "ocr"
     all_pages: bool = False
 
+    def dump(self) -> Callable[[str, DataFrame], None] | None:
+        from quittance.sources.writers import write_stage
+
+        return (lambda name, df: write_stage(df, self.data_dir, name)) if self.save_results else None
+
 
 @dataclass
 class Pipeline:
@@ -120,7 +130,7 @@ class Pipeline:
         for k, step in enumerate(steps):
             entries = entries.transform(step)
             if self.dump:
-                self.dump(f"{k}-{getattr(step, '__name__', 'step')}", entries)
+                self.dump(f"{k}-{getattr(step, '__name__', 'step').strip('<>')}", entries)
         return entries
 
 
@@ -131,7 +141,7 @@ def pipeline(name: str = "default", config: Config | None = None) -> Pipeline:
 
     config = config or Config()
     if name == "default":
-        return Pipeline([lambda e: segment_lines(e, config.order), correct_entries], receipt_documents)
+        return Pipeline([lambda e: segment_lines(e, config.order), correct_entries], receipt_documents, config.dump())
     if name == "ocr_lilt":
-        return Pipeline([], lambda e: entry_documents(e, config.all_pages))
+        return Pipeline([], lambda e: entry_documents(e, config.all_pages), config.dump())
     raise ValueError(f"no pipeline {name!r}; there are default and ocr_lilt")

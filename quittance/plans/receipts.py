@@ -11,6 +11,8 @@ from quittance.operators import lines as L
 from quittance.operators import receipt as R
 from quittance.operators.detection import chunks
 from quittance.operators.pages import render_line_plan, render_plan
+from quittance.operators.preocr import image_entries
+from quittance.operators.scorers import FixtureScorer
 from quittance.plans import derived as D
 from quittance.plans.derived import LAB, NOISY_OR, PRODUCT, SEG, TOK, VOTE, date_sql, int_sql, price_sql
 
@@ -131,6 +133,17 @@ def q_receipt(spark: SparkSession, d: str) -> DataFrame:
     return receipt_rows(prepared(spark, d))
 
 
+def q_image_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """From page images to receipt rows: a page of a thousand by a thousand for each page of an order, scores from tables."""
+    tokens = D.entries(spark, d)
+    at = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    quad = F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2"))
+    read = tokens.select("receipt_id", "page_no", "seq", quad.alias("quad"), "text", "ocr_milli")
+    o = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("receipt_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("page_no"))
+    pages = o.select("receipt_id", "page_no", F.concat(F.lit("r"), F.col("receipt_id").cast("string"), F.lit(".jpg")).alias("filename"), F.lit(1000).alias("height"), F.lit(1000).alias("width"), F.lit(3).alias("n_channels"), F.lit(None).cast("binary").alias("data"))
+    return receipt_rows(image_entries(pages, FixtureScorer(tokens=read, labels=tokens)))
+
+
 def q_receipt_json(spark: SparkSession, d: str) -> DataFrame:
     return R.receipt_documents(prepared(spark, d))
 
@@ -233,6 +246,7 @@ SELECT o_orderkey, text, ({date_sql('text')})::VARCHAR AS value FROM t""",
     "q_item_table": _table_sql("item_table", _ITEMS),
     "q_tax_table": _table_sql("tax_table", R.TAX_FIELDS),
     "q_receipt": _RECEIPT_SQL,
+    "q_image_receipts": _RECEIPT_SQL,
     "q_pages_union": f"""WITH {SEG}, p AS (SELECT receipt_id, page_no, count(*) AS n_entries, count(DISTINCT line_no) AS n_lines FROM seg GROUP BY ALL)
 SELECT p.receipt_id, p.page_no, n_entries, n_lines, string_agg('r' || p.receipt_id::VARCHAR || '_p' || p2::VARCHAR, '&' ORDER BY p2) || '_' || p.page_no::VARCHAR AS image
 FROM p JOIN (SELECT receipt_id, page_no AS p2 FROM p) q ON p.receipt_id = q.receipt_id GROUP BY p.receipt_id, p.page_no, n_entries, n_lines""",
@@ -249,6 +263,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         q_lines, q_reading_order, q_line_box, q_line_conflict, q_union_box, q_line_vote, q_price, q_int, q_date, q_corrected, q_doc_fields_best, q_doc_fields_all,
-        q_item_table, q_tax_table, q_receipt, q_receipt_json, q_entry_json, q_pages_union, q_tail_duplicate, q_render_plan, q_render_lines,
+        q_item_table, q_tax_table, q_receipt, q_image_receipts, q_receipt_json, q_entry_json, q_pages_union, q_tail_duplicate, q_render_plan, q_render_lines,
     )
 }

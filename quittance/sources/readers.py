@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quittance.functions.geometry import percent_to_pixels
+from quittance.functions.labels import LABEL_ID
 from quittance.functions.parse import basename
+from quittance.operators.images import exif_orientation, orient_pages
 
 PAGE_SCHEMA = "receipt_id string, page_no int, filename string, height int, width int, n_channels int, data binary"
 
@@ -24,6 +26,21 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_photos(spark: SparkSession, path: str) -> DataFrame:
+    """Page rows of image files as their orientation tags say they are to be seen."""
+    tag = F.udf(exif_orientation, "int")
+    tags = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), tag("content").alias("orientation"))
+    own = read_images(spark, path).withColumn("_path", F.regexp_replace("receipt_id", "^file:/+", "/"))
+    return orient_pages(own.join(tags, "_path").drop("_path")).drop("orientation")
+
+
+def pair_folders(spark: SparkSession, inputs: dict[str, str], outputs: dict[str, str]) -> DataFrame:
+    """(split, name, path, out): the files of each split's input folder with where its output folder has them."""
+    out = F.create_map(*[F.lit(x) for k, v in outputs.items() for x in (k, v.rstrip("/"))])
+    files = list_splits(spark, {k: v for k, v in inputs.items() if k in outputs})
+    return files.select("split", "name", "path", F.concat(out[F.col("split")], F.lit("/"), F.col("name")).alias("out"))
+
+
 def read_pdfs(spark: SparkSession, path: str, rasterise: Callable[[bytes], list[tuple[int, int, int, bytes]]]) -> DataFrame:
     """Page rows of PDF files. ``rasterise`` gives (height, width, n_channels, data) for each page of a file's bytes."""
 
@@ -138,6 +155,19 @@ def read_label_studio(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("name").agg(F.min_by(F.struct("texts", "boxes", "labels"), "file_upload").alias("e")).select("name", "e.*")
 
 
+def label_ids(entries: DataFrame) -> DataFrame:
+    """Adds ``label_ids``, the ids of an entry's label names; unknown names are null."""
+    ids = F.create_map(*[F.lit(x) for pair in LABEL_ID.items() for x in pair])
+    return entries.withColumn("label_ids", F.transform("labels", lambda x: F.try_element_at(ids, x)))
+
+
+def label_studio_entry(entries: DataFrame, images: DataFrame) -> DataFrame:
+    """The entry of each image by its name; an image without one is an error when the row is computed."""
+    found = images.join(entries.withColumn("_has", F.lit(True)), "name", "left")
+    must = F.assert_true(F.col("_has").isNotNull(), F.concat(F.lit("no entry for "), F.col("name")))
+    return found.where(must.isNull()).drop("_has")
+
+
 GOLD = "map<string,struct<vendor:string,address:string,date:string,articles:array<struct<description:string,quantity:double,tot_art_price:double,unit_price:double>>,total:double>>"
 
 
