@@ -168,17 +168,57 @@ def test_similar_documents_against_plain(spark, deal_rows):
     assert near_text.similar_documents(df.limit(0)).count() == 0
 
 
+def test_all_groups_of_a_value_meet(spark):
+    from quittance.llm import near_text
+
+    # 20 rows of one group, 11 of others, none in a small deal; the large group need not meet itself
+    group = {i: 0 if i < 20 else i // 2 for i in range(31)}
+    rows = [(7, i, i, [i] * near_text.KEYS, g) for i, g in group.items()]
+    members = spark.createDataFrame(rows, "value long, rep long, th long, keys array<long>, group long")
+    for deal_rows in (4, 8, 100):
+        blocks = {}
+        for r in near_text._across(members, deal_rows).collect():
+            blocks.setdefault((r.b1, r.b2), []).append((r.rep, r.own))
+        met = {(a, b) for (b1, b2), at in blocks.items() for a, x in at for b, y in at if a < b and (b1 == b2 or x != y)}
+        assert met >= {(a, b) for b in group for a in range(b) if group[a] != group[b]}
+        assert deal_rows == 100 or not any(b < 20 for _, b in met)
+
+
 def test_full_deals_lose_no_pair(spark):
     from quittance.llm import near_text
 
-    # all share one least shingle and no other
-    rows = [(i, i, i, [7, *range(100 * i + 1000, 100 * i + 1005)]) for i in range(40)]
-    nodes = spark.createDataFrame(rows, "rep long, th long, fp long, keys array<long>")
-    blocks = {}
-    for r in near_text._dealt(nodes, 8).collect():
-        blocks.setdefault((r.at, r.value, r.b1, r.b2), []).append((r.rep, r.own))
-    met = {(a, b) for (_, _, b1, b2), at in blocks.items() for a, x in at for b, y in at if a < b and (b1 == b2 or x != y)}
-    assert met == {(a, b) for b in range(40) for a in range(b)}
+    # texts of one long passage and a few words of their own: all share least shingles, some pairs are similar and most are not
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(90)]
+    texts = []
+    for g in range(40):
+        base = passage + [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(30, 60))]
+        texts += [" ".join(base), " ".join(edited(rng, base, rng.choice([0.01, 0.02, 0.04])))]
+    rng.shuffle(texts)
+    sets = [set(near_text.shingle_hashes(near_text._words(t), 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = groups(list(range(len(texts))), pairs)
+    assert 20 < len(set(want.values())) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for deal_rows in (2, 8, 256):
+        assert {r.doc: r.component_id for r in near_text.similar_documents(df, deal_rows=deal_rows).collect()} == want
+
+
+def test_rarest_shingles_of_similar_sets_meet():
+    from quittance.llm import near_text
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 400, rng.integers(1, 60)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sets += [base, np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 63, 2).astype(np.uint64)]))]
+    counts = np.zeros(near_text.COUNTERS, np.int64)
+    for s in sets:
+        np.add.at(counts, near_text._bucket(s), 1)
+    some = [set(near_text.rarest(s, counts, 0.8).tolist()) for s in sets]
+    whole = [set(s.tolist()) for s in sets]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(whole[i] & whole[j]) >= 0.8 * len(whole[i] | whole[j])]
+    assert len(near) > 20 and all(some[i] & some[j] for i, j in near)
 
 
 def test_repeats_do_not_part_equal_shingles(spark):
