@@ -173,8 +173,8 @@ def test_all_groups_of_a_value_meet(spark):
 
     # 20 rows of one group, 11 of others, none in a small deal; the large group need not meet itself
     group = {i: 0 if i < 20 else i // 2 for i in range(31)}
-    rows = [(7, i, i, [i] * near_text.KEYS, g) for i, g in group.items()]
-    members = spark.createDataFrame(rows, "value long, rep long, th long, keys array<long>, group long")
+    rows = [(7, i, i, g) for i, g in group.items()]
+    members = spark.createDataFrame(rows, "value long, rep long, th long, group long")
     for deal_rows in (4, 8, 100):
         blocks = {}
         for r in near_text._across(members, deal_rows).collect():
