@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quittance.llm import bpe, decontaminate, embedding_dedup, fill_middle, language_id, license_scan, line_dedup, pii, simhash, token_output, top_k, url_filter
+from quittance.llm import bpe, decontaminate, embedding_dedup, fill_middle, language_id, license_scan, line_dedup, name_join, pii, simhash, token_output, top_k, url_filter
 
 _MODULES = {
     "op1_simhash_dedup": simhash,
@@ -16,6 +16,7 @@ _MODULES = {
     "op9_token_output": token_output,
     "op10_decontaminate": decontaminate,
     "op11_top_k": top_k,
+    "op12_name_join": name_join,
     "op13_fill_middle": fill_middle,
 }
 
