@@ -73,12 +73,16 @@ def token_entries(pages: DataFrame, tokens: DataFrame) -> DataFrame:
     return sized.withColumns(box).drop("_x1", "_y1", "_x2", "_y2", "width", "height")
 
 
+def labelled_entries(pages: DataFrame, scorer: Scorer, algorithm: str | None = "detection", dump: Dump | None = None) -> DataFrame:
+    """Labelled entries of page images."""
+    done, tokens = read_pages(pages, scorer, algorithm, dump=dump)
+    return label_tokens(token_entries(done, tokens), scorer).drop("chunk", "copy")
+
+
 def image_entries(pages: DataFrame, scorer: Scorer, config: Config | None = None, algorithm: str | None = "detection", dump: Dump | None = None) -> DataFrame:
     """Labelled, segmented and corrected entries of page images."""
     config = config or Config()
-    done, tokens = read_pages(pages, scorer, algorithm, dump=dump)
-    labelled = label_tokens(token_entries(done, tokens), scorer).drop("chunk", "copy")
-    return correct_entries(segment_lines(cut(labelled), config.order))
+    return correct_entries(segment_lines(cut(labelled_entries(pages, scorer, algorithm, dump)), config.order))
 
 
 def image_receipts(pages: DataFrame, scorer: Scorer, config: Config | None = None, algorithm: str | None = "detection", dump: Dump | None = None) -> DataFrame:
@@ -86,32 +90,6 @@ def image_receipts(pages: DataFrame, scorer: Scorer, config: Config | None = Non
     return receipt_documents(image_entries(pages, scorer, config, algorithm, dump))
 
 
-class ModelRegistry:
-    """Models by name, each loaded when a worker first asks for it and then kept for that worker's life.
-
-    Loaders are pickled, models never are: a copy that reaches a worker is empty.
-    """
-
-    def __init__(self, device: str = "cpu"):
-        self.device = device
-        self._loaders: dict[str, Callable[[str], object]] = {}
-        self._loaded: dict[str, object] = {}
-
-    def register(self, name: str, loader: Callable[[str], object]) -> None:
-        """``loader`` takes the device."""
-        self._loaders[name] = loader
-
-    def get(self, name: str) -> object:
-        if name not in self._loaders:
-            raise KeyError(f"no model {name!r}; there are {sorted(self._loaders)}")
-        if name not in self._loaded:
-            self._loaded[name] = self._loaders[name](self.device)
-        return self._loaded[name]
-
-    def __getstate__(self) -> dict:
-        return {"device": self.device, "_loaders": self._loaders, "_loaded": {}}
-
-
 def choose_device(available: tuple[str, ...], wanted: str | None = None) -> str:
     """The wanted device where it is available, else the first of cuda, mps and cpu that is."""
     if wanted and wanted in available:

@@ -134,14 +134,24 @@ class Pipeline:
         return entries
 
 
-def pipeline(name: str = "default", config: Config | None = None) -> Pipeline:
-    """The registered pipelines: "default" gives nested documents, "ocr_lilt" the entry list of the first page."""
-    from quittance.operators.receipt import correct_entries, entry_documents, receipt_documents
+def pipeline(name: str = "default", config: Config | None = None, scorer: Scorer | None = None, algorithm: str | None = "detection") -> Pipeline:
+    """The registered pipelines: "default" gives nested documents, "ocr_lilt" the entry list of the first page.
+
+    With a ``scorer`` they begin at page images, "default" with the chain of
+    ``algorithm`` before the reading and "ocr_lilt" without one; else they begin
+    at labelled entries.
+    """
     from quittance.operators.lines import segment_lines
+    from quittance.operators.preocr import image_entries, labelled_entries
+    from quittance.operators.receipt import correct_entries, entry_documents, receipt_documents
 
     config = config or Config()
+    dump = config.dump()
     if name == "default":
-        return Pipeline([lambda e: segment_lines(e, config.order), correct_entries], receipt_documents, config.dump())
+        if scorer is not None:
+            return Pipeline([lambda pages: image_entries(pages, scorer, config, algorithm, dump)], receipt_documents, dump)
+        return Pipeline([lambda e: segment_lines(e, config.order), correct_entries], receipt_documents, dump)
     if name == "ocr_lilt":
-        return Pipeline([], lambda e: entry_documents(e, config.all_pages), config.dump())
+        first = [] if scorer is None else [lambda pages: labelled_entries(pages, scorer, None)]
+        return Pipeline(first, lambda e: entry_documents(e, config.all_pages), dump)
     raise ValueError(f"no pipeline {name!r}; there are default and ocr_lilt")

@@ -14,10 +14,10 @@ from quittance.operators.detection import merge_subtokens, pick_detection, top_l
 from quittance.operators.receipt import prepare
 from quittance.plans import derived as D
 from quittance.plans.derived import LAB, SEG, TOK, VOTE, price_sql
-from quittance.plans.receipts import receipt_rows
 from quittance.plans.receipts import _RECEIPT_SQL as RECEIPT
+from quittance.plans.receipts import receipt_answers
 from quittance.sources.readers import parse_token_rows
-from quittance.sources.shared import shared_dir
+from quittance.sources.shared import cut, shared_dir
 from quittance.sources.writers import token_csv
 from quittance.streaming import queue
 
@@ -212,9 +212,11 @@ def q_stream_receipts(spark: SparkSession, d: str) -> DataFrame:
     good = F.to_json(F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), (F.col("user_id") % 2000).cast("string").alias("image"), F.col("event_type").alias("filename")))
     ev.select(F.when(F.col("event_id") % 50 == 0, F.lit("{broken")).otherwise(good).alias("value")).write.text(f"{base}/in")
 
+    wanted = ev.select((F.col("user_id") % 2000).alias("receipt_id")).distinct()
+    # derived once for the whole stream, not in every batch
+    result = cut(receipt_answers(prepare(D.entries(spark, d).join(wanted, "receipt_id", "left_semi"))))
+
     def process(requests: DataFrame) -> DataFrame:
-        rows = receipt_rows(prepare(D.entries(spark, d).join(requests.select(F.col("image").cast("long").alias("receipt_id")).distinct(), "receipt_id", "left_semi")))
-        result = rows.select(F.col("receipt_id").cast("string").alias("image"), F.concat_ws("|", "store_name", "date", "total_text", F.col("n_items").cast("string")).alias("result"))
         return requests.join(result, "image", "left").select("id", "result")
 
     worker = queue.start_worker(queue.read_requests(spark, f"{base}/in"), process, f"{base}/out", f"{base}/dead", f"{base}/state")

@@ -128,6 +128,12 @@ def receipt_rows(entries: DataFrame) -> DataFrame:
     return head.join(top, "receipt_id")
 
 
+def receipt_answers(entries: DataFrame) -> DataFrame:
+    """(image, result): what a request for a receipt is answered with; its image is the receipt's number."""
+    result = F.concat_ws("|", "store_name", "date", "total_text", F.col("n_items").cast("string"))
+    return receipt_rows(entries).select(F.col("receipt_id").cast("string").alias("image"), result.alias("result"))
+
+
 def q_receipt(spark: SparkSession, d: str) -> DataFrame:
     """Per receipt: store, date, best total, other payment, and the number of item and tax lines."""
     return receipt_rows(prepared(spark, d))

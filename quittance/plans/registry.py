@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quittance.plans import measures, receipts
+from quittance.plans import drawn, measures, receipts, services
 
-_MODULES = (receipts, measures)
+_MODULES = (receipts, measures, services, drawn)
 
 
 def queries() -> dict:

@@ -67,15 +67,17 @@ def start_worker(
         context.setJobGroup(group, "receipt requests", interruptOnCancel=True)
         timer = threading.Timer(timeout, expire)
         timer.start()
+        done = False
         try:
             work()
+            done = True  # also where the timer goes off just now: what is written stays
         except Exception:
             if not late.is_set():
                 raise
         finally:
             timer.cancel()
             context.setJobGroup(f"{group}-after", "receipt requests")
-        return not late.is_set()
+        return done
 
     def handle(batch: DataFrame, number: int) -> None:
         batch = batch.persist()

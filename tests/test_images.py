@@ -103,22 +103,6 @@ def test_measures(spark):
     assert [g.select(pages.needs_preprocessing(F.col("f"), F.col("n"), any_case=k)).first()[0] for k in (True, False)] == [False, True]
 
 
-def test_models_load_once_and_do_not_travel():
-    import pickle
-
-    r = preocr.ModelRegistry("cpu")
-    r.register("reader", _load)
-    assert r.get("reader") is r.get("reader")
-    assert pickle.loads(pickle.dumps(r))._loaded == {}
-    with pytest.raises(KeyError):
-        r.get("other")
-    assert [preocr.choose_device(a, w) for a, w in ((("cpu", "cuda"), None), (("cpu", "mps"), None), (("cpu",), "cuda"), (("cpu", "cuda"), "cpu"))] == ["cuda", "mps", "cpu", "cpu"]
-
-
-def _load(device):
-    return [device]
-
-
 def test_stage_dumps_are_written(spark, tmp_path):
     config = scorers.Config(save_results=True, data_dir=str(tmp_path))
     e = spark.createDataFrame([("r", 0, 0, "t", 0, 0, 9, 9, 900, [(34, "I-item.price", 900)])], "receipt_id string, page_no int, seq int, text string, x1 long, y1 long, x2 long, y2 long, ocr_milli int, labels array<struct<label_id:int,label:string,prob_milli:int>>")
