@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quittance.functions.dates import parse_written_date, written_date_sql
 from quittance.functions.geometry import softmax
+from quittance.functions.labels import label_of
+from quittance.operators.evaluate import entity_counts
+from quittance.operators.labeler import Chain, Checkpoints, label_pages, page_sequences, train
 from quittance.operators.matching import detection_measures, match_detections
 from quittance.operators.receipt import prepare
 from quittance.plans import derived as D
@@ -166,6 +169,46 @@ def q_set_measures(spark: SparkSession, d: str) -> DataFrame:
     return found.select("n_gold", "n_found", *[F.round(c, 6).alias(c) for c in ("mean_iou", "recall", "class_loss", "box_loss", "overlap_loss")])
 
 
+
+#: Pages that the labeler is fitted on and scored on while it learns, about; one page in so many is held out.
+SAMPLE_PAGES, SCORE_PAGES, HELD_OUT = 1000, 300, 5
+
+
+def tagged(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(rid, seq, gold, pred) by label names, for entity_counts."""
+    both = gold.join(predicted.select("receipt_id", "page_no", "seq", label_of(F.col("tag")).alias("pred")), ["receipt_id", "page_no", "seq"])
+    return both.select(F.concat_ws("-", "receipt_id", "page_no").alias("rid"), "seq", "gold", "pred")
+
+
+def q_train_labeler(spark: SparkSession, d: str) -> DataFrame:
+    """A labeler learned from four fifths of the pages, held against the majority label on the fifth that it has not seen.
+
+    It is fitted on about SAMPLE_PAGES pages, the first by hash; it labels all held-out pages.
+    """
+    entries = D.entries(spark, d)
+    tag = F.get("labels", F.lit(0))["label_id"]
+    h = F.pmod(F.xxhash64("receipt_id", "page_no"), F.lit(HELD_OUT))
+    n = 2 * D.table(spark, d, "orders").count()
+    share = lambda k: F.pmod(F.xxhash64("page_no", "receipt_id"), F.lit(1 << 20)) < int(min(1.0, k / max(1, n)) * (1 << 20))
+    pages = page_sequences(entries, tag)
+    base = f"{shared_dir(spark)}/labeler-{uuid.uuid4().hex}"
+    gold = entries.select("receipt_id", "page_no", "seq", label_of(tag).alias("gold"))
+    some = cut(pages.where((h == 1) & share(SCORE_PAGES * HELD_OUT)))
+    some_gold = cut(gold.join(some.select("receipt_id", "page_no"), ["receipt_id", "page_no"], "left_semi"))
+
+    def score(chain: Chain) -> float:
+        return entity_counts(tagged(label_pages(some, chain), some_gold), ("rid",)).first().f1
+
+    chain = train(pages.where((h > 1) & share(SAMPLE_PAGES * HELD_OUT / (HELD_OUT - 2))), Checkpoints(spark, base), score, steps=18)
+    held = pages.where(h == 0)
+    by_chain = entity_counts(tagged(label_pages(held, chain), gold), ("rid",))
+    most = pages.where(h > 1).select(F.explode("tags").alias("tag")).groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(1).select("tag")
+    majority = held.select("receipt_id", "page_no", F.explode("seqs").alias("seq")).crossJoin(F.broadcast(most))  # one row
+    by_majority = entity_counts(tagged(majority, gold), ("rid",))
+    named = lambda df, name: df.select(F.lit(name).alias("labeler"), "n_tokens", "n_equal", "n_gold", "n_pred", "n_common", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+    return named(by_chain, "chain").unionByName(named(by_majority, "majority"))
+
+
 SQL = {
     "q_queue_receipts": f"""WITH rec AS ({RECEIPT}),
 ans AS (SELECT receipt_id, concat_ws('|', store_name, date, total_text, n_items::VARCHAR) AS result FROM rec),
@@ -176,4 +219,4 @@ UNION ALL SELECT '?', 'dead', 'not a request', 0 FROM events WHERE event_id % 50
     "q_written_date": _written_sql(),
 }
 
-QUERIES = {f.__name__: f for f in (q_queue_receipts, q_encode_words, q_written_date, q_set_matching, q_set_measures)}
+QUERIES = {f.__name__: f for f in (q_queue_receipts, q_encode_words, q_written_date, q_set_matching, q_set_measures, q_train_labeler)}
