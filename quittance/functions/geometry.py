@@ -111,9 +111,14 @@ def crop_window(corners: Column, width: Column, height: Column) -> dict[str, Col
 
 
 def pad(corners: Column, padding: float = 0.0) -> Column:
-    """Corners pushed out from their centre."""
+    """Four corners moved away from their centre by ``padding``, each along its ray; a corner at the centre stays."""
     cx, cy = F.aggregate(corners, F.lit(0.0), lambda a, p: a + p["x"]) / 4, F.aggregate(corners, F.lit(0.0), lambda a, p: a + p["y"]) / 4
-    return F.transform(corners, lambda p: F.struct((p["x"] + F.signum(p["x"] - cx) * padding).alias("x"), (p["y"] + F.signum(p["y"] - cy) * padding).alias("y")))
+
+    def moved(p: Column) -> Column:
+        share = F.coalesce(padding / F.nullif(F.hypot(p["x"] - cx, p["y"] - cy), F.lit(0.0)), F.lit(0.0))
+        return F.struct((p["x"] + (p["x"] - cx) * share).alias("x"), (p["y"] + (p["y"] - cy) * share).alias("y"))
+
+    return F.transform(corners, moved)
 
 
 def centre_to_corners(cx: Column, cy: Column, w: Column, h: Column) -> dict[str, Column]:

@@ -127,10 +127,62 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return image[np.arange(height) * h // height][:, np.arange(width) * w // width]
 
 
+def _blend(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values between pixels, by the four around each place; places beyond the border take the border's."""
+    h, w = image.shape[:2]
+    x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    fx, fy = (v.reshape(v.shape + (1,) * (image.ndim - 2)) for v in (x - x0, y - y0))
+    wide = image.astype(float)
+    return (wide[y0, x0] * (1 - fx) + wide[y0, x1] * fx) * (1 - fy) + (wide[y1, x0] * (1 - fx) + wide[y1, x1] * fx) * fy
+
+
+def _as(values: np.ndarray, kind: np.dtype) -> np.ndarray:
+    return np.clip(np.floor(values + 0.5), 0, 255).astype(np.uint8) if kind == np.uint8 else values.astype(kind)
+
+
+def resize_smooth(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear, with pixels as areas: the corners of both images meet, not the centres of their corner pixels."""
+    h, w = image.shape[:2]
+    y, x = (np.arange(height) + 0.5) * h / height - 0.5, (np.arange(width) + 0.5) * w / width - 0.5
+    return _as(_blend(image, *np.meshgrid(x, y)), image.dtype)
+
+
+def rotate_smooth(image: np.ndarray, degrees: float) -> np.ndarray:
+    """Like ``rotate``, with values between pixels; black outside."""
+    h, w = image.shape[:2]
+    t = np.radians(degrees)
+    c, s = np.cos(t), np.sin(t)
+    nh, nw = int(np.ceil(round(abs(w * s) + abs(h * c), 6))), int(np.ceil(round(abs(w * c) + abs(h * s), 6)))
+    y, x = np.mgrid[0:nh, 0:nw]
+    x, y = x - (nw - 1) / 2, y - (nh - 1) / 2
+    sx, sy = np.round(x * c - y * s + (w - 1) / 2, 9), np.round(x * s + y * c + (h - 1) / 2, 9)
+    inside = (sx > -0.5) & (sx < w - 0.5) & (sy > -0.5) & (sy < h - 0.5)
+    return _as(np.where(inside.reshape(inside.shape + (1,) * (image.ndim - 2)), _blend(image, sx, sy), 0), image.dtype)
+
+
+def page_mask(logits: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A segmentation's logits, of the size that the network works in, as the mask of a page: enlarged first, then cut at 0."""
+    return mask_of(resize_smooth(logits, height, width))
+
+
 def brightness(image: np.ndarray, factor: float) -> np.ndarray:
     return np.clip(image.astype(float) * factor, 0, 255).astype(np.uint8)
 
 
+def sampled_colours(n_pixels: Column, n_channels: Column, data: Column, sample: int = SAMPLE, seed: int = 17) -> Column:
+    """Distinct colours among at most ``sample`` pixels, as a column: those whose numbers come first by a fixed hash.
+
+    The hash of pixel i is (48271 i + seed) modulo 2^31 - 1, so any engine draws
+    the same pixels. A page without pixels has none.
+    """
+    drawn = F.transform(F.sequence(F.lit(0).cast("long"), n_pixels.cast("long") - 1), lambda i: F.struct(((i * 48_271 + seed) % 2_147_483_647).alias("h"), i.alias("i")))
+    few = F.when(n_pixels > sample, F.slice(F.array_sort(drawn), 1, sample)).otherwise(drawn)
+    colours = F.transform(few, lambda p: F.substring(data, (p["i"] * n_channels + 1).cast("int"), n_channels.cast("int")))
+    return F.when(data.isNotNull() & (n_pixels > 0), F.size(F.array_distinct(colours))).otherwise(0)
+
+
 def augment(image: np.ndarray, mask: np.ndarray, seed: int, size: int = 512, turn: float = 30.0, light: tuple[float, float] = (0.7, 1.3)) -> tuple[np.ndarray, np.ndarray]:
     """Both resized and turned alike by up to ``turn`` degrees; the image alone is lightened or darkened."""
     rng = np.random.default_rng(seed)

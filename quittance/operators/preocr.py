@@ -38,7 +38,7 @@ def detection_chain(pages: DataFrame, scorer: Scorer, dump: Dump) -> tuple[DataF
 
 def segmentation_chain(pages: DataFrame, scorer: Scorer, dump: Dump) -> tuple[DataFrame, DataFrame | None]:
     """Turns the smallest rectangle around the receipt's mask upright and crops to it."""
-    cropped = cut(crop_by_segmentation(pages, scorer))
+    cropped = cut(crop_by_segmentation(pages, scorer, dump))
     dump("cropped", cropped)
     return cropped, None
 

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quittance.functions.geometry import crop_window, rotate, upright_turn
+from quittance.operators.contours import contour_corners, contour_pages
 from quittance.operators.detection import chunks, pick_detection
-from quittance.operators.images import crop_pages, mask_corners, turn_pages
+from quittance.operators.images import crop_pages, turn_pages
 from quittance.operators.orientation import choose_upside, page_turns, upside_tokens
 
 PAGE = ["receipt_id", "page_no"]
@@ -85,9 +86,12 @@ def crop_by_detection(pages: DataFrame, scorer: Scorer) -> DataFrame:
     return crop_pages(pages.join(found, PAGE, "left").withColumns(whole)).drop("cx1", "cy1", "cx2", "cy2")
 
 
-def crop_by_segmentation(pages: DataFrame, scorer: Scorer) -> DataFrame:
-    """Turns the smallest rectangle around the receipt's mask upright and crops to it."""
-    m = scorer.segment(pages).withColumn("corners", mask_corners(F.col("height"), F.col("width"), F.col("mask")))
+def crop_by_segmentation(pages: DataFrame, scorer: Scorer, dump: Callable[[str, DataFrame], None] | None = None, padding: float = 0.0) -> DataFrame:
+    """Turns the smallest rectangle around the receipt's largest contour upright and crops to it; ``dump`` sees it drawn."""
+    m = scorer.segment(pages)
+    if dump:
+        dump("contour", contour_pages(m, padding))
+    m = m.withColumn("corners", contour_corners(F.col("height"), F.col("width"), F.col("mask"), padding))
     m = m.withColumn("turn", upright_turn(F.col("corners")))
     m = m.withColumn("after", rotate(F.col("corners"), F.col("width"), F.col("height"), F.col("turn")))
     found = m.select(*PAGE, "turn", "after")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quittance.functions.labels import LABELS
+from quittance.operators import images
 from quittance.operators.models import ModelRegistry, ModelScorer
 from quittance.operators.preocr import image_entries
 from quittance.plans import derived as D
@@ -130,6 +131,20 @@ def q_image_chain(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Pixels of a side of the pages whose colours are sampled: over twice the sample.
+SIDE = 64
+
+
+def q_colour_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Colours of pages of more pixels than are sampled; each has as many as its customer's number says, up to some hundreds."""
+    k = F.col("c_custkey")
+    code = lambda i: F.lpad(F.hex((i * 7 + F.floor(i / SIDE) * k) % (k % 400 + 1)), 6, "0")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SIDE * SIDE - 1).cast("long")), code), ""))
+    pages = D.table(spark, d, "customer").select(k.alias("receipt_id"), data.alias("data"))
+    n = images.sampled_colours(F.lit(SIDE * SIDE), F.lit(3), F.col("data"))
+    return pages.select("receipt_id", n.cast("long").alias("n_colours")).withColumn("photo", F.col("n_colours") >= 100)
+
+
 def _pixel(v: str) -> str:
     """A place on the page after the way through thousandths of it."""
     return f"round_even(side * (trunc(1000 * ({v})::DOUBLE / side) / 1000), 0)::BIGINT"
@@ -137,6 +152,9 @@ def _pixel(v: str) -> str:
 
 _X2, _Y1 = f"{LEFT} + {CELL_WIDTH} * length(text)", f"{TOP} + {LEADING} * seq"
 SQL = {
+    "q_colour_sample": f"""WITH p AS (SELECT range AS i, row_number() OVER (ORDER BY (range * 48271 + 17) % 2147483647, range) AS place FROM range({SIDE * SIDE})),
+n AS (SELECT c_custkey AS receipt_id, count(DISTINCT (i * 7 + (i // {SIDE}) * c_custkey) % (c_custkey % 400 + 1)) AS n_colours FROM customer, p WHERE place <= {images.SAMPLE} GROUP BY c_custkey)
+SELECT receipt_id, n_colours, n_colours >= 100 AS photo FROM n""",
     "q_image_chain": f"""WITH c AS (SELECT c_custkey AS receipt_id, CASE WHEN c_custkey % 7 = 0 THEN {PHOTO} ELSE {PAPER} END AS side,
   ['Store ' || (c_custkey % 50)::VARCHAR, strftime(DATE '2023-01-01' + (c_custkey % 700)::INT, '%d/%m/%Y'), replace(printf('%.2f', abs(c_acctbal)), '.', ',')] AS t FROM customer),
 e AS (SELECT receipt_id, side, unnest([0, 1, 2]) AS seq, unnest(t) AS text FROM c),
@@ -148,4 +166,4 @@ SELECT receipt_id, 0 AS page_no, seq, seq AS line_no, text, x1, y1, x2, y2, 950
   CASE WHEN seq = 1 THEN ({D.date_sql('text')})::VARCHAR END AS corrected_date, CASE WHEN seq = 2 THEN {D.price_sql('text')} END AS corrected_num FROM b""",
 }
 
-QUERIES = {f.__name__: f for f in (q_image_chain,)}
+QUERIES = {f.__name__: f for f in (q_image_chain, q_colour_sample)}
