@@ -68,6 +68,17 @@ def gold_values(gold: DataFrame) -> DataFrame:
     return gold.select("file", F.col("date").alias("g_date"), F.size("articles").cast("long").alias("g_articles"), F.col("total").alias("g_total"))
 
 
+def evaluate_gold(entries: DataFrame, files: DataFrame, gold: DataFrame, least_milli: int = LEAST_MILLI) -> DataFrame:
+    """(file, date_ok, articles_ok, total_ok, n_ok) of prepared entries against a gold file's rows, as read_gold gives them.
+
+    ``files`` has the receipt_id and filename of every receipt; gold files know a
+    receipt by the stem of its file. Receipts without gold, and gold without a
+    receipt, are left out.
+    """
+    named = files.select("receipt_id", gold_key(F.col("filename")).alias("file"))
+    return compare(gold_values(gold), predicted(entries, least_milli).join(named, "receipt_id"), "file")
+
+
 def timings(runs: DataFrame, seconds: str = "seconds") -> DataFrame:
     """One row: how many runs there were, their sum and their mean."""
     return runs.agg(F.count(seconds).alias("n"), F.coalesce(F.sum(seconds), F.lit(0.0)).alias("total_seconds"), F.avg(seconds).alias("mean_seconds"))
