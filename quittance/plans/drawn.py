@@ -140,7 +140,9 @@ def q_colour_sample(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     code = lambda i: F.lpad(F.hex((i * 7 + F.floor(i / SIDE) * k) % (k % 400 + 1)), 6, "0")
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SIDE * SIDE - 1).cast("long")), code), ""))
-    pages = D.table(spark, d, "customer").select(k.alias("receipt_id"), data.alias("data"))
+    # dealt out while rows are small: pixels are what costs
+    own = D.table(spark, d, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
+    pages = own.select(k.alias("receipt_id"), data.alias("data"))
     n = images.sampled_colours(F.lit(SIDE * SIDE), F.lit(3), F.col("data"))
     return pages.select("receipt_id", n.cast("long").alias("n_colours")).withColumn("photo", F.col("n_colours") >= 100)
 
