@@ -1,21 +1,20 @@
 """Benchmark decontamination: one Aho-Corasick automaton of test windows, run once over each text.
 
-The automaton goes to every Python worker, so the benchmark it is made from has
-a checked size. Beyond that, the windows of the texts meet those of the
-benchmark in a join, which gives the same result and collects nothing.
+The automaton goes to every Python worker, so what it is made from has a checked
+size. A larger benchmark is cut into parts, each with an automaton of its own that
+is run over the texts; only what they hit is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,13 +22,13 @@ from quittance.llm.common import bounded_batches, cut, table
 
 #: Words of a window.
 WINDOW = 10
-#: Most words of a benchmark that becomes one automaton (about 1 KB of a worker's memory each); a larger one is joined.
+#: Most words that become one automaton (about 1 KB of a worker's memory each); a larger benchmark becomes several.
 BLOCK_WINDOWS = 250_000
 
 #: What parts words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows of a text that are held as rows at once.
-_STEP = 1 << 14
+#: Windows of a piece of an item; longer items are cut, so that parts can be filled evenly.
+_STEP = 1 << 12
 #: A-Z to a-z, other ASCII than letters and digits to a space; bytes beyond ASCII stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: The same words in an unfolded text.
@@ -99,6 +98,14 @@ def _spans(text: str, runs: list[list[int]]) -> list[list[int]]:
 _BUILT: dict[tuple, Windows] = {}
 
 
+def _digest(items: list[tuple[int | None, str]]) -> str:
+    return hashlib.sha256(repr(items).encode()).hexdigest()
+
+
+def _ordered(rows: list[Row]) -> list[tuple[int | None, str]]:
+    return sorted(((r.item, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
 def _windows(items: list[tuple[int | None, str]], window: int, digest: str) -> Windows:
     key = (digest, window)
     if key not in _BUILT:
@@ -135,7 +142,7 @@ def _added(docs: DataFrame, judge: Callable[[pa.RecordBatch], list[tuple]], also
 
 
 def _scan(docs: DataFrame, items: list[tuple[int | None, str]], text_col: str, window: int) -> DataFrame:
-    digest = hashlib.sha256(repr(items).encode()).hexdigest()
+    digest = _digest(items)
 
     def judge(batch: pa.RecordBatch) -> list[tuple]:
         w = _windows(items, window, digest)
@@ -149,49 +156,76 @@ def _scan(docs: DataFrame, items: list[tuple[int | None, str]], text_col: str, w
     return _added(docs, judge)
 
 
-def _window_rows(texts: DataFrame, key: str, lengths: list[int], whole_below: int | None) -> DataFrame:
-    """(key, first, n, h1, h2): a row for each window of ``lengths`` words of a text, with its 128-bit hash.
+def _pieces(items: DataFrame, window: int, step: int) -> DataFrame:
+    """(item, text, n): items in pieces of up to ``step`` windows, so that each window is whole in one of them; n words."""
 
-    With ``whole_below``, texts of fewer words are one window, and others have windows of so many words.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                made = [words[i : i + step + window - 1] for i in range(0, max(1, len(words) - window + 1), step)] if words else []
+                columns = [[item] * len(made), [b" ".join(w).decode() for w in made], [len(w) for w in made]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["item", "text", "n"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, text string, n long").distinct()
+
+
+def _parts(items: DataFrame, total: int, window: int) -> tuple[DataFrame, int]:
+    """(pieces with their part, number of parts): parts of up to BLOCK_WINDOWS words, counted; more of them where one has more."""
+    block = max(BLOCK_WINDOWS, 4 * window)
+    pieces = cut(_pieces(items, window, min(_STEP, block // 8)))
+    n = -(-5 * total // (4 * block))
+    while True:
+        dealt = pieces.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+        if (dealt.groupBy("part").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= block:
+            return dealt, n
+        n += 1 + n // 4
+
+
+def _hits(texts: DataFrame, items: list[tuple[int | None, str]], window: int) -> DataFrame:
+    """(k, runs, found) of the texts (k, text) that hold a window of ``items``."""
+    digest = _digest(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            w = _windows(items, window, digest)
+            rows = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                for n in lengths if whole_below is None else ([min(whole_below, len(words))] if words else []):
-                    for i in range(0, len(words) - n + 1, _STEP):
-                        at = range(i, min(i + _STEP, len(words) - n + 1))
-                        halves = [struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words[j : j + n]))) for j in at]
-                        columns = [[k] * len(at), list(at), [n] * len(at), [x for x, _ in halves], [y for _, y in halves]]
-                        kinds = [batch.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "first", "n", "h1", "h2"])
+                runs, found = w.scan(words_of(text))
+                if runs:
+                    rows.append((k, runs, sorted(found)))
+            kinds = [pa.binary(), _ARROW[1], _ARROW[3]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["k", "runs", "found"])
 
-    schema = T.StructType([T.StructField("key", texts.schema[key].dataType), *[T.StructField(c, T.IntegerType()) for c in ("first", "n")], *[T.StructField(c, T.LongType()) for c in ("h1", "h2")]])
-    return texts.select(key, "text").mapInArrow(run, schema)
+    return texts.mapInArrow(run, "k binary, runs array<array<int>>, found array<long>")
 
 
-def _join(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> DataFrame:
-    """The same as _scan for a benchmark of any size: windows of distinct texts meet windows of items on their hash.
+def _scan_in_parts(docs: DataFrame, items: DataFrame, total: int, text_col: str, window: int) -> DataFrame:
+    """The same as _scan for a benchmark of any size: an automaton for each part of it, one after the other.
 
-    The join's key is a struct, so that Spark shuffles both sides for the join
-    itself and adaptive execution splits a window that many texts hold.
+    The texts are read once for each part and stay where they are. Only what a
+    part hits is written, under the text's digest; copies of a text fall together
+    before the shuffle. The texts then meet their hits in one join, whose key is
+    a struct so that adaptive execution can split a text of many copies.
     """
-    own = _window_rows(items, "item", [], window).groupBy("n", "h1", "h2").agg(F.collect_set("key").alias("own"))
-    own = cut(own.select(F.struct("n", "h1", "h2").alias("w"), "own"))
-    lengths = sorted(r.n for r in own.select("w.n").distinct().collect())  # at most ``window``
-    key = F.sha2(F.col(text_col), 256)
-    texts = docs.select(key.alias("k"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).dropDuplicates(["k"])
-    met = _window_rows(texts, "k", lengths, None).select("key", "first", "n", F.struct("n", "h1", "h2").alias("w")).join(own, "w")
-    hits = met.groupBy(F.col("key").alias("__dc_key")).agg(
-        F.collect_set(F.struct("first", "n")).alias("__dc_at"), F.array_distinct(F.flatten(F.collect_set("own"))).alias("__dc_items")
-    )
-    both = docs.withColumn("__dc_k", key).join(hits, F.col("__dc_k") == F.col("__dc_key"), "left")
+    dealt, n = _parts(items, total, window)
+    key = F.unhex(F.sha2(F.col(text_col), 256))
+    texts = docs.select(key.alias("k"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    met = []
+    for part in range(n):
+        rows = _ordered(dealt.where(F.col("part") == part).select("item", "text").collect())  # BLOCK_WINDOWS words at most
+        if rows:
+            met.append(cut(_hits(texts, rows, window)))
+    if not met:
+        return _scan(docs, [], text_col, window)
+    hits = reduce(DataFrame.unionByName, met).groupBy("k").agg(F.flatten(F.collect_set("runs")).alias("__dc_at"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("__dc_items"))
+    hits = hits.select(F.struct("k").alias("__dc_key"), "__dc_at", "__dc_items")
+    both = docs.withColumn("__dc_k", F.struct(key.alias("k"))).join(hits, F.col("__dc_k") == F.col("__dc_key"), "left")
 
     def judge(batch: pa.RecordBatch) -> list[tuple]:
         rows = []
         for text, at, found in zip(*[batch.column(c).to_pylist() for c in (text_col, "__dc_at", "__dc_items")], strict=True):
-            runs = _merged([[x["first"], x["first"] + x["n"] - 1] for x in at or []])
+            runs = _merged(at or [])
             rows.append((len(words_of(text)), runs, _spans(text or "", runs), sorted(found or [])))
         return rows
 
@@ -204,8 +238,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     A window is ``window`` consecutive words of an item; an item of fewer words,
     but not none, is one window. The windows become one automaton in each
     Python worker, and each text is scanned once. The benchmark is counted
-    first: up to ``BLOCK_WINDOWS`` words go to the workers whole; the windows of a
-    larger one meet those of the texts in a join, with the same result.
+    first: up to ``BLOCK_WINDOWS`` words are one automaton; a larger one becomes
+    several, for each of which the texts are read again, with the same result.
 
     Returns all columns of ``docs`` plus ``n_words``, ``hit_words`` (runs
     [first, last] of hit words), ``hit_spans`` (the same runs as [start, end) in
@@ -222,9 +256,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.size(F.split("text", SEPARATORS)).cast("long"))).first()[0] or 0
     if total > BLOCK_WINDOWS:
-        return _join(rest, items, text_col, window)
-    rows = sorted(((r.item, r.text) for r in items.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    return _scan(rest, rows, text_col, window)
+        return _scan_in_parts(rest, items, total, text_col, window)
+    return _scan(rest, _ordered(items.collect()), text_col, window)
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -447,3 +447,28 @@ def test_decontamination_against_plain_in_both_ways(spark, monkeypatch, limit):
     assert len(got) == len(docs) and {"key", "h", "items"} <= set(got[0].asDict())
     want = sorted((d, *plain(t)) for d, t in docs)
     assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == want
+
+
+def test_decontamination_by_a_large_benchmark(spark, monkeypatch):
+    """An item of more words than an automaton takes, and others; the same rows as from one automaton."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 25_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in docs.where("doc_id % 2 = 0").orderBy("doc_id").collect() if r.text]
+    words, items = [w for t in texts for w in decontaminate.words_of(t)], [(0, "nothing but a long item")]
+    rng = random.Random(8)
+    for i in range(1, 400):
+        at = rng.randrange(len(words))
+        items.append((i, b" ".join(words[at : at + rng.randint(3, 60)]).decode()))
+    items.append((500, " ".join(f"w{i}" for i in range(29_000)) + " " + texts[0]))
+    assert sum(len(decontaminate.words_of(t)) for _, t in items) > 30_000 > decontaminate.BLOCK_WINDOWS
+    df = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.n_words, str(r.hit_words), str(r.hit_spans), str(r["items"])) for r in decontaminate.find_contamination(docs, df).collect())
+    parts = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 1 << 40)
+    assert parts == found() and sum(r[2] != "[]" for r in parts) > 100
+
+
+def test_decontamination_by_items_without_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 0)
+    df = spark.createDataFrame([(1, " .. "), (2, "-")], "item_id long, text string")
+    assert [(r.n_words, r.hit_words) for r in decontaminate.find_contamination(frame(spark, [(1, "a b")]), df).collect()] == [(2, [])]
