@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quittance.plans import drawn, measures, receipts, services
+from quittance.plans import documents_sql, drawn, measures, receipts, services
 
-_MODULES = (receipts, measures, services, drawn)
+_MODULES = (receipts, measures, services, drawn, documents_sql)
 
 
 def queries() -> dict:
