@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from quittance.functions.labels import LABEL_ID
 from quittance.functions.parse import stem
-from quittance.operators.lines import LINE, build_lines, top_group
+from quittance.operators.lines import build_lines, top_group
 
 #: Least confidence of a label that evaluation believes.
 LEAST_MILLI = 700
 
 
-def believed(label: str, least_milli: int = LEAST_MILLI) -> Column:
-    top = F.get("labels", F.lit(0))
+def believed(entry: Column, label: str, least_milli: int = LEAST_MILLI) -> Column:
+    """Whether an entry's first candidate is ``label`` with enough confidence."""
+    top = F.get(entry["labels"], F.lit(0))
     return (top["label_id"] == LABEL_ID[label]) & (top["prob_milli"] >= least_milli)
 
 
@@ -25,23 +26,28 @@ def predicted(lines: DataFrame, least_milli: int = LEAST_MILLI) -> DataFrame:
     Vendor and total are the last believed ones; the address joins all, each
     after a space; the date is the last date with time, else the first date. An
     item line is an article if at least two of its four values are there, of
-    which the description always is.
+    which the description always is. A line gives its own last and first ones,
+    and the receipt takes those of its lines, so entries are derived once.
     """
-    at = F.struct("page_no", "seq")
-    b = lambda x: believed(x, least_milli)
-    last = lambda x, c: F.max_by(F.when(b(x), F.col(c)), F.when(b(x), at))
-    parts = F.transform(F.array_sort(F.collect_list(F.when(b("I-store.address"), F.struct("page_no", "seq", "text")))), lambda v: F.concat(F.lit(" "), v["text"]))
-    head = lines.groupBy("receipt_id").agg(
-        F.coalesce(last("I-store.name", "text"), F.lit("")).alias("vendor"),
+    own = build_lines(lines, 1, ("seq", "text", "corrected_num"))
+    at = lambda e, c: F.struct(F.col("page_no").alias("page_no"), e["seq"].alias("seq"), e[c].alias(c))
+    found = lambda x, c: F.transform(F.filter("members", lambda e: believed(e, x, least_milli)), lambda e: at(e, c))
+    has = lambda x: F.exists("members", lambda e: F.coalesce(believed(e, x, least_milli), F.lit(False))).cast("int")
+    values = 1 + has("I-item.quantity") + has("I-item.price") + has("I-item.unit_price")
+    of_line = own.select(
+        "receipt_id",
+        F.array_max(found("I-store.name", "text")).alias("vendor"), found("I-store.address", "text").alias("address"), F.array_max(found("I-datetime", "text")).alias("moment"),
+        F.array_min(found("I-date_value", "text")).alias("day"), F.array_max(found("I-total.price", "corrected_num")).alias("total"),
+        (F.coalesce(top_group(F.col("merged")) == "item_table", F.lit(False)) & (values >= 2)).alias("article"),
+    )
+    parts = F.transform(F.array_sort(F.flatten(F.collect_list("address"))), lambda v: F.concat(F.lit(" "), v["text"]))
+    return of_line.groupBy("receipt_id").agg(
+        F.coalesce(F.max("vendor")["text"], F.lit("")).alias("vendor"),
         F.array_join(parts, "").alias("address"),
-        F.coalesce(last("I-datetime", "text"), F.min_by(F.when(b("I-date_value"), F.col("text")), F.when(b("I-date_value"), at)), F.lit("")).alias("date"),
-        last("I-total.price", "corrected_num").alias("total"),
+        F.coalesce(F.max("moment")["text"], F.min("day")["text"], F.lit("")).alias("date"),
+        F.max("total")["corrected_num"].alias("total"),
+        F.count_if("article").alias("n_articles"),
     )
-    has = lambda x: F.max(b(x).cast("int"))
-    items = build_lines(lines).where(top_group(F.col("merged")) == "item_table").select(*LINE)
-    found = lines.join(items, list(LINE)).groupBy(*LINE).agg((1 + has("I-item.quantity") + has("I-item.price") + has("I-item.unit_price")).alias("n_values"))
-    articles = found.where("n_values >= 2").groupBy("receipt_id").agg(F.count(F.lit(1)).alias("n_articles"))
-    return head.join(articles, "receipt_id", "left").withColumn("n_articles", F.coalesce("n_articles", F.lit(0)))
 
 
 def compare(gold: DataFrame, prediction: DataFrame, on: str = "receipt_id") -> DataFrame:
