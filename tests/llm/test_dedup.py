@@ -276,3 +276,54 @@ def test_embeddings_query_columns_and_recall(spark, tmp_path):
     found, all_ = sum(r.n_links for r in got.values()), sum(n for n, _ in want.values())
     print(f"recall {found / all_:.3f} of {all_} links")
     assert found >= 0.9 * all_ > 0
+
+
+def test_pieces_give_the_shingles_of_the_whole(monkeypatch):
+    import xxhash
+
+    from quittance.llm import near_text
+
+    rng = random.Random(3)
+    texts = ["", None, " \n ", "One", "a b c d", "a b c d e", "x" * 500, " ".join(f"W{rng.randint(0, 50)}" + " " * rng.randint(0, 30) for _ in range(400)), "é ü " * 90]
+    plain = []
+    for t in texts:
+        words = near_text._words(t)
+        plain.append((near_text._sketch(t, 5), np.unique(near_text.shingle_hashes(words, 5)), xxhash.xxh64_intdigest(b" ".join(words), near_text.SEED)))
+    for piece in (1, 7, 64, 1000):
+        monkeypatch.setattr(near_text, "_PIECE", piece)
+        for t, (sketch, whole, content) in zip(texts, plain, strict=True):
+            assert near_text._sketch(t, 5) == sketch and sketch[1] == content
+            assert near_text.shingle_set(t, 5).tolist() == whole.tolist()
+
+
+def test_deals_are_cut_by_bytes_and_not_repeated(spark, monkeypatch):
+    from quittance.llm import near_text
+
+    # pairs that share all six keys move once; a deal of few but long texts becomes blocks that its least member ties together
+    nodes = [(2 * g + i, g, 10, [g * 10 + k for k in range(6)]) for g in range(5) for i in range(2)]
+    df = spark.createDataFrame(nodes, "rep long, th long, bytes long, keys array<long>")
+    dealt, full = near_text._dealt(df, 256)
+    assert sorted((r.at, r.rep) for r in dealt.collect()) == [(0, i) for i in range(10)] and full.count() == 0
+    monkeypatch.setattr(near_text, "DEAL_BYTES", 30)
+    df = spark.createDataFrame([(i, 0, 1000 if i == 0 else 10, [1]) for i in range(40)], "rep long, th long, bytes long, keys array<long>")
+    dealt, full = near_text._dealt(df, 256)
+    rows = [(r.b1, r.rep) for r in dealt.collect()]
+    assert full.count() == 40 and {b for b, _ in rows} == {b for b, i in rows if i == 1} and len({b for b, _ in rows}) == 47
+    assert sum(i == 0 for _, i in rows) == 1 and {i for _, i in rows} == set(range(40))
+
+
+def test_similar_documents_with_small_bounds_of_bytes(spark, monkeypatch):
+    from quittance.llm import near_text
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(20, 400))] + [f"p{i}" for i in range(30)]
+        texts += [" ".join(edited(rng, base, rng.choice([0, 0.01, 0.02]))) for _ in range(rng.randint(1, 6))]
+    sets = [set(near_text.shingle_set(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = groups(list(range(len(sets))), near)
+    for most in (500, 6000):
+        monkeypatch.setattr(near_text, "DEAL_BYTES", most)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.doc: r.component_id for r in near_text.similar_documents(df).collect()} == want
