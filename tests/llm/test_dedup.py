@@ -302,11 +302,11 @@ def test_deals_are_cut_by_bytes_and_not_repeated(spark, monkeypatch):
     # pairs that share all six keys move once; a deal of few but long texts becomes blocks that its least member ties together
     nodes = [(2 * g + i, g, 10, [g * 10 + k for k in range(6)]) for g in range(5) for i in range(2)]
     df = spark.createDataFrame(nodes, "rep long, th long, bytes long, keys array<long>")
-    dealt, full = near_text._dealt(df, 256)
+    dealt, full, _ = near_text._dealt(df, 256)
     assert sorted((r.at, r.rep) for r in dealt.collect()) == [(0, i) for i in range(10)] and full.count() == 0
     monkeypatch.setattr(near_text, "DEAL_BYTES", 30)
     df = spark.createDataFrame([(i, 0, 1000 if i == 0 else 10, [1]) for i in range(40)], "rep long, th long, bytes long, keys array<long>")
-    dealt, full = near_text._dealt(df, 256)
+    dealt, full, _ = near_text._dealt(df, 256)
     rows = [(r.b1, r.rep) for r in dealt.collect()]
     assert full.count() == 40 and {b for b, _ in rows} == {b for b, i in rows if i == 1} and len({b for b, _ in rows}) == 47
     assert sum(i == 0 for _, i in rows) == 1 and {i for _, i in rows} == set(range(40))
@@ -327,3 +327,15 @@ def test_similar_documents_with_small_bounds_of_bytes(spark, monkeypatch):
         monkeypatch.setattr(near_text, "DEAL_BYTES", most)
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         assert {r.doc: r.component_id for r in near_text.similar_documents(df).collect()} == want
+
+
+def test_filter_before_a_shuffle_loses_no_partner(spark, monkeypatch):
+    from quittance.llm import near_text
+
+    rows = spark.range(-3000, 3000).selectExpr("id as value", "id * 7 as bucket")
+    few = spark.range(-500, 500).selectExpr("id * 6 as value")
+    for bits, most in ((1 << 26, 1000), (1 << 15, 1400), (8, 6000)):
+        monkeypatch.setattr(near_text, "FILTER_BITS", bits)
+        got = [r.value for r in near_text._only(rows, few, "value").collect()]
+        assert len(got) == len(set(got)) and {v * 6 for v in range(-500, 500)} <= set(got) and len(got) <= most
+    assert near_text._only(rows, few.limit(0), "value").count() == 0
