@@ -20,7 +20,7 @@ def group_by_image(rows: DataFrame, order: str = "row_no") -> DataFrame:
     w = W.partitionBy("source").orderBy(order)
     new = F.coalesce(F.col("image") != F.lag("image").over(w), F.lit(True)).cast("int")
     runs = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w) - 1)
-    own = F.array_sort(F.collect_list(F.struct(order, "word", "box", "tag")))
+    own = F.sort_array(F.collect_list(F.struct(order, "word", "box", "tag")))
     grouped = runs.groupBy("source", "run", "image").agg(own.alias("own"))
     named = grouped.withColumn("name", basename(F.col("image")))
     last = named.groupBy("source", "name").agg(F.max_by(F.struct("run", "image", "own"), "run").alias("g"))
