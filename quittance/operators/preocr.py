@@ -82,7 +82,9 @@ def labelled_entries(pages: DataFrame, scorer: Scorer, algorithm: str | None = "
 def image_entries(pages: DataFrame, scorer: Scorer, config: Config | None = None, algorithm: str | None = "detection", dump: Dump | None = None) -> DataFrame:
     """Labelled, segmented and corrected entries of page images."""
     config = config or Config()
-    return correct_entries(segment_lines(cut(labelled_entries(pages, scorer, algorithm, dump)), config.order))
+    entries = labelled_entries(pages, scorer, algorithm, dump)
+    # documents read entries once; who dumps steps reads them again
+    return correct_entries(segment_lines(cut(entries) if dump else entries, config.order))
 
 
 def image_receipts(pages: DataFrame, scorer: Scorer, config: Config | None = None, algorithm: str | None = "detection", dump: Dump | None = None) -> DataFrame:

@@ -33,3 +33,13 @@ def test_tokens_are_not_moved(spark):
     d = "/root/testdata/sf0.001"
     plan = D.prepared(spark, d).groupBy("receipt_id", "page_no", "line_no").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "Exchange hashpartitioning(receipt_id" not in plan
+
+
+def test_documents_read_entries_once(spark):
+    from quittance.operators.receipt import receipt_documents
+    from quittance.plans.receipts import receipt_rows
+
+    d = "/root/testdata/sf0.001"
+    for made in (receipt_documents, receipt_rows):
+        plan = made(D.prepared(spark, d))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "Scan ExistingRDD" not in plan
