@@ -292,7 +292,7 @@ def _across(members: DataFrame, deal_rows: int, size: Column | None = None) -> D
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, deal_rows: int = DEAL_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, deal_rows: int = DEAL_ROWS, known: DataFrame | None = None
 ) -> DataFrame:
     """(doc, component_id) for every row: documents joined by links of Jaccard similarity ``similarity`` or more.
 
@@ -311,6 +311,9 @@ def similar_documents(
     (``_only``) is crowded. What is broadcast has one size for any input: that
     filter, and a table of COUNTERS counts, which comes to the driver as well.
 
+    ``known`` has links (a, b) between ids that were found elsewhere, the smallest
+    id of a group on one side; they join groups like the others.
+
     Edge cases: null and blank texts are alike; a very long text is read in
     pieces for its sketch, and where it is compared a task holds it and its
     shingles (8 bytes each), beside blocks of DEAL_BYTES on average; a text of
@@ -368,7 +371,8 @@ def similar_documents(
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["bucket", "n"])
 
     texts = rows.select(F.col("doc").alias("rep"), "th", "text")
-    found = connected_components(links(dealt, _only(texts, met, "rep", "th")))
+    linked = links(dealt, _only(texts, met, "rep", "th"))
+    found = connected_components(linked if known is None else linked.unionByName(known))
     apart = cut(_left_apart(full, found))
     group = F.coalesce("component", "rep")
     grouped = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", "content", group.alias("group"))
