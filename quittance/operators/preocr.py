@@ -52,12 +52,14 @@ def read_pages(pages: DataFrame, scorer: Scorer, algorithm: str | None = "detect
     Pages are parted before the chain runs: Spark may call a Python function even
     where a condition would not need it.
     """
-    dump = dump or (lambda name, df: None)
+    wanted, dump = dump is not None, dump or (lambda name, df: None)
     if algorithm is None or not enabled:
         return pages, scorer.read_text(pages)
     dump("original", pages)
     gated = cut(with_colours(pages).withColumn("_gate", needs_preprocessing(F.col("filename"), F.col("n_colours"))))
     photos, others = (gated.where(c).drop("_gate", "n_colours") for c in (F.col("_gate"), ~F.col("_gate")))
+    if not wanted and photos.isEmpty():  # nothing for the chain to do, whose every step would read all scores again
+        return others.select(*pages.columns), scorer.read_text(others)
     done, tokens = CHAINS[algorithm](photos, scorer, dump)
     tokens = scorer.read_text(done) if tokens is None else tokens
     after = done.select(*pages.columns).unionByName(others)
