@@ -135,14 +135,19 @@ def q_image_chain(spark: SparkSession, d: str) -> DataFrame:
 SIDE = 64
 
 
+def _coloured(keys: pd.Series) -> pd.Series:
+    """The pixels of customers' pages: pixel i of customer k has the colour (7 i + (i // SIDE) k) modulo (k modulo 400 + 1)."""
+    i = np.arange(SIDE * SIDE, dtype=np.int64)
+    pages = ((i * 7 + i // SIDE * k) % (k % 400 + 1) for k in keys.tolist())
+    return pd.Series([code.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes() for code in pages], dtype=object)
+
+
 def q_colour_sample(spark: SparkSession, d: str) -> DataFrame:
     """Colours of pages of more pixels than are sampled; each has as many as its customer's number says, up to some hundreds."""
     k = F.col("c_custkey")
-    code = lambda i: F.lpad(F.hex((i * 7 + F.floor(i / SIDE) * k) % (k % 400 + 1)), 6, "0")
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SIDE * SIDE - 1).cast("long")), code), ""))
     # dealt out while rows are small: pixels are what costs
     own = D.table(spark, d, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
-    pages = own.select(k.alias("receipt_id"), data.alias("data"))
+    pages = own.select(k.alias("receipt_id"), F.pandas_udf(_coloured, "binary")(k).alias("data"))
     n = images.sampled_colours(F.lit(SIDE * SIDE), F.lit(3), F.col("data"))
     return pages.select("receipt_id", n.cast("long").alias("n_colours")).withColumn("photo", F.col("n_colours") >= 100)
 

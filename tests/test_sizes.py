@@ -30,3 +30,12 @@ def test_without_photos_no_chain_reads_scores(spark):
     done, read = preocr.read_pages(pages, Reader(tokens=tokens))
     assert calls == [True]
     assert done.columns == pages.columns and done.collect() == pages.collect() and read.collect() == tokens.collect()
+
+
+def test_colours_are_counted_by_a_page_at_a_time():
+    rng = np.random.default_rng(3)
+    for n, channels, size in ((4096, 3, 4096), (100, 3, 100), (3000, 3, 2000), (50, 1, 50), (2500, 4, 2500), (10, 3, 0)):
+        data = rng.integers(0, 3, size * channels).astype(np.uint8).tobytes()
+        order = sorted(range(n), key=lambda i: ((48271 * i + 17) % 2147483647, i))[:2000]
+        assert images.colours_drawn(n, channels, data, 2000, 17) == len({data[i * channels : (i + 1) * channels] for i in order})
+    assert images.drawn_pixels(4096, 2000, 17) is images.drawn_pixels(4096, 2000, 17)
