@@ -35,8 +35,8 @@ def _money(cents: object) -> object:
 COLUMNS = ["receipt_id", "page_no", "seq", "text", "x1", "y1", "x2", "y2", "ocr_milli", "h", "c1", "p1", "c2", "p2", "c3", "p3"]
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens with three label candidates in columns.
+def candidates(spark: SparkSession, sf_dir: str, receipts: DataFrame | None = None) -> DataFrame:
+    """Tokens with three label candidates in columns, of all receipts or of those whose receipt_id is in ``receipts``.
 
     Orders and their lines are moved once, while they are narrow; tokens are made
     where the lines lie, by receipt_id, so what is grouped by it moves no token.
@@ -45,6 +45,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name").hint("shuffle_hash")
     o = table(spark, sf_dir, "orders")
+    if receipts is not None:
+        li, o = (x.join(receipts, F.col(c) == F.col("receipt_id"), "left_semi") for x, c in ((li, "l_orderkey"), (o, "o_orderkey")))
     both = li.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey").withColumn("is_line", F.lit(True)).unionByName(
         o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_totalprice", F.lit(False).alias("is_line")), allowMissingColumns=True
     )
@@ -97,9 +99,9 @@ def labelled(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("labels", F.array(cand(1), cand(2), cand(3))).drop("c1", "p1", "c2", "p2", "c3", "p3")
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens with the labels array."""
-    return labelled(candidates(spark, sf_dir))
+def entries(spark: SparkSession, sf_dir: str, receipts: DataFrame | None = None) -> DataFrame:
+    """Tokens with the labels array, of all receipts or of those in ``receipts``."""
+    return labelled(candidates(spark, sf_dir, receipts))
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:

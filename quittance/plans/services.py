@@ -38,7 +38,7 @@ def q_queue_receipts(spark: SparkSession, d: str) -> DataFrame:
     publish(messages.repartition(MESSAGE_FILES, "event_id"), f"{base}/queue", "first")
     publish(messages.where("event_id % 7 = 0 AND event_id % 50 <> 0").coalesce(1), f"{base}/queue", "second")
     wanted = ev.select((F.col("user_id") % 2000).alias("receipt_id")).distinct()
-    result = cut(receipt_answers(prepare(D.entries(spark, d).join(wanted, "receipt_id", "left_semi"))))
+    result = cut(receipt_answers(prepare(D.entries(spark, d, wanted))))
     worker = start_tracked_worker(
         read_spool(spark, f"{base}/queue", prefetch=PREFETCH),
         lambda requests: requests.join(result, "image", "left").select("id", "result"),

@@ -66,3 +66,21 @@ def test_entities_are_counted_in_one_pass(spark):
     # the rows lie by receipt already: what moves beside them is one row of each task
     assert exchanges(out) == 2
     assert evaluate.entity_counts(df.limit(0)).first().n_tokens == 0
+
+
+def test_no_function_is_called_for_an_id_of_the_queue(spark):
+    from quittance.streaming import tracked
+
+    rows = spark.readStream.format("rate").load().selectExpr("cast(value as string) id", "'{}' body", "0 tries")
+    plan = tracked.track(rows, 1000)._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark" in plan and "Pandas" not in plan
+    assert tracked.track(rows, 1000).columns == ["id", "body", "tries"]
+
+
+def test_only_wanted_receipts_are_derived(spark):
+    from quittance.plans import derived
+
+    wanted = spark.createDataFrame([(3,), (7,), (1 << 40,)], "receipt_id long")
+    every = derived.entries(spark, SF)
+    got, want = derived.entries(spark, SF, wanted), every.join(wanted, "receipt_id", "left_semi")
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) != []
