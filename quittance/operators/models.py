@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quittance.operators.images import pixels
 
@@ -107,14 +108,23 @@ class ModelScorer:
         return self._pages(pages, "height int, width int, mask binary", rows)
 
     def label(self, tokens: DataFrame) -> DataFrame:
+        """Chunks are gathered as arrays, and a batch of them goes through the labeler one after the other."""
         registry = self.registry
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
 
-        def run(chunk: pd.DataFrame) -> pd.DataFrame:
-            chunk = chunk.sort_values("seq")
-            boxes = [[int(getattr(r, c)) for c in ("x1", "y1", "x2", "y2")] for r in chunk.itertuples(index=False)]
-            found = registry.get("labeler")(chunk["text"].tolist(), boxes)
-            labels = [[{"label_id": i, "label": name, "prob_milli": int(np.floor(p * 1000 + 0.5))} for i, name, p in three] for three in found]
-            return chunk.assign(labels=labels)
-
-        return tokens.groupBy("receipt_id", "page_no", "chunk").applyInPandas(run, f"{schema}, labels array<struct<label_id:int,label:string,prob_milli:int>>")
+        @F.pandas_udf("array<array<struct<label_id:int,label:string,prob_milli:int>>>")
+        def labels(words: pd.Series, boxes: pd.Series) -> pd.Series:
+            out = []
+            for w, b in zip(words, boxes, strict=True):
+                found = registry.get("labeler")(list(w), [[int(v) for v in box] for box in b])
+                if len(found) != len(w):
+                    raise ValueError(f"the labeler gave {len(found)} labels for {len(w)} words")
+                out.append([[{"label_id": i, "label": name, "prob_milli": int(np.floor(p * 1000 + 0.5))} for i, name, p in three] for three in found])
+            return pd.Series(out, dtype=object)
+
+        keys = ["receipt_id", "page_no", "chunk"]
+        rest = [c for c in tokens.columns if c not in (*keys, "seq")]
+        own = tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", *rest))).alias("_own"))
+        box = lambda v: F.array(*[v[c].cast("long") for c in ("x1", "y1", "x2", "y2")])
+        made = own.withColumn("_labels", labels(F.transform("_own", lambda v: v["text"]), F.transform("_own", box)))
+        rows = made.select(*keys, F.explode(F.arrays_zip("_own", "_labels")).alias("_row"))
+        return rows.select(*[F.col(c) if c in keys else F.col("_row")["_own"][c].alias(c) for c in tokens.columns], F.col("_row")["_labels"].alias("labels"))

@@ -52,7 +52,8 @@ def draw(key: int, lines: list[str]) -> np.ndarray:
 def drawn_pages(spark: SparkSession, d: str) -> DataFrame:
     """A page for each customer: store, date and total."""
     c = F.col("c_custkey")
-    rows = D.table(spark, d, "customer").select(
+    # dealt out while rows are small: a small file is one task, and pixels are what costs
+    rows = D.table(spark, d, "customer").repartition(spark.sparkContext.defaultParallelism).select(
         c.alias("receipt_id"),
         F.concat(F.lit("Store "), (c % 50).cast("string")).alias("a"),
         F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (c % 700).cast("int")), "dd/MM/yyyy").alias("b"),

@@ -84,3 +84,29 @@ def test_only_wanted_receipts_are_derived(spark):
     every = derived.entries(spark, SF)
     got, want = derived.entries(spark, SF, wanted), every.join(wanted, "receipt_id", "left_semi")
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) != []
+
+
+def test_pages_are_dealt_out_before_they_are_drawn(spark):
+    from quittance.plans import drawn
+
+    assert drawn.drawn_pages(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+
+
+def test_labels_of_chunks_in_order_of_tokens(spark):
+    from quittance.operators import models
+
+    registry = models.ModelRegistry()
+    registry.register("labeler", lambda device: lambda words, boxes: [[(k, f"{w}{b[0]}", 0.5 + k / 100)] * 3 for k, (w, b) in enumerate(zip(words, boxes, strict=True))])
+    rows = [(r, 0, c, s, None if s == 2 else f"w{s}", s, 1, 2, 3) for r in range(5) for c in range(2) for s in (7, 2, 5)]
+    tokens = spark.createDataFrame(rows, "receipt_id long, page_no int, chunk long, seq long, text string, x1 long, y1 long, x2 long, y2 long")
+    out = models.ModelScorer(registry).label(tokens)
+    assert out.columns == [*tokens.columns, "labels"] and "FlatMapGroupsInPandas" not in out._jdf.queryExecution().analyzed().toString()
+    got = out.collect()
+    assert sorted(tuple(r)[:9] for r in got if r.text) == sorted(r for r in rows if r[4]) and len(got) == len(rows)
+    for r in got:
+        k = sorted((7, 2, 5)).index(r.seq)
+        assert r.labels[0].label_id == k and r.labels[0].label == f"{r.text}{r.x1}" and r.labels[0].prob_milli == 500 + 10 * k
+    image = np.arange(5 * 8 * 3, dtype=np.uint8).reshape(5, 8, 3)
+    for k in range(-3, 5):
+        near = images.rotate(image, 90 * k + 1e-9)  # the general way
+        assert (images.rotate(image, 90.0 * k) == near).all()
