@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -16,6 +16,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 from quittance.operators.models import ModelRegistry
 
 NO_BOX = [0, 0, 0, 0]
+#: Words whose sub-words a task remembers, at most; then it begins anew.
+KNOWN_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -94,6 +96,14 @@ def windows_of(pieces: list[list[int]], boxes: list[list[int]], tags: list[int],
             return
 
 
+def learn_words(tokenizer: Tokenizer, words: Iterable[str], known: dict[str, list[int]]) -> None:
+    """Adds the sub-words of those ``words`` that are not in ``known`` yet, each cut on its own, in one call."""
+    new = [w for w in dict.fromkeys(words) if w not in known]
+    if new:
+        found = tokenizer.encode_batch([[w] for w in new], is_pretokenized=True, add_special_tokens=False)
+        known.update((w, e.ids) for w, e in zip(new, found, strict=True))
+
+
 FEATURES = "n_windows int, input_ids array<long>, attention_mask array<long>, bbox array<array<long>>, labels array<long>, words array<int>"
 
 
@@ -106,7 +116,8 @@ def encode_words(examples: DataFrame, tokenizer: Tokenizer, rules: Rules, keys:
     of the one before; without, it is cut off.
 
     Returns the keys, ``window``, n_windows and the features. The tokenizer is broadcast
-    as text, of the size of its vocabulary, and built once in each worker.
+    as text, of the size of its vocabulary, and built once in each worker; a word that
+    comes again is not cut again.
 
     Edge cases: a null word is an empty one; empty words, and examples without
     words, have no sub-words (the window has begin and end only); words without
@@ -121,14 +132,18 @@ def encode_words(examples: DataFrame, tokenizer: Tokenizer, rules: Rules, keys:
     schema = ", ".join(f"`{k}` {examples.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[int]] = {}
         for batch in batches:
             own, out = registry.get("tokenizer"), []
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            learn_words(own, (w or "" for words in batch["words"] if words is not None for w in words), known)
             for row in batch.itertuples(index=False):
                 listed = [[] if x is None else list(x) for x in (row.words, row.bboxes, row.ner_tags)]
                 words = [w or "" for w in listed[0]]
                 if len({len(x) for x in listed}) > 1:
                     raise ValueError(f"{len(words)} words, {len(listed[1])} boxes and {len(listed[2])} tags")
-                pieces = [own.encode([w], is_pretokenized=True, add_special_tokens=False).ids for w in words]
+                pieces = [known[w] for w in words]
                 boxes = [[int(v) for v in b] for b in listed[1]]
                 made = list(windows_of(pieces, boxes, [int(t) for t in listed[2]], rules, stride, overflow))
                 out += [(*(getattr(row, k) for k in keys), i, len(made), *features) for i, features in enumerate(made)]

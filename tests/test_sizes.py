@@ -110,3 +110,19 @@ def test_labels_of_chunks_in_order_of_tokens(spark):
     for k in range(-3, 5):
         near = images.rotate(image, 90 * k + 1e-9)  # the general way
         assert (images.rotate(image, 90.0 * k) == near).all()
+
+
+def test_a_word_is_cut_once():
+    from quittance.operators import encoding
+
+    calls = []
+
+    class Plain:
+        def encode_batch(self, words, is_pretokenized, add_special_tokens):
+            calls.extend(w for (w,) in words)
+            return [type("E", (), {"ids": list(map(ord, w))}) for (w,) in words]
+
+    known = {}
+    for words in (["a", "b", "a", ""], ["b", "c", ""], ["a"]):
+        encoding.learn_words(Plain(), words, known)
+    assert calls == ["a", "b", "", "c"] and known == {"a": [97], "b": [98], "": [], "c": [99]}
