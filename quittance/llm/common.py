@@ -52,6 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is not to be broadcast, however small: what is broadcast lies in the driver, and steps that repeat pile it up there."""
+    return df.hint("merge")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; pure ASCII takes the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

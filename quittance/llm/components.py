@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quittance.llm.common import cut
+from quittance.llm.common import cut, shuffled
 
 
 def _with_min(pairs: DataFrame) -> DataFrame:
@@ -13,9 +13,10 @@ def _with_min(pairs: DataFrame) -> DataFrame:
 
     The minimum meets the pairs on a key of its own, which makes Spark shuffle
     both sides for the join, so adaptive execution can split a hub over tasks.
+    Neither side is broadcast: the rounds would pile up in the driver.
     """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.struct("u").alias("k"), F.least("u", "m").alias("m"))
-    return pairs.withColumn("k", F.struct("u")).join(least, "k").select("u", "v", "m")
+    return pairs.withColumn("k", F.struct("u")).join(shuffled(least), "k").select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

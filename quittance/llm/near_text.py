@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quittance.llm.common import bounded_batches, cut
+from quittance.llm.common import bounded_batches, cut, shuffled
 from quittance.llm.components import connected_components
 from quittance.llm.simhash import _FOLD, SEED
 
@@ -232,7 +232,7 @@ def _dealt(nodes: DataFrame, deal_rows: int) -> tuple[DataFrame, DataFrame, Data
         F.struct(F.bit_xor(F.xxhash64("rep", "th")), F.bit_xor(F.xxhash64(F.lit(1), "th", "rep")), F.count(F.lit(1))).alias("members"),
     )
     counts = counts.where("n > 1").withColumn("blocks", _blocks(F.col("n"), F.col("size"), deal_rows)).withColumn("usual", 4 * F.col("size") / F.col("n"))
-    met = level.join(counts, "deal").groupBy("rep", "th").agg(
+    met = level.join(shuffled(counts), "deal").groupBy("rep", "th").agg(
         F.first("bytes").alias("bytes"), F.collect_list(F.struct("deal.at", "deal.value", "blocks", "usual", "members")).alias("deals")
     )
 
@@ -258,10 +258,10 @@ def _dealt(nodes: DataFrame, deal_rows: int) -> tuple[DataFrame, DataFrame, Data
 def _left_apart(full: DataFrame, groups: DataFrame) -> DataFrame:
     """(rep, th, bytes, keys, group): members of full deals that hold more than one group."""
     deal = F.struct("at", "value").alias("deal")
-    named = full.join(groups, full["rep"] == groups["node"], "left").select(deal, "rep", "th", "bytes", "keys", F.coalesce("component", "rep").alias("group"))
+    named = full.join(shuffled(groups), full["rep"] == groups["node"], "left").select(deal, "rep", "th", "bytes", "keys", F.coalesce("component", "rep").alias("group"))
     mixed = named.groupBy("deal").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select(F.struct("deal").alias("k"))
     first = [F.first(c).alias(c) for c in ("bytes", "keys", "group")]
-    return named.withColumn("k", F.struct("deal")).join(mixed, "k", "left_semi").groupBy("rep", "th").agg(*first)
+    return named.withColumn("k", F.struct("deal")).join(shuffled(mixed), "k", "left_semi").groupBy("rep", "th").agg(*first)
 
 
 def _across(members: DataFrame, deal_rows: int, size: Column | None = None) -> DataFrame:
@@ -283,7 +283,7 @@ def _across(members: DataFrame, deal_rows: int, size: Column | None = None) -> D
         F.when(full, _blocks(F.col("top.n"), F.col("top.size"), deal_rows)).otherwise(0).alias("large"),
     )
     deals = cut(deals)
-    met = _only(members, deals.select("k.value"), "value").select(F.struct("value").alias("k"), "rep", "th", "group").join(deals, "k")
+    met = _only(members, deals.select("k.value"), "value").select(F.struct("value").alias("k"), "rep", "th", "group").join(shuffled(deals), "k")
     within = (F.col("group") == F.col("largest")) & (F.col("large") > 0)
     own = F.when(within, F.col("rest") + F.pmod(F.xxhash64("rep"), "large")).otherwise(F.pmod(F.xxhash64("rep"), "rest")).cast("int")
     last = F.when(within, F.col("rest")).otherwise(F.col("rest") + F.col("large")) - 1
@@ -291,8 +291,30 @@ def _across(members: DataFrame, deal_rows: int, size: Column | None = None) -> D
     return met.select(F.lit(KEYS).alias("at"), "k.value", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "th")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text, th, bytes)"""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    return rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc, th, bytes, fp, content, keys) for every row: its SimHash fingerprint, a hash of its words, its least shingles."""
+    bounded_batches(docs.sparkSession)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [_sketch(t.as_py(), shingle_words) for t in batch.column(1)]
+            fp, content = (np.array([x[i] for x in s], np.uint64).view(np.int64) for i in (0, 1))
+            keys = pa.array([x[2] for x in s], pa.list_(pa.int64()))
+            made = [batch.column(0), *batch.columns[2:], pa.array(fp), pa.array(content), keys]
+            yield pa.RecordBatch.from_arrays(made, names=["doc", "th", "bytes", "fp", "content", "keys"])
+
+    return cut(_rows(docs, id_col, text_col).mapInArrow(sketch, "doc long, th long, bytes long, fp long, content long, keys array<long>"))
+
+
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, deal_rows: int = DEAL_ROWS, known: DataFrame | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, deal_rows: int = DEAL_ROWS, known: DataFrame | None = None,
+    sketched: DataFrame | None = None,
 ) -> DataFrame:
     """(doc, component_id) for every row: documents joined by links of Jaccard similarity ``similarity`` or more.
 
@@ -312,7 +334,8 @@ def similar_documents(
     filter, and a table of COUNTERS counts, which comes to the driver as well.
 
     ``known`` has links (a, b) between ids that were found elsewhere, the smallest
-    id of a group on one side; they join groups like the others.
+    id of a group on one side; they join groups like the others. ``sketched`` has
+    the ``sketches`` of the same documents, where they are made already.
 
     Edge cases: null and blank texts are alike; a very long text is read in
     pieces for its sketch, and where it is compared a task holds it and its
@@ -322,18 +345,8 @@ def similar_documents(
     them; an empty table gives an empty table; other columns are not looked at.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [_sketch(t.as_py(), shingle_words) for t in batch.column(1)]
-            fp, content = (np.array([x[i] for x in s], np.uint64).view(np.int64) for i in (0, 1))
-            keys = pa.array([x[2] for x in s], pa.list_(pa.int64()))
-            made = [batch.column(0), *batch.columns[2:], pa.array(fp), pa.array(content), keys]
-            yield pa.RecordBatch.from_arrays(made, names=["doc", "th", "bytes", "fp", "content", "keys"])
-
-    own = cut(rows.mapInArrow(sketch, "doc long, th long, bytes long, fp long, content long, keys array<long>"))
+    rows = _rows(docs, id_col, text_col)
+    own = sketches(docs, id_col, text_col, shingle_words) if sketched is None else sketched
     first = F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "th", "bytes")))
     nodes = own.groupBy("fp", "content").agg(first.alias("r"), F.first("keys").alias("keys"))
     nodes = cut(nodes.select("fp", "content", "keys", F.col("r.doc").alias("rep"), "r.th", "r.bytes"))
@@ -359,7 +372,7 @@ def similar_documents(
         yield from close()
 
     def links(met: DataFrame, texts: DataFrame) -> DataFrame:
-        met = met.join(texts, ["rep", "th"]).select(*key, "own", "rep", "keys", "group", "text")
+        met = shuffled(met).join(texts, ["rep", "th"]).select(*key, "own", "rep", "keys", "group", "text")
         return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,9 +388,9 @@ def similar_documents(
     found = connected_components(linked if known is None else linked.unionByName(known))
     apart = cut(_left_apart(full, found))
     group = F.coalesce("component", "rep")
-    grouped = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", "content", group.alias("group"))
+    grouped = nodes.join(shuffled(found), nodes["rep"] == found["node"], "left").select("fp", "content", group.alias("group"))
     if not apart.isEmpty():
-        some = cut(_only(texts, apart, "rep", "th").join(apart, ["rep", "th"]))
+        some = cut(_only(texts, apart, "rep", "th").join(shuffled(apart), ["rep", "th"]))
         counted = some.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(COUNTERS, np.int64)
         counts[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
@@ -390,6 +403,6 @@ def similar_documents(
         members = cut(some.select("rep", "th", "bytes", "group", "text").mapInArrow(rare, "rep long, th long, bytes long, group long, rare array<long>"))
         members = members.select("rep", "th", "bytes", "group", F.explode("rare").alias("value"))
         more = connected_components(links(_across(members, deal_rows, F.col("bytes")), some))
-        grouped = grouped.join(more, grouped["group"] == more["node"], "left").select("fp", "content", F.coalesce("component", "group").alias("group"))
+        grouped = grouped.join(shuffled(more), grouped["group"] == more["node"], "left").select("fp", "content", F.coalesce("component", "group").alias("group"))
     component = grouped.select(F.struct("fp", "content").alias("k"), F.col("group").alias("component_id"))
-    return own.withColumn("k", F.struct("fp", "content")).join(component, "k").select("doc", "component_id")
+    return own.withColumn("k", F.struct("fp", "content")).join(shuffled(component), "k").select("doc", "component_id")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quittance.llm.common import bounded_batches, cut, table
+from quittance.llm.common import bounded_batches, cut, shuffled, table
 from quittance.llm.components import connected_components
 
 #: Words of a shingle and differing bits of a link, unless a caller says otherwise.
@@ -172,7 +172,7 @@ def trie_links(nodes: DataFrame, budget: int, node_rows: int = NODE_ROWS, depth:
         level = level.withColumn("mask", F.explode(cases)).withColumn("bucket", F.struct("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")))
         counts = level.groupBy(F.col("bucket.mask").alias("m"), F.col("bucket.bits").alias("t")).agg(F.count_distinct("fp").alias("n") if k else F.count(F.lit(1)).alias("n"))
         counts = counts.where("n > 1").select(F.struct(F.col("m").alias("mask"), F.col("t").alias("bits")).alias("bucket"), "n")
-        level = level.join(counts, "bucket")
+        level = level.join(shuffled(counts), "bucket")
         now = level if k == depth - 1 else level.where(F.col("n") <= node_rows)
         part = now.select("bucket.mask", "bucket.bits", "fp", "rep")
         chosen = part if chosen is None else chosen.unionByName(part)
@@ -215,6 +215,8 @@ def trie_links(nodes: DataFrame, budget: int, node_rows: int = NODE_ROWS, depth:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc, fp, component_id) for every row: documents whose fingerprints link, directly or through others.
 
+    Where ``docs`` have no column ``text_col``, their fingerprints are made already, in ``fp``.
+
     Equal fingerprints fall together first; only distinct ones are joined, so a
     group of copies costs one row. Components come from the links between
     distinct fingerprints, each under the smallest id that has it.
@@ -225,14 +227,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint, null where no other id has it, and link nothing; an empty table
     gives an empty table; other columns are not looked at.
     """
-    own = cut(fingerprints(docs, id_col, text_col, shingle_words))
+    if text_col not in docs.columns:
+        own = docs.select(F.col(id_col).cast("long").alias("doc"), "fp")
+    else:
+        own = cut(fingerprints(docs, id_col, text_col, shingle_words))
     nodes = cut(own.groupBy("fp").agg(F.min("doc").alias("rep")))
     links = trie_links(nodes.where(F.col("rep").isNotNull()), max_bits)
     found = connected_components(links)
-    component = nodes.join(found, nodes["rep"] == found["node"], "left").select(
+    component = nodes.join(shuffled(found), nodes["rep"] == found["node"], "left").select(
         F.struct(nodes["fp"]).alias("k"), F.coalesce("component", "rep").alias("component_id")
     )
-    return own.withColumn("k", F.struct("fp")).join(component, "k").select("doc", "fp", "component_id")
+    return own.withColumn("k", F.struct("fp")).join(shuffled(component), "k").select("doc", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
