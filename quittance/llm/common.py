@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """(the rows, written to the shared folder and read again; their path).
+
+    For steps that repeat: a checkpoint hands on the size that the plan before it
+    was estimated at, which every join multiplies, so that after some rounds the
+    number alone fills the driver. What is read has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """A side of a join that is not to be broadcast, however small: what is broadcast lies in the driver, and steps that repeat pile it up there."""
     return df.hint("merge")

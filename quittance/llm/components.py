@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quittance.llm.common import cut, shuffled
+from quittance.llm.common import remove, shuffled, stored
 
 
 def _with_min(pairs: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Every round rewires edges to smaller nodes: all neighbours above a node are
     tied to the least neighbour, then the node itself and those below. Each
-    round is cut by a checkpoint in the shared folder, so a lost executor costs
-    one round at most. Nothing but a count and a checksum comes to the driver.
+    round is written to the shared folder and read again, so a lost executor
+    costs one round at most, and its estimated size stays that of its files. Nothing but a count and a checksum comes to the driver.
     Null ends and self-loops are left out; repeated edges count once.
     """
     e = (
@@ -33,18 +33,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    e = cut(e)
+    e, path = stored(e)
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_min(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_min(large)
-        e = cut(
+        before = path
+        e, path = stored(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
         )
+        remove(e.sparkSession, before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

@@ -30,3 +30,12 @@ def test_rounds_of_components_broadcast_nothing(spark):
     found = components._with_min(spark.createDataFrame([(1, 2), (3, 2)], "u long, v long").repartition(2))
     assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (3, 2, 2)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_of_components_keep_their_size(spark):
+    n = 200
+    links = spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")
+    found = components.connected_components(links)
+    assert found.count() == n and {r.component for r in found.collect()} == {0}
+    # every join multiplies the estimate of what it reads
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
