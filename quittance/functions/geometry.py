@@ -90,18 +90,19 @@ def canvas(width: Column, height: Column, degrees: Column) -> tuple[Column, Colu
 def rotate(corners: Column, width: Column, height: Column, degrees: Column) -> Column:
     """Corners after a turn about the centre by -degrees, moved to the middle of the turned canvas."""
     w, h = canvas(width, height, degrees)
-    c, s = F.cos(F.radians(-degrees)), F.sin(F.radians(-degrees))
+    # the same for all corners, so it is computed once and not for each of them
+    known = F.struct(F.cos(F.radians(-degrees)).alias("c"), F.sin(F.radians(-degrees)).alias("s"), (width / 2).alias("x"), (height / 2).alias("y"), (w / 2).alias("w"), (h / 2).alias("h"))
 
-    def turn(p: Column) -> Column:
-        x, y = p["x"] - width / 2, p["y"] - height / 2
-        return F.struct((x * c - y * s + w / 2).alias("x"), (x * s + y * c + h / 2).alias("y"))
+    def turn(p: Column, k: Column) -> Column:
+        x, y = p["x"] - k["x"], p["y"] - k["y"]
+        return F.struct((x * k["c"] - y * k["s"] + k["w"]).alias("x"), (x * k["s"] + y * k["c"] + k["h"]).alias("y"))
 
-    return F.transform(corners, turn)
+    return F.get(F.transform(F.array(known), lambda k: F.transform(corners, lambda p: turn(p, k))), F.lit(0))
 
 
-def crop_window(corners: Column, width: Column, height: Column) -> dict[str, Column]:
-    """The box around corners, inside the page."""
-    x1, y1, x2, y2 = bounds(corners)
+def crop_window(corners: Column, width: Column, height: Column, digits: int | None = None) -> dict[str, Column]:
+    """The box around corners, inside the page; its sides are rounded to ``digits`` first, as if the corners were."""
+    x1, y1, x2, y2 = bounds(corners) if digits is None else (F.round(v, digits) for v in bounds(corners))
     return {
         "cx1": F.greatest(x1.cast("int"), F.lit(0)),
         "cy1": F.greatest(y1.cast("int"), F.lit(0)),

@@ -126,3 +126,19 @@ def test_a_word_is_cut_once():
     for words in (["a", "b", "a", ""], ["b", "c", ""], ["a"]):
         encoding.learn_words(Plain(), words, known)
     assert calls == ["a", "b", "", "c"] and known == {"a": [97], "b": [98], "": [], "c": [99]}
+
+
+def test_a_turn_is_worked_out_once_for_all_corners(spark):
+    from quittance.functions import geometry as G
+
+    at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    df = spark.range(400).withColumns({"deg": (F.col("id") * 3 % 91).cast("double"), "c": F.array(*[at(float(x), float(y)) for x, y in ((300, 400), (310.5, 390), (290, 420), (-7, 2100))])})
+    r = G.rotate(F.col("c"), F.lit(640), F.lit(2000), F.col("deg"))
+    # two of the turn and two for each side of the canvas, whatever the number of corners
+    assert r._jc.toString().count("cos(") == 3
+    w, h = G.canvas(F.lit(640), F.lit(2000), F.col("deg"))
+    df = df.withColumns({"r": r, "w": w, "h": h})
+    six = F.transform("r", lambda p: F.struct(F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y")))
+    box = lambda made: F.struct(*[v.alias(k) for k, v in made.items()])
+    rows = df.select(box(G.crop_window(F.col("r"), F.col("w"), F.col("h"), 6)).alias("a"), box(G.crop_window(six, F.col("w"), F.col("h"))).alias("b")).collect()
+    assert len(rows) == 400 and all(x.a == x.b for x in rows)
