@@ -94,5 +94,7 @@ def stem(path: Column) -> Column:
 def pair_literal(text: Column, conf_milli: Column) -> Column:
     """('text', 0.987), quotes in the text escaped."""
     escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-    number = F.format_string("%d.%03d", F.floor(conf_milli / 1000).cast("int"), (conf_milli % 1000).cast("int"))
+    number = F.when(
+        conf_milli.between(0, 999_999), F.concat(F.floor(conf_milli / 1000).cast("string"), F.lit("."), F.lpad((conf_milli % 1000).cast("int").cast("string"), 3, "0"))
+    ).otherwise(F.format_string("%d.%03d", F.floor(conf_milli / 1000).cast("int"), (conf_milli % 1000).cast("int")))
     return F.concat(F.lit("('"), escaped, F.lit("', "), number, F.lit(")"))

@@ -82,7 +82,14 @@ def literal_pair(literal: Column) -> tuple[Column, Column]:
     pattern = r"(?s)^\s*\(\s*(['\"])(.*)\1\s*,\s*([0-9.eE+-]+)\s*\)\s*$"
     text = F.regexp_replace(F.regexp_extract(literal, pattern, 2), r"\\(['\"\\])", "$1")
     ok = literal.rlike(pattern)
-    return F.when(ok, text), F.when(ok, F.floor(F.regexp_extract(literal, pattern, 3).try_cast("double") * 1000 + 0.5).cast("int"))
+    # as they are written: no quotes or escapes in the text, so the last mark ends it
+    plain = literal.rlike(r"^\('[^'\\]*', \d{1,9}\.\d{3}\)(?!\s)$")
+    number = F.substring_index(literal, "', ", -1)
+    milli = lambda v: F.floor(v.try_cast("double") * 1000 + 0.5).cast("int")
+    return (
+        F.when(plain, F.substring(literal, F.lit(3), F.length(literal) - F.length(number) - 5)).when(ok, text),
+        F.when(plain, milli(F.substring(number, F.lit(1), F.length(number) - 1))).when(ok, milli(F.regexp_extract(literal, pattern, 3))),
+    )
 
 
 TOKEN_CSV = "image string, quad_literal string, text_conf_literal string, label string"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quittance.functions.parse import pair_literal
@@ -28,10 +28,17 @@ def write_documents(docs: DataFrame, path: str, column: str = "json") -> None:
     docs.select(F.regexp_replace(column, r"\s*\n\s*", " ").alias("value")).write.mode("overwrite").text(path)
 
 
+def one_decimal(v: Column) -> Column:
+    """A number with one decimal; whole ones need no format string, which costs most of a row."""
+    v = v.cast("double")
+    whole = v.try_cast("long")
+    plain = (v == whole) & (whole != 0) & (F.abs(v) < 1e15)
+    return F.when(plain, F.concat(whole.cast("string"), F.lit(".0"))).otherwise(F.format_string("%.1f", v))
+
+
 def token_csv(tokens: DataFrame) -> DataFrame:
     """Rows of the token CSV: image, quad literal, text literal, label (empty: to be filled in)."""
-    number = lambda v: F.format_string("%.1f", v.cast("double"))
-    quad = F.concat(F.lit("["), F.array_join(F.transform("quad", lambda p: F.concat(F.lit("["), number(p["x"]), F.lit(", "), number(p["y"]), F.lit("]"))), ", "), F.lit("]"))
+    quad = F.concat(F.lit("["), F.array_join(F.transform("quad", lambda p: F.concat(F.lit("["), one_decimal(p["x"]), F.lit(", "), one_decimal(p["y"]), F.lit("]"))), ", "), F.lit("]"))
     label = F.coalesce(F.col("label").cast("string"), F.lit("")) if "label" in tokens.columns else F.lit("")
     return tokens.select("image", quad.alias("quad_literal"), pair_literal(F.col("text"), F.col("ocr_milli")).alias("text_conf_literal"), label.alias("label"))
 

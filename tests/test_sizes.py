@@ -142,3 +142,22 @@ def test_a_turn_is_worked_out_once_for_all_corners(spark):
     box = lambda made: F.struct(*[v.alias(k) for k, v in made.items()])
     rows = df.select(box(G.crop_window(F.col("r"), F.col("w"), F.col("h"), 6)).alias("a"), box(G.crop_window(six, F.col("w"), F.col("h"))).alias("b")).collect()
     assert len(rows) == 400 and all(x.a == x.b for x in rows)
+
+
+def test_plain_literals_need_no_format_and_one_pattern(spark):
+    from quittance.functions.parse import pair_literal
+    from quittance.sources.readers import literal_pair
+    from quittance.sources.writers import one_decimal
+
+    numbers = [0.0, -0.0, 1.0, -3.0, 2.5, 0.04, -0.04, 1e14, 1e16, 9.3e18, 1e300, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in numbers], "v double")
+    assert all(r.a == r.b for r in df.select(one_decimal(F.col("v")).alias("a"), F.format_string("%.1f", "v").alias("b")).collect())
+    # format strings are the exception, not what every number passes
+    assert "ELSE format_string" in one_decimal(F.col("v"))._jc.toString()
+    texts = [("a", 0), ("", 7), ("it's", 987), ("back\\slash", 1000), ("x', 0.5", 12), ("two\nlines", 999_999), ("é🙂", 1_000_000), ('"', 5), ("end'", 1)]
+    lit = spark.createDataFrame(texts, "t string, m long").withColumn("l", pair_literal(F.col("t"), F.col("m")))
+    word, milli = literal_pair(F.col("l"))
+    assert [(r.w, r.n) for r in lit.select(word.alias("w"), milli.alias("n")).collect()] == texts
+    odd = ["('a', 0.987)\n", " ( \"b\" , 1e-1 ) ", "('c', 0.9)", "('d', x)", "('e' 0.987)", "", None]
+    got = spark.createDataFrame([(x,) for x in odd], "l string").select(*[c.alias(n) for c, n in zip(literal_pair(F.col("l")), "wn")]).collect()
+    assert [tuple(r) for r in got] == [("a", 987), ("b", 100), ("c", 900), (None, None), (None, None), (None, None), (None, None)]
