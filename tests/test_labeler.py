@@ -112,3 +112,24 @@ def test_learned_labels_beat_the_majority_on_held_out_pages(spark):
     assert got["chain"].n_tokens == got["majority"].n_tokens > 1000
     assert got["chain"].f1 > 0.8 and got["chain"].f1 > got["majority"].f1 + 0.3
     assert got["chain"].accuracy > 0.75
+
+
+def test_best_paths_of_pages_together():
+    rng = np.random.default_rng(6)
+    c = random_chain(rng)
+    emits = [rng.standard_normal((size, 3)) * 3 for size in (1, 2, 9, 4, 9, 1)]
+    for got, emit in zip(labeler.best_paths(emits, c), emits, strict=True):
+        assert got.tolist() == labeler.viterbi(emit, c).tolist()
+
+
+def test_paths_lie_beside_the_tags_of_their_pages(spark):
+    rng = np.random.default_rng(7)
+    c = random_chain(rng)
+    rows = [(i, 0, list(range(n)), rng.integers(0, 11, (n, 4)).tolist(), rng.integers(10, 13, n).tolist()) for i, n in enumerate([1, 4, 30, 0, 3])]
+    df = spark.createDataFrame(rows, "receipt_id long, page_no int, seqs array<long>, features array<array<int>>, tags array<int>").repartition(2)
+    got = {r.receipt_id: r for r in labeler.path_tags(df, c).collect()}
+    want = {}
+    for r in labeler.label_pages(df.where("size(seqs) > 0"), c).collect():
+        want.setdefault(r.receipt_id, {})[r.seq] = r.tag
+    for i, _, seqs, _, tags in rows:
+        assert (got[i].seqs, got[i].tags) == (seqs, tags) and got[i].path == [want.get(i, {})[s] for s in seqs]
