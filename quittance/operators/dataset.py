@@ -35,6 +35,27 @@ def group_by_image(rows: DataFrame, order: str = "row_no") -> DataFrame:
     )
 
 
+def last_runs(pages: DataFrame, order: str) -> DataFrame:
+    """Of (source, ``order``, image) those in the last run of each file name, with ``name`` and ``run``, as group_by_image finds them.
+
+    A page stands for its rows, which follow each other in a file under one
+    image. Runs are told from pages alone, so only rows that stay need be moved.
+    """
+    w = W.partitionBy("source").orderBy(order)
+    new = F.coalesce(F.col("image") != F.lag("image").over(w), F.lit(True)).cast("int")
+    runs = pages.withColumn("_new", new).withColumn("run", F.sum("_new").over(w) - 1).withColumn("name", basename(F.col("image")))
+    return runs.withColumn("_last", F.max("run").over(W.partitionBy("source", "name"))).where(F.col("run") == F.col("_last")).drop("_new", "_last")
+
+
+def collect_runs(rows: DataFrame, order: str = "row_no") -> DataFrame:
+    """Rows of last runs (source, name, run, image, ``order``, word, box, tag) as the examples of group_by_image."""
+    own = F.sort_array(F.collect_list(F.struct(order, "word", "box", "tag")))
+    words = lambda c: F.col("own")[c]
+    return rows.groupBy("source", "name", "run", F.col("image").alias("image_path")).agg(own.alias("own")).select(
+        "source", "name", "run", "image_path", words("word").alias("words"), words("box").alias("bboxes"), words("tag").alias("ner_tags")
+    )
+
+
 def join_files(files: DataFrame, examples: DataFrame) -> DataFrame:
     """Examples of the listed files, with their split; ``id`` numbers them in case-folded name order within a split.
 

@@ -93,6 +93,14 @@ def candidates(spark: SparkSession, sf_dir: str, receipts: DataFrame | None = No
     return rows.select(key.alias("receipt_id"), *[made.get(c, F.col(c)) for c in COLUMNS[1:]])
 
 
+def receipt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(receipt_id) of all receipts that have tokens: orders, and lines whose part is there."""
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("receipt_id"))
+    return o.union(li.select("l_orderkey")).distinct()
+
+
 def labelled(tokens: DataFrame) -> DataFrame:
     """Candidates in columns as the labels array that the operators take."""
     cand = lambda i: F.struct(F.col(f"c{i}").alias("label_id"), label_of(F.col(f"c{i}")).alias("label"), F.col(f"p{i}").alias("prob_milli"))

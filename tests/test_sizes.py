@@ -161,3 +161,26 @@ def test_plain_literals_need_no_format_and_one_pattern(spark):
     odd = ["('a', 0.987)\n", " ( \"b\" , 1e-1 ) ", "('c', 0.9)", "('d', x)", "('e' 0.987)", "", None]
     got = spark.createDataFrame([(x,) for x in odd], "l string").select(*[c.alias(n) for c, n in zip(literal_pair(F.col("l")), "wn")]).collect()
     assert [tuple(r) for r in got] == [("a", 987), ("b", 100), ("c", 900), (None, None), (None, None), (None, None), (None, None)]
+
+
+def test_only_pages_of_last_runs_are_gathered(spark):
+    from quittance.operators import dataset
+
+    rng = random.Random(11)
+    pages = [(p, p % 3, f"d{p % 2}/img_{rng.randint(0, 2)}.jpg") for p in range(200)]
+    rows = [(p, s, i, p * 1000 + k, f"w{k}", [k, 1, 2, 3], k % 5) for p, s, i in pages for k in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(rows, "page long, source int, image string, row_no long, word string, box array<int>, tag int")
+    last = dataset.last_runs(spark.createDataFrame(pages, "page long, source int, image string"), "page")
+    got = dataset.collect_runs(df.drop("source", "image").join(last, "page"))
+    want = dataset.group_by_image(df)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert 0 < last.count() < len(pages)
+
+
+def test_receipts_with_tokens_are_told_from_keys(spark):
+    from quittance.plans import derived
+
+    ids = derived.receipt_ids(spark, SF)
+    assert sorted(ids.collect()) == sorted(derived.entries(spark, SF).select("receipt_id").distinct().collect()) != []
+    assert "p_name" not in ids._jdf.queryExecution().executedPlan().toString()
