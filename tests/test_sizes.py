@@ -184,3 +184,14 @@ def test_receipts_with_tokens_are_told_from_keys(spark):
     ids = derived.receipt_ids(spark, SF)
     assert sorted(ids.collect()) == sorted(derived.entries(spark, SF).select("receipt_id").distinct().collect()) != []
     assert "p_name" not in ids._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_are_a_condition_before_texts_are_made(spark):
+    from quittance.operators import receipt
+    from quittance.plans import derived
+
+    plan = receipt.merged_texts(derived.prepared(spark, SF))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(plan) if "Generate explode" in x)
+    assert "Filter" in plan[at - 1]
+    # amounts are rounded below, once for a line
+    assert not any("round(" in x for x in plan[:at]) and sum("round(" in x for x in plan[at:]) == 1
