@@ -12,6 +12,10 @@ _FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _TIME = r"(?: \d{1,2}:\d{2}(?::\d{2})?)?"
 _ISO = rf"^\s*(\d{{4}})[-./](\d{{1,2}})[-./](\d{{1,2}}){_TIME}\s*$"
 _DAY = rf"^\s*(\d{{1,2}})[./-](\d{{1,2}})[./-](\d{{4}}|\d{{2}}){_TIME}\s*$"
+# What nearly all texts look like, and what is read without the general patterns.
+_DIGITS_MARK_DIGITS = r"^\d+[.,]\d+$"
+_FIRST_DIGITS = rf"^(\d+)(?![\d{MISREAD[0]}])"
+_TWO_TWO_FOUR = r"^\d{2}[./-]\d{2}[./-][1-9]\d{3}$"
 _INSIDE = r"\d{2}[./-]\d{2}[./-]\d{2,4}"
 #: Two-digit years from here on are of the last century.
 YEAR_PIVOT = 76
@@ -31,7 +35,8 @@ def parse_price(text: Column) -> Column:
     Without a mark: the first run of digits, without sign, or null. With one: 0.0 where no number remains.
     """
     p = F.replace(repair_digits(text), F.lit(","), F.lit("."))
-    # nearly all prices have digits on both sides of the last mark, and need one pattern
+    clean = F.when(text.rlike(_DIGITS_MARK_DIGITS), F.replace(text, F.lit(","), F.lit("."))).try_cast("double")
+    # other prices mostly have digits on both sides of the last mark, and need one pattern
     plain = F.regexp_extract(p, r"(?s)(-?\d+\.\d+)[^.]*$", 1).try_cast("double")
     whole = F.regexp_extract(p, r"(?s)^(.*)\.([^.]*)$", 1)
     part = F.regexp_extract(p, r"(?s)^(.*)\.([^.]*)$", 2)
@@ -39,7 +44,7 @@ def parse_price(text: Column) -> Column:
     rest = F.when(F.instr(p, ".") == 0, _extract(p, r"\d+").try_cast("double")).otherwise(
         F.when(number.rlike(_FLOAT), F.trim(number).try_cast("double")).when(p.isNotNull(), F.lit(0.0))
     )
-    return F.coalesce(plain, rest)
+    return F.coalesce(clean, plain, rest)
 
 
 def parse_price_strict(text: Column) -> Column:
@@ -51,7 +56,8 @@ def parse_price_strict(text: Column) -> Column:
 
 def parse_int(text: Column) -> Column:
     """The first run of digits, or null."""
-    return _extract(repair_digits(text), r"\d+").try_cast("bigint")
+    clean = _extract(text, _FIRST_DIGITS, 1).try_cast("bigint")
+    return F.coalesce(clean, _extract(repair_digits(text), r"\d+").try_cast("bigint"))
 
 
 def parse_date(text: Column, day_first: bool = False, year_pivot: int = YEAR_PIVOT) -> Column:
@@ -65,7 +71,11 @@ def parse_date(text: Column, day_first: bool = False, year_pivot: int = YEAR_PIV
     numeric = F.concat_ws("-", year, month, day)
     iso = F.concat_ws("-", *[F.regexp_extract(text, _ISO, i).try_cast("int") for i in (1, 2, 3)])
     ymd = F.when(text.rlike(_ISO), iso).when(source.isNotNull(), numeric)
-    return F.try_to_timestamp(ymd, F.lit("yyyy-M-d")).cast("date")
+    # two digits compare as text like the numbers that they are
+    d1, d2 = F.substring(text, 1, 2), F.substring(text, 4, 2)
+    turned = (d2 <= "12") if day_first else (d1 > "12")
+    clean = F.concat_ws("-", F.substring(text, 7, 4), F.when(turned, d2).otherwise(d1), F.when(turned, d1).otherwise(d2))
+    return F.when(text.rlike(_TWO_TWO_FOUR), clean.try_cast("date")).otherwise(F.try_to_timestamp(ymd, F.lit("yyyy-M-d")).cast("date"))
 
 
 def corrected(text: Column, fmt: Column) -> dict[str, Column]:

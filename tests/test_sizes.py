@@ -195,3 +195,17 @@ def test_labels_are_a_condition_before_texts_are_made(spark):
     assert "Filter" in plan[at - 1]
     # amounts are rounded below, once for a line
     assert not any("round(" in x for x in plan[:at]) and sum("round(" in x for x in plan[at:]) == 1
+
+
+def test_plain_forms_pass_no_general_pattern(spark):
+    from quittance.functions import parse as P
+
+    texts = ["12,50", "0.5", "1.234,5", "12,5\n", "5.", ",5", "1O,2l", "-3.5", "a 12", "12 x", "12O", "9" * 30, "17", "", None, "31/12/2024", "12.31.2024", "13-13-2024", "30/02/2024", "01/02/0050", "01.02.24", "2024-2-3", "05/06/2021\n"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    t = F.col("t")
+    got = df.select("t", P.parse_price(t).alias("p"), P.parse_int(t).alias("i"), P.parse_date(t).cast("string").alias("d"), P.parse_date(t, day_first=True).cast("string").alias("f")).collect()
+    # a mark before each text keeps it off the plain forms and changes no value
+    marked = df.select(P.parse_price(F.concat(F.lit(" "), t)).alias("p"), P.parse_int(F.concat(F.lit(" "), t)).alias("i"), P.parse_date(F.concat(F.lit(" "), t)).cast("string").alias("d"), P.parse_date(F.concat(F.lit(" "), t), day_first=True).cast("string").alias("f")).collect()
+    assert [tuple(r)[1:] for r in got] == [tuple(r) for r in marked]
+    assert [r.d for r in got if r.t in ("31/12/2024", "12.31.2024", "30/02/2024")] == ["2024-12-31", "2024-12-31", None]
+    assert "d+[.,]" in P.parse_price(t)._jc.toString()
