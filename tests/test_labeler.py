@@ -133,3 +133,38 @@ def test_paths_lie_beside_the_tags_of_their_pages(spark):
         want.setdefault(r.receipt_id, {})[r.seq] = r.tag
     for i, _, seqs, _, tags in rows:
         assert (got[i].seqs, got[i].tags) == (seqs, tags) and got[i].path == [want.get(i, {})[s] for s in seqs]
+
+
+def test_the_labeler_learns_from_all_pages_that_are_not_held_out(spark, monkeypatch):
+    seen = {"train": [], "score": []}
+    train, path_tags = services.train, services.path_tags
+
+    def watched(pages, checkpoints, score, **kw):
+        seen["train"].append(sorted((r.receipt_id, r.page_no) for r in pages.select("receipt_id", "page_no").collect()))
+        return train(pages, checkpoints, score, **(kw | {"steps": 1}))
+
+    def labelled(pages, chain):
+        seen["score"].append(sorted((r.receipt_id, r.page_no) for r in pages.select("receipt_id", "page_no").collect()))
+        return path_tags(pages, chain)
+
+    monkeypatch.setattr(services, "train", watched)
+    monkeypatch.setattr(services, "path_tags", labelled)
+    rows = {r.labeler: r for r in services.q_train_labeler(spark, SF).collect()}
+    every = services.D.entries(spark, SF).select("receipt_id", "page_no").distinct()
+    folds = [[], [], []]
+    for r in every.select("*", F.expr("pmod(xxhash64(receipt_id, page_no), 5)").alias("h")).collect():
+        folds[min(r.h, 2)].append((r.receipt_id, r.page_no))
+    held, some, own = map(sorted, folds)
+    assert seen["train"] == [own] and len(own) > 1700
+    assert seen["score"] == [some, held]
+    assert rows["majority"].n_tokens == rows["chain"].n_tokens
+
+
+def test_sums_by_bucket_and_label():
+    rng = np.random.default_rng(8)
+    f, delta, weights = rng.integers(0, 7, (40, 3)), rng.standard_normal((40, 4)), rng.standard_normal((7, 4))
+    want = np.zeros((7, 4))
+    np.add.at(want, f.ravel(), np.repeat(delta, 3, axis=0))
+    assert labeler.bucket_sums(f, delta, 7) == pytest.approx(want)
+    chain = labeler.Chain((0, 1, 2, 3), weights, np.zeros((4, 4)), np.zeros(4), np.zeros(4))
+    assert labeler.emissions(chain, f.reshape(5, 8, 3)) == pytest.approx(weights[f.reshape(5, 8, 3)].sum(2))
