@@ -34,6 +34,14 @@ def pick_detection(queries: DataFrame, keys: tuple[str, ...] = ("image",), least
     )
 
 
+def first_box(detections: Column, width: Column, height: Column, least: float = 0.9) -> dict[str, Column]:
+    """The box, in whole pixels, that pick_detection takes from a page's detections in one array, which are in order of query."""
+    best = lambda q: F.array_max(F.slice(q["probs"], 2, F.size(q["probs"])))
+    q = F.get(F.filter(detections, lambda q: best(q) > least), F.lit(0))
+    box = centre_to_corners(q["cx"], q["cy"], q["w"], q["h"])
+    return {k: F.coalesce((v * (width if k[0] == "x" else height)).cast("int"), F.lit(0) if k[1] == "1" else (width if k[0] == "x" else height)) for k, v in box.items()}
+
+
 def milli(x: Column) -> Column:
     return F.floor(x * 1000 + 0.5).cast("int")
 

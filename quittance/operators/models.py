@@ -11,8 +11,10 @@ from pyspark import TaskContext
 from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quittance.operators.images import pixels
+from quittance.sources.shared import small_batches
 
 #: The models of this process. It is no part of any registry, so pickling a registry neither carries nor loses them, and a
 #: worker that Spark uses for many tasks finds them again.
@@ -59,6 +61,23 @@ def device_profile(device: str, per_task: float = 1.0) -> ResourceProfile | None
     return ResourceProfileBuilder().require(TaskResourceRequests().resource("gpu", per_task)).build
 
 
+#: What a page is read as, in one row: its tokens in order. And what is detected on it.
+READING = "array<struct<seq:bigint,quad:array<struct<x:double,y:double>>,text:string,ocr_milli:bigint>>"
+DETECTIONS = "array<struct<query:int,probs:array<double>,cx:double,cy:double,w:double,h:double>>"
+
+
+def read_page(registry: ModelRegistry, image: np.ndarray, recognise: bool = True) -> list[dict]:
+    """What the model "reader" finds on a page, as READING has it."""
+    found = registry.get("reader")(image, recognise)
+    quad = lambda corners: [{"x": float(x), "y": float(y)} for x, y in corners]
+    return [{"seq": i, "quad": quad(c), "text": text if recognise else "", "ocr_milli": int(np.floor(p * 1000 + 0.5))} for i, (c, text, p) in enumerate(found)]
+
+
+def detect_on_page(registry: ModelRegistry, image: np.ndarray) -> list[dict]:
+    """What the model "detector" finds on a page, as DETECTIONS has it."""
+    return [dict(zip(("query", "probs", "cx", "cy", "w", "h"), (k, list(map(float, probs)), *map(float, box)), strict=True)) for k, (probs, *box) in enumerate(registry.get("detector")(image))]
+
+
 class ModelScorer:
     """A scorer that calls the registry's models "reader", "detector", "segmenter" and "labeler".
 
@@ -83,21 +102,42 @@ class ModelScorer:
                 found = [(p.receipt_id, p.page_no, *r) for p in batch.itertuples(index=False) for r in rows(registry, pixels(p.height, p.width, p.n_channels, p.data))]
                 yield pd.DataFrame(found, columns=names)
 
-        wanted = pages.select("receipt_id", "page_no", "height", "width", "n_channels", "data")
-        return wanted.mapInPandas(run, f"{kind}, {schema}", profile=self.profile) if self.profile else wanted.mapInPandas(run, f"{kind}, {schema}")
+        return self._mapped(pages.select("receipt_id", "page_no", "height", "width", "n_channels", "data"), run, f"{kind}, {schema}")
+
+    def _mapped(self, pages: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType | str) -> DataFrame:
+        small_batches(pages.sparkSession)
+        return pages.mapInPandas(run, schema, profile=self.profile) if self.profile else pages.mapInPandas(run, schema)
+
+    def on_pages(self, pages: DataFrame, work: Callable[[ModelRegistry, np.ndarray, tuple], tuple[np.ndarray | None, list[list]]], **kinds: str) -> DataFrame:
+        """A step that keeps each page in its row, so that pixels are neither joined nor stored.
+
+        ``work(registry, image, row)`` gives the page's new image and the values of the
+        columns ``kinds``; without an image the pixels go, and the size stays.
+        """
+        registry = self.registry
+        schema = T.StructType([*pages.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items())])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for row in batch.itertuples(index=False):
+                    image, values = work(registry, pixels(row.height, row.width, row.n_channels, row.data), row)
+                    size = (row.height, row.width, None) if image is None else (*image.shape[:2], image.tobytes())
+                    out.append((*size, *values))
+                made = pd.DataFrame(out, columns=["height", "width", "data", *kinds], index=batch.index)
+                yield batch.assign(**{c: made[c] for c in made})
+
+        return self._mapped(pages, run, schema)
 
     def read_text(self, pages: DataFrame, recognise: bool = True) -> DataFrame:
         def rows(registry: ModelRegistry, image: np.ndarray) -> Iterator[tuple]:
-            for seq, (corners, text, confidence) in enumerate(registry.get("reader")(image, recognise)):
-                quad = [{"x": float(x), "y": float(y)} for x, y in corners]
-                yield seq, quad, text if recognise else "", int(np.floor(confidence * 1000 + 0.5))
+            return (tuple(t.values()) for t in read_page(registry, image, recognise))
 
         return self._pages(pages, "seq long, quad array<struct<x:double,y:double>>, text string, ocr_milli long", rows)
 
     def detect(self, pages: DataFrame) -> DataFrame:
         def rows(registry: ModelRegistry, image: np.ndarray) -> Iterator[tuple]:
-            for k, (probs, *box) in enumerate(registry.get("detector")(image)):
-                yield k, list(map(float, probs)), *map(float, box), image.shape[1], image.shape[0]
+            return ((*d.values(), image.shape[1], image.shape[0]) for d in detect_on_page(registry, image))
 
         return self._pages(pages, "query int, probs array<double>, cx double, cy double, w double, h double, width int, height int", rows)
 

@@ -25,6 +25,19 @@ def page_turns(quads: DataFrame, keys: tuple[str, ...] = ("receipt_id", "page_no
     )
 
 
+def turn_of(quads: Column) -> Column:
+    """The degrees that straighten a page, from all its boxes in one array: those of page_turns."""
+    oblong = F.filter(quads, is_oblong)
+    skew = F.aggregate(oblong, F.lit(0.0), lambda a, q: a + skew_angle(q)) / F.nullif(F.size(oblong), F.lit(0))
+    return F.when(F.size(F.filter(quads, is_upright)) * 2 > F.size(quads), 90.0).otherwise(0.0) - F.coalesce(skew, F.lit(0.0))
+
+
+def mean_confidence(tokens: Column) -> Column:
+    """The mean confidence of the significant texts of a page's tokens in one array; 0 without any."""
+    own = F.filter(tokens, lambda t: is_significant(t["text"]))
+    return F.coalesce(F.aggregate(own, F.lit(0.0), lambda a, t: a + t["ocr_milli"]) / F.nullif(F.size(own), F.lit(0)), F.lit(0.0))
+
+
 def choose_upside(variants: DataFrame, keys: tuple[str, ...] = ("receipt_id", "page_no")) -> DataFrame:
     """(page, mean_0, mean_180, turned): compares the mean confidence of significant texts as read and turned by 180 degrees.
 

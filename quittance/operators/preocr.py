@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quittance.functions.geometry import normalise, unnormalise
-from quittance.operators.images import with_colours
+from quittance.operators.detection import first_box
+from quittance.operators.images import crop, distinct_colours, rotate, with_colours
 from quittance.operators.lines import segment_lines
-from quittance.operators.pages import needs_preprocessing
+from quittance.operators.models import DETECTIONS, READING, ModelRegistry, ModelScorer, detect_on_page, read_page
+from quittance.operators.orientation import mean_confidence, turn_of
+from quittance.operators.pages import LEAST_COLOURS, needs_preprocessing
 from quittance.operators.receipt import correct_entries, receipt_documents
 from quittance.operators.scorers import PAGE, Config, Scorer, crop_by_detection, crop_by_segmentation, label_tokens, read_upside_up, straighten
 from quittance.sources.shared import cut
@@ -67,18 +71,62 @@ def read_pages(pages: DataFrame, scorer: Scorer, algorithm: str | None = "detect
     return after, tokens.unionByName(scorer.read_text(others))
 
 
+def tokens_by_page(pages: DataFrame, scorer: ModelScorer) -> DataFrame:
+    """Tokens, with the size of their page, by the detection chain as ``read_pages`` runs it, each page in its row from the gate to its text.
+
+    Nothing is joined, so no step has to be cut, and a task holds the pixels of a
+    few small batches, whatever the number of pages.
+    """
+    text = {"found": READING}
+    quads = F.transform("found", lambda t: t["quad"])
+    straight = lambda image, row: rotate(image, row.turn) if row.photo and image.size else image
+
+    def count_and_look(registry: ModelRegistry, image: np.ndarray, row: tuple) -> tuple[np.ndarray, list]:
+        n = distinct_colours(image) if image.size else 0
+        return image, [n, read_page(registry, image, False) if row.photo and n >= LEAST_COLOURS else []]
+
+    def turn_and_look(registry: ModelRegistry, image: np.ndarray, row: tuple) -> tuple[np.ndarray, list[list]]:
+        image = straight(image, row)
+        return image, [read_page(registry, image, False) if row.photo else []]
+
+    def turn_and_detect(registry: ModelRegistry, image: np.ndarray, row: tuple) -> tuple[np.ndarray, list[list]]:
+        image = straight(image, row)
+        return image, [detect_on_page(registry, image) if row.photo else []]
+
+    def read_both_ways(registry: ModelRegistry, image: np.ndarray, row: tuple) -> tuple[None, list]:
+        image = crop(image, row.x1, row.y1, row.x2, row.y2) if row.photo and image.size else image
+        turned = rotate(image, 180.0) if image.size else image
+        return None, [*image.shape[:2], read_page(registry, image), read_page(registry, turned) if row.photo else []]
+
+    gate = lambda n: needs_preprocessing(F.col("filename"), n)
+    named = pages.select(*PAGE, "filename", "height", "width", "n_channels", "data", gate(F.lit(LEAST_COLOURS)).alias("photo"))
+    seen = scorer.on_pages(named, count_and_look, n_colours="int", **text).withColumns({"photo": gate(F.col("n_colours")), "turn": turn_of(quads)}).drop("found", "filename", "n_colours")
+    turned = scorer.on_pages(seen, turn_and_look, **text).withColumn("turn", turn_of(quads)).drop("found")
+    straightened = scorer.on_pages(turned, turn_and_detect, found=DETECTIONS).withColumns(first_box(F.col("found"), F.col("width"), F.col("height"))).drop("found", "turn")
+    done = scorer.on_pages(straightened, read_both_ways, rows="int", columns="int", own=READING, other=READING)
+    better = F.when(mean_confidence(F.col("own")) < mean_confidence(F.col("other")), F.col("other")).otherwise(F.col("own"))
+    return done.select(*PAGE, F.col("columns").alias("width"), F.col("rows").alias("height"), F.explode(better).alias("t")).select(*PAGE, "t.*", "width", "height")
+
+
 def token_entries(pages: DataFrame, tokens: DataFrame) -> DataFrame:
     """Entries with boxes in whole pixels, by way of the thousandths of the page that labelers take."""
-    sized = tokens.join(pages.select(*PAGE, "width", "height"), PAGE)
+    return sized_entries(tokens.join(pages.select(*PAGE, "width", "height"), PAGE))
+
+
+def sized_entries(sized: DataFrame) -> DataFrame:
+    """``token_entries`` of tokens that have the width and height of their page."""
     sized = sized.withColumns({f"_{k}": v for k, v in normalise(F.col("quad"), F.col("width"), F.col("height")).items()})
     box = {k: unnormalise(F.col(f"_{k}"), F.col("width" if k[0] == "x" else "height")).cast("long") for k in ("x1", "y1", "x2", "y2")}
     return sized.withColumns(box).drop("_x1", "_y1", "_x2", "_y2", "width", "height")
 
 
 def labelled_entries(pages: DataFrame, scorer: Scorer, algorithm: str | None = "detection", dump: Dump | None = None) -> DataFrame:
-    """Labelled entries of page images."""
-    done, tokens = read_pages(pages, scorer, algorithm, dump=dump)
-    return label_tokens(token_entries(done, tokens), scorer).drop("chunk", "copy")
+    """Labelled entries of page images. Models that are called by page keep each page in its row; other scorers, and who dumps steps, need tables."""
+    if dump is None and isinstance(scorer, ModelScorer) and CHAINS.get(algorithm) is detection_chain:
+        entries = sized_entries(tokens_by_page(pages, scorer))
+    else:
+        entries = token_entries(*read_pages(pages, scorer, algorithm, dump=dump))
+    return label_tokens(entries, scorer).drop("chunk", "copy")
 
 
 def image_entries(pages: DataFrame, scorer: Scorer, config: Config | None = None, algorithm: str | None = "detection", dump: Dump | None = None) -> DataFrame:

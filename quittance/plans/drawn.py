@@ -29,6 +29,8 @@ CELL_WIDTH, CELL_HEIGHT = 2, 6
 #: Levels of the first channel: paper, and the upper edge of a character, which tells which side is up.
 SHEET, EDGE = 200, 255
 INK = 255
+#: Pages that are drawn before they are passed on: customers are small, so a batch of them is many, and pixels are not.
+DRAWN = 64
 
 
 def draw(key: int, lines: list[str]) -> np.ndarray:
@@ -62,11 +64,12 @@ def drawn_pages(spark: SparkSession, d: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pages = [draw(r.receipt_id, [r.a, r.b, r.c]) for r in batch.itertuples(index=False)]
-            yield pd.DataFrame({
-                "receipt_id": batch["receipt_id"], "page_no": 0, "filename": [f"c{k}.jpg" for k in batch["receipt_id"]],
-                "height": PHOTO, "width": PHOTO, "n_channels": 3, "data": [np.ascontiguousarray(p).tobytes() for p in pages],
-            })
+            for at in range(0, len(batch), DRAWN):
+                own = batch.iloc[at : at + DRAWN]
+                yield pd.DataFrame({
+                    "receipt_id": own["receipt_id"], "page_no": 0, "filename": [f"c{k}.jpg" for k in own["receipt_id"]], "height": PHOTO, "width": PHOTO, "n_channels": 3,
+                    "data": [np.ascontiguousarray(draw(r.receipt_id, [r.a, r.b, r.c])).tobytes() for r in own.itertuples(index=False)],
+                })
 
     return rows.mapInPandas(run, PAGE_SCHEMA.replace("receipt_id string", "receipt_id long"))
 

@@ -29,6 +29,17 @@ def compiled_code(spark: SparkSession) -> None:
         spark.conf.set(key, str(COMPILED_BYTES))
 
 
+#: Bytes of a batch of pixels that goes to Python; several steps of a task hold one each, and copies of it.
+PIXEL_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps batches of pixels small, unless the application or the session has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(key, str(PIXEL_BYTES))
+
+
 def receipts_together(spark: SparkSession) -> None:
     """Lets joins by receipt, page and token use rows that lie by receipt already, so tokens are not moved again for each of them."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")

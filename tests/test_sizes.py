@@ -209,3 +209,45 @@ def test_plain_forms_pass_no_general_pattern(spark):
     assert [tuple(r)[1:] for r in got] == [tuple(r) for r in marked]
     assert [r.d for r in got if r.t in ("31/12/2024", "12.31.2024", "30/02/2024")] == ["2024-12-31", "2024-12-31", None]
     assert "d+[.,]" in P.parse_price(t)._jc.toString()
+
+
+def test_the_chain_by_page_gives_what_the_chain_by_tables_gives(spark):
+    from quittance.operators import models
+    from quittance.plans import drawn
+
+    # a skewed page, a page with nothing on it, a PDF page in many colours, and the drawn ones
+    drawn_own = drawn.drawn_pages(spark, SF).where("receipt_id < 30")
+    tilt = lambda x: images.rotate(images.pixels(drawn.PHOTO, drawn.PHOTO, 3, x), 7.0)
+    one = {r.receipt_id: bytes(r.data) for r in drawn_own.where("receipt_id in (1, 2, 3)").collect()}
+    blank = np.random.default_rng(1).integers(0, 150, (20, 30, 3)).astype(np.uint8)
+    odd = [(100, 0, "x.jpg", *tilt(one[1]).shape, bytearray(tilt(one[1]).tobytes())), (101, 0, "x.jpg", *blank.shape, bytearray(blank.tobytes())), (102, 1, "x.PDF_1", drawn.PHOTO, drawn.PHOTO, 3, bytearray(one[2]))]
+    pages = drawn_own.unionByName(spark.createDataFrame(odd, drawn_own.schema))
+
+    def reader(image, recognise):
+        return [*drawn.read(image, recognise), ([(1.5, 2), (9, 3.25), (9, 7), (1, 7)], "wide word", image.shape[0] / 2000)]
+
+    registry = models.ModelRegistry()
+    detect = lambda image: drawn.detect(image) if (image[..., 0] >= drawn.SHEET).any() else []
+    for name, model in (("reader", reader), ("detector", detect), ("labeler", drawn.label)):
+        registry.register(name, lambda device, model=model: model)
+    scorer = models.ModelScorer(registry)
+    by_page = preocr.labelled_entries(pages, scorer)
+    by_tables = preocr.labelled_entries(pages, scorer, dump=lambda name, df: None)
+    plan = by_page._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan and "checkpoint" not in plan.lower() and "MapInPandas" in plan
+    columns = sorted(by_tables.columns)
+    got, want = (sorted(map(str, x.select(columns).collect())) for x in (by_page, by_tables))
+    assert got == want and len(want) > 120 and by_page.schema[columns[0]] == by_tables.schema[columns[0]]
+
+
+def test_drawn_pages_come_in_small_batches(spark):
+    import pandas as pd
+
+    from quittance.plans import drawn
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [sum(map(len, b["data"]))]})
+
+    drawn.drawn_scorer().detect(drawn.drawn_pages(spark, SF))  # sets the limit
+    assert max(r.n for r in drawn.drawn_pages(spark, SF).coalesce(1).mapInPandas(sizes, "n long").collect()) <= 3 << 20
