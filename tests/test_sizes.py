@@ -251,3 +251,19 @@ def test_drawn_pages_come_in_small_batches(spark):
 
     drawn.drawn_scorer().detect(drawn.drawn_pages(spark, SF))  # sets the limit
     assert max(r.n for r in drawn.drawn_pages(spark, SF).coalesce(1).mapInPandas(sizes, "n long").collect()) <= 3 << 20
+
+
+def test_entries_are_gathered_as_they_lie(spark, monkeypatch):
+    from quittance.operators import receipt
+    from quittance.plans import derived
+
+    made = receipt.entry_documents(derived.entries(spark, SF))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # what is hashed is sorted again, with all its columns, when a task has more than 128 receipts
+    assert "SortAggregate" in plan and "ObjectHashAggregate" not in plan and "Exchange hashpartitioning(receipt_id" not in plan
+    want = sorted(map(tuple, made.collect()))
+    monkeypatch.setattr(derived, "PART_BYTES", 1 << 10)
+    many = derived.entries(spark, SF)
+    n = int(derived.table(spark, SF, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >> 10
+    assert n > 8 and many.rdd.getNumPartitions() == n
+    assert sorted(map(tuple, receipt.entry_documents(many).collect())) == want
