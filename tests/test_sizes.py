@@ -267,3 +267,24 @@ def test_entries_are_gathered_as_they_lie(spark, monkeypatch):
     n = int(derived.table(spark, SF, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >> 10
     assert n > 8 and many.rdd.getNumPartitions() == n
     assert sorted(map(tuple, receipt.entry_documents(many).collect())) == want
+
+
+def test_lines_are_not_moved_to_their_receipts(spark):
+    from quittance.operators import receipt
+    from quittance.plans import derived, receipts
+
+    for made in (receipt.receipt_documents, receipts.receipt_rows):
+        plan = made(derived.prepared(spark, SF))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(l_orderkey" in plan and "Exchange hashpartitioning(receipt_id" not in plan
+        # what is hashed spills; of a sort by receipt alone nothing is left
+        assert "ObjectHashAggregate" not in plan and not any("Sort [receipt_id" in x and "page_no" not in x for x in plan.splitlines())
+
+
+def test_best_groups_of_whole_receipts(spark):
+    from quittance.operators import lines
+
+    e = "struct<pos:long,labels:array<struct<label_id:int,prob_milli:int>>>"
+    rows = [(1, [([(0, [(31, 600), (71, 500)]), (1, [(71, 400)])],), ([(0, [(0, 900)])],), ([(0, [])],)]), (2, []), (3, [([(0, [(12, 300)])],)])]
+    df = spark.createDataFrame(rows, f"r long, lines array<struct<members:array<{e}>>>")
+    got = {x.r: x.g for x in df.select("r", lines.best_groups(F.col("lines")).alias("g")).collect()}
+    assert got == {1: ["total", "O", "O"], 2: [], 3: ["tax_table"]}
