@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel
@@ -16,6 +20,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 from quittance.operators.models import ModelRegistry
 
 NO_BOX = [0, 0, 0, 0]
+#: Tokens of the windows that are filled together, about.
+TOKENS = 1 << 17
 #: Words whose sub-words a task remembers, at most; then it begins anew.
 KNOWN_WORDS = 100_000
 
@@ -72,28 +78,70 @@ def load_side_files(folder: str) -> tuple[Tokenizer, Rules]:
     return tokenizer, rules
 
 
-def windows_of(pieces: list[list[int]], boxes: list[list[int]], tags: list[int], rules: Rules, stride: int, overflow: bool) -> Iterator[tuple]:
-    """(input_ids, attention_mask, bbox, labels, words) of each window of an example, of which ``pieces`` has each word's ids.
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Lists of ``sizes`` that follow each other in ``values``."""
+    flat = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)
 
-    ``words`` is the number of each token's word, -1 for tokens that are none.
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, as many as ``sizes`` says, one range after the other."""
+    return np.repeat(begin - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.empty(0, np.int64)
+
+
+def windows(batch: pa.RecordBatch, known: dict[str, list[int]], rules: Rules, stride: int, overflow: bool) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(the number of the example of each window, the window's number and its features) of a batch of examples, whose words are ``known``.
+
+    All windows of a batch are filled together, as rows of one array. ``words`` is
+    the number of each token's word, -1 for tokens that are none.
     """
-    flat = [(i, w, k == 0) for w, ids in enumerate(pieces) for k, i in enumerate(ids)]
-    room = rules.length - 2
-    begin = 0
-    while True:
-        own = flat[begin : begin + room]
-        fill = rules.length - 2 - len(own)
-        labels = [tags[w] if first or not rules.first_only else rules.ignore for _, w, first in own]
-        yield (
-            [rules.begin, *(i for i, _, _ in own), rules.end] + [rules.pad] * fill,
-            [1] * (len(own) + 2) + [0] * fill,
-            [NO_BOX, *(boxes[w] for _, w, _ in own), NO_BOX] + [NO_BOX] * fill,
-            [rules.ignore, *labels, rules.ignore] + [rules.ignore] * fill,
-            [-1, *(w for _, w, _ in own), -1] + [-1] * fill,
-        )
-        begin += room - stride
-        if not overflow or begin + stride >= len(flat):
-            return
+    words, boxes, tags = (batch.column(c) for c in ("words", "bboxes", "ner_tags"))
+    n_words, n_boxes, n_tags = map(_sizes, (words, boxes, tags))
+    for w, b, t in zip(n_words, n_boxes, n_tags, strict=True):
+        if not w == b == t:
+            raise ValueError(f"{w} words, {b} boxes and {t} tags")
+    flat_boxes = boxes.flatten()
+    if len(flat_boxes) and not (_sizes(flat_boxes) == len(NO_BOX)).all():
+        raise ValueError(f"a box has {len(NO_BOX)} numbers")
+    if flat_boxes.flatten().null_count or tags.flatten().null_count:
+        raise ValueError("a number of a box or a tag is null")
+    box = np.vstack([flat_boxes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(NO_BOX)), NO_BOX])
+    tag = np.append(tags.flatten().to_numpy(zero_copy_only=False).astype(np.int64), rules.ignore)
+    # sub-words: distinct words have their ids once, and each word a range of them
+    coded = pc.fill_null(words.flatten(), "").dictionary_encode()
+    pieces = [known[w] for w in coded.dictionary.to_pylist()]
+    size = np.array([len(x) for x in pieces], np.int64)
+    ids = np.fromiter(chain.from_iterable(pieces), np.int64, size.sum())
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    n_ids = size[code]
+    ids = ids[_ranges((np.cumsum(size) - size)[code], n_ids)]
+    of_word = np.repeat(np.arange(len(code)), n_ids)
+    first = _ranges(np.zeros(len(code), np.int64), n_ids) == 0
+    # windows: their example, and where among the sub-words each begins and how many it has
+    ends = np.append(0, np.cumsum(n_ids))[np.append(0, np.cumsum(n_words))]
+    n, room = np.diff(ends), rules.length - 2
+    count = np.maximum(1, -((stride - n) // (room - stride))) if overflow else np.ones(len(n), np.int64)
+    example = np.repeat(np.arange(len(n)), count)
+    number = _ranges(np.zeros(len(n), np.int64), count)
+    own = np.minimum(room, n[example] - number * (room - stride))
+    place = np.arange(rules.length)
+    inside = (place >= 1) & (place <= own[:, None])
+    at = np.where(inside, (ends[:-1][example] + number * (room - stride))[:, None] + place - 1, len(ids))
+    word = np.append(of_word, len(code))[at]
+    labelled = inside & (np.append(first, False)[at] if rules.first_only else True)
+    token = np.append(ids, rules.pad)[at]
+    token[:, 0], token[np.arange(len(own)), own + 1] = rules.begin, rules.end
+    word_of_example = np.append(np.cumsum(n_words) - n_words, 0)[example][:, None]
+    full = np.full(len(example), rules.length)
+    return example, {
+        "window": pa.array(number, pa.int32()), "n_windows": pa.array(count[example], pa.int32()), "input_ids": _lists(token.ravel(), full),
+        "attention_mask": _lists((place <= own[:, None] + 1).astype(np.int64).ravel(), full), "bbox": _lists(_lists(box[word].ravel(), np.full(at.size, len(NO_BOX))), full),
+        "labels": _lists(np.where(labelled, tag[word], rules.ignore).ravel(), full), "words": _lists(np.where(inside, word - word_of_example, -1).astype(np.int32).ravel(), full),
+    }
 
 
 def learn_words(tokenizer: Tokenizer, words: Iterable[str], known: dict[str, list[int]]) -> None:
@@ -129,24 +177,19 @@ def encode_words(examples: DataFrame, tokenizer: Tokenizer, rules: Rules, keys:
     text = spark.sparkContext.broadcast(tokenizer.to_str())
     registry = ModelRegistry()
     registry.register("tokenizer", lambda device: Tokenizer.from_str(text.value))
-    schema = ", ".join(f"`{k}` {examples.schema[k].dataType.simpleString()}" for k in keys)
+    examples = examples.select(*keys, "words", "bboxes", "ner_tags")
+    made = T.StructType([*(examples.schema[k] for k in keys), *T._parse_datatype_string(f"window int, {FEATURES}").fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
-        for batch in batches:
-            own, out = registry.get("tokenizer"), []
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            learn_words(own, (w or "" for words in batch["words"] if words is not None for w in words), known)
-            for row in batch.itertuples(index=False):
-                listed = [[] if x is None else list(x) for x in (row.words, row.bboxes, row.ner_tags)]
-                words = [w or "" for w in listed[0]]
-                if len({len(x) for x in listed}) > 1:
-                    raise ValueError(f"{len(words)} words, {len(listed[1])} boxes and {len(listed[2])} tags")
-                pieces = [known[w] for w in words]
-                boxes = [[int(v) for v in b] for b in listed[1]]
-                made = list(windows_of(pieces, boxes, [int(t) for t in listed[2]], rules, stride, overflow))
-                out += [(*(getattr(row, k) for k in keys), i, len(made), *features) for i, features in enumerate(made)]
-            yield pd.DataFrame(out, columns=[*keys, "window", "n_windows", "input_ids", "attention_mask", "bbox", "labels", "words"])
-
-    return examples.select(*keys, "words", "bboxes", "ner_tags").mapInPandas(run, f"{schema}, window int, {FEATURES}")
+        for whole in batches:
+            # as many examples at once as give about so many tokens, by one window each
+            for at in range(0, whole.num_rows, step := max(1, TOKENS // rules.length)):
+                batch = whole.slice(at, step)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                learn_words(registry.get("tokenizer"), pc.fill_null(batch.column("words").flatten(), "").unique().to_pylist(), known)
+                example, columns = windows(batch, known, rules, stride, overflow)
+                yield pa.RecordBatch.from_pydict({**{k: batch.column(k).take(pa.array(example)) for k in keys}, **columns})
+
+    return examples.mapInArrow(run, made)

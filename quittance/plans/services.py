@@ -17,7 +17,7 @@ from quittance.operators.receipt import prepare
 from quittance.plans import derived as D
 from quittance.plans.receipts import _RECEIPT_SQL as RECEIPT
 from quittance.plans.receipts import receipt_answers
-from quittance.sources.shared import cut, shared_dir
+from quittance.sources.shared import cut, shared_dir, sorted_aggregates
 from quittance.streaming.spool import publish, read_spool
 from quittance.streaming.tracked import drain, start_tracked_worker
 
@@ -54,7 +54,9 @@ def q_queue_receipts(spark: SparkSession, d: str) -> DataFrame:
 def page_examples(spark: SparkSession, d: str) -> DataFrame:
     """A training example for each page: its words, boxes and first labels in order."""
     row = F.struct("seq", "text", F.array("x1", "y1", "x2", "y2").alias("box"), F.get("labels", F.lit(0))["label_id"].alias("tag"))
-    own = D.entries(spark, d).groupBy("receipt_id", "page_no").agg(F.sort_array(F.collect_list(row)).alias("own"))
+    sorted_aggregates(spark)
+    page = ("receipt_id", "page_no")
+    own = D.entries(spark, d).select(*page, row.alias("row")).sortWithinPartitions(*page).groupBy(*page).agg(F.sort_array(F.collect_list("row")).alias("own"))
     part = lambda c: F.transform("own", lambda v: v[c])
     return own.select("receipt_id", "page_no", part("text").alias("words"), part("box").alias("bboxes"), part("tag").alias("ner_tags"))
 

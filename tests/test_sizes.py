@@ -308,3 +308,26 @@ def test_tables_need_no_typed_values_and_no_names(spark):
         target = receipt.LABEL_ID[f.labels[0]]
         mine = F.when(F.col("_own_item_table.label_id") == target, F.col("_own_item_table.prob_milli"))
         assert own.where(~mine.eqNullSafe(lines.search_in_line(F.col("labels"), target)["prob_milli"].cast(own.schema["_own_item_table"].dataType["prob_milli"].dataType))).count() == 0
+
+
+def test_windows_of_a_batch_are_filled_together(spark):
+    import pyarrow as pa
+
+    from quittance.operators import encoding
+    from quittance.plans import services
+
+    known = {"": [], "a": [7], "bc": [8, 9], "def": [1, 2, 3]}
+    rows = [(["a", "bc", "def"], [[1, 1, 1, 1], [2, 2, 2, 2], [3, 3, 3, 3]], [5, 6, 7]), (None, None, None), (["", None, "a"], [[4, 4, 4, 4]] * 3, [1, 2, 3])]
+    kinds = {"words": pa.list_(pa.string()), "bboxes": pa.list_(pa.list_(pa.int64())), "ner_tags": pa.list_(pa.int32())}
+    batch = pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())})
+    example, made = encoding.windows(batch, known, encoding.Rules(100, 101, 102, 6), 1, True)
+    got = {k: v.to_pylist() for k, v in made.items()}
+    assert example.tolist() == [0, 0, 1, 2] and got["window"] == [0, 1, 0, 0] and got["n_windows"] == [2, 2, 1, 1]
+    assert got["input_ids"] == [[100, 7, 8, 9, 1, 101], [100, 1, 2, 3, 101, 102], [100, 101, 102, 102, 102, 102], [100, 7, 101, 102, 102, 102]]
+    assert got["words"] == [[-1, 0, 1, 1, 2, -1], [-1, 2, 2, 2, -1, -1], [-1] * 6, [-1, 2, -1, -1, -1, -1]]
+    assert got["labels"] == [[-100, 5, 6, -100, 7, -100], [-100, 7, -100, -100, -100, -100], [-100] * 6, [-100, 3, -100, -100, -100, -100]]
+    assert [sum(x) for x in got["attention_mask"]] == [6, 5, 2, 3] and got["bbox"][3] == [[0] * 4, [4] * 4, [0] * 4, [0] * 4, [0] * 4, [0] * 4]
+    # a part of a batch is its own
+    assert encoding.windows(batch.slice(2), known, encoding.Rules(100, 101, 102, 6), 1, True)[1]["words"].to_pylist() == got["words"][3:]
+    plan = services.q_encode_words(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ObjectHashAggregate" not in plan
