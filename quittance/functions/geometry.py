@@ -10,17 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _xs(quad: Column) -> Column:
-    return F.transform(quad, lambda p: p["x"])
-
-
-def _ys(quad: Column) -> Column:
-    return F.transform(quad, lambda p: p["y"])
-
-
 def bounds(quad: Column) -> tuple[Column, Column, Column, Column]:
     """The axis-aligned box around a quad."""
-    return F.array_min(_xs(quad)), F.array_min(_ys(quad)), F.array_max(_xs(quad)), F.array_max(_ys(quad))
+    xs, ys = ([F.get(quad, F.lit(i))[c] for i in range(4)] for c in "xy")
+    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
 
 
 def normalise(quad: Column, width: Column, height: Column) -> dict[str, Column]:

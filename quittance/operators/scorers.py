@@ -42,7 +42,7 @@ class Scorer(Protocol):
 
 @dataclass
 class FixtureScorer:
-    """Scores read from tables by page, or by token."""
+    """Scores read from tables by page, or by token; without a table of labels, tokens have theirs beside them."""
 
     tokens: DataFrame | None = None
     detections: DataFrame | None = None
@@ -62,6 +62,8 @@ class FixtureScorer:
         return self.masks.join(pages.select(*PAGE), PAGE, "left_semi")
 
     def label(self, tokens: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return tokens
         return tokens.join(self.labels.select(*PAGE, "seq", "labels"), [*PAGE, "seq"])
 
 

@@ -331,3 +331,25 @@ def test_windows_of_a_batch_are_filled_together(spark):
     assert encoding.windows(batch.slice(2), known, encoding.Rules(100, 101, 102, 6), 1, True)[1]["words"].to_pylist() == got["words"][3:]
     plan = services.q_encode_words(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ObjectHashAggregate" not in plan
+
+
+def test_tokens_of_images_are_derived_once(spark):
+    from quittance.plans import receipts
+
+    plan = receipts.q_image_receipts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "SortMergeJoin" not in plan and "array_min" not in plan
+    kind = "receipt_id long, page_no int, chunk long, seq long, text string, labels array<struct<label_id:int,label:string,prob_milli:int>>"
+    tokens = spark.createDataFrame([(1, 0, 0, 0, "a", [(5, "x", 900)])], kind)
+    assert scorers.FixtureScorer(tokens=tokens).label(tokens).collect() == tokens.collect()
+    assert scorers.FixtureScorer(labels=tokens).label(tokens.drop("labels")).collect()[0].labels == tokens.first().labels
+
+
+def test_boxes_around_quads(spark):
+    from quittance.functions.geometry import bounds
+
+    q = "array<struct<x:double,y:double>>"
+    rows = [([(3.0, 4.0), (1.0, 9.0), (2.0, -1.0), (7.0, 0.5)],), ([(None, 1.0), (2.0, None), (float("nan"), 3.0), (1.0, 2.0)],), ([(1.0, 2.0)],), ([],), (None,)]
+    df = spark.createDataFrame(rows, f"q {q}")
+    plain = lambda f, c: getattr(F, f)(F.transform("q", lambda p: p[c]))
+    for got, want in zip(bounds(F.col("q")), (plain("array_min", "x"), plain("array_min", "y"), plain("array_max", "x"), plain("array_max", "y")), strict=True):
+        assert df.where(~got.eqNullSafe(want)).count() == 0
