@@ -154,7 +154,12 @@ def merge_labels(lines: DataFrame, top: int = 3) -> DataFrame:
 
 def line_info(lines: DataFrame) -> DataFrame:
     """(line, n_entries, conflict, box): conflict is set where the first candidates, but for label 0, are of several groups."""
-    return lines.groupBy(*LINE).agg(*_info(F.get("labels", F.lit(0))["label_id"]))
+    first = F.get("labels", F.lit(0))["label_id"]
+    group = F.when(first != 0, group_ord_of(first))
+    return lines.groupBy(*LINE).agg(
+        F.count(F.lit(1)).alias("n_entries"), F.coalesce(F.min(group) < F.max(group), F.lit(False)).alias("conflict"),
+        F.min(F.least("x1", "x2")).alias("x1"), F.min(F.least("y1", "y2")).alias("y1"), F.max(F.greatest("x1", "x2")).alias("x2"), F.max(F.greatest("y1", "y2")).alias("y2"),
+    )
 
 
 def union_box_per_token(lines: DataFrame) -> DataFrame:
